@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.functions.addresses import flow_id
+from tidewatch.session import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,8 +91,21 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("pkt_num"), F.col("l_linenumber").alias("line"))
 
 
+_ALERT_FILES: dict[tuple[str, str], str] = {}
+
+
 def alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alert text of the alerted flows, with some lines a parser must reject."""
+    """Alert text of the alerted flows as text files, written once per application and table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ALERT_FILES:
+        path = new_folder(spark, "alert-lines")
+        render_alert_lines(spark, sf_dir).write.text(path)
+        _ALERT_FILES[key] = path
+    return spark.read.text(_ALERT_FILES[key])
+
+
+def render_alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert text, with some lines a parser must reject."""
     f = flows(spark, sf_dir).filter("alerted")
     gid = F.lit(1)
     for digit, number in enumerate((301, 302, 303, 304, 306, 307)):

@@ -82,9 +82,7 @@ def read_netflow_csv(spark, sf):
 @query("parse_alert_lines", "ts_text pkt_num:i proto src_ip src_port:i dst_ip dst_port:i gid:i sid:i ts_us:i", """SELECT *,
   epoch_us(strptime('2000/' || ts_text, '%Y/%m/%d-%H:%M:%S.%f')) AS ts_us FROM alerts""", "alerts")
 def parse_alert_lines(spark, sf):
-    path = new_folder(spark, "alerts")
-    fixtures.alert_lines(spark, sf).write.text(path)
-    return logs.read_alerts(spark, path)
+    return logs.parse_alert_lines(fixtures.alert_lines(spark, sf))
 
 
 @query("alert_drop_report", "total:i filtered:i few_fields:i bad_address_or_id:i invalid_ip:i port_zero:i unknown_protocol:i",
