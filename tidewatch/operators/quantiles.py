@@ -25,17 +25,18 @@ def _bucket(v: Column, per_octave: int = 256) -> Column:
 
 
 def exact_percentiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], probs: Sequence[float],
-                      small_group: int = SMALL_GROUP) -> DataFrame:
+                      small_group: int = SMALL_GROUP, max_rows: int | None = None) -> DataFrame:
     """Percentiles with linear interpolation → rows (groups, feature, prob, value).
 
     The built-in aggregate holds one map of distinct values per group, so it is used only after a count shows that no
     group exceeds ``small_group`` rows. Larger groups are cut into value buckets: counts per bucket locate the wanted
-    ranks, and only the distinct values of the buckets hit are sorted.
+    ranks, and only the distinct values of the buckets hit are sorted. ``max_rows``, a bound the caller knows, saves
+    the count.
     """
     long = melt(df, groups, columns).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     keys = [*groups, "feature"]
     # counted before the columns are turned into rows, so the check reads the group columns only
-    largest = (df.groupBy(*groups) if groups else df.groupBy(F.lit(0).alias("_one"))).count().agg(
+    largest = max_rows if max_rows is not None else (df.groupBy(*groups) if groups else df.groupBy(F.lit(0).alias("_one"))).count().agg(
         F.max("count")).first()[0] or 0
     if largest <= small_group:
         agg = long.groupBy(*keys).agg(F.percentile("value", F.array(*[F.lit(float(p)) for p in probs])).alias("_v"))
@@ -71,8 +72,9 @@ def ranked_percentiles(long: DataFrame, keys: Sequence[str], probs: Sequence[flo
     return at.select(*keys, "prob", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_w")).alias("value"))
 
 
-def percentile_table(df: DataFrame, groups: Sequence[str], columns: Sequence[str], named: dict[str, float]) -> DataFrame:
+def percentile_table(df: DataFrame, groups: Sequence[str], columns: Sequence[str], named: dict[str, float],
+                     max_rows: int | None = None) -> DataFrame:
     """Same, one column per named probability → (groups, feature, *names)."""
-    long = exact_percentiles(df, groups, columns, sorted(set(named.values())))
+    long = exact_percentiles(df, groups, columns, sorted(set(named.values())), max_rows=max_rows)
     return long.groupBy(*groups, "feature").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in named.items()])

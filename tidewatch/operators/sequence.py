@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, with_fields
 
 US = 1_000_000
 SMALL_KEY = 1_000_000
@@ -46,7 +46,7 @@ def _small_keys(times: DataFrame, keys: Sequence[str], width_us: int) -> DataFra
         pdf = pdf.sort_values("ts_us")
         return pdf.assign(win_start_us=_chain(pdf["ts_us"].to_numpy(), width_us))
 
-    schema = times.select(*keys, "ts_us").schema.add("win_start_us", T.LongType())
+    schema = with_fields(times.select(*keys, "ts_us").schema, ("win_start_us", T.LongType()))
     return times.select(*keys, "ts_us").groupBy(*keys).applyInPandas(walk, schema)
 
 

@@ -49,3 +49,8 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     fields = T.StructType.fromDDL(schema).fields
     structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
     return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
+def with_fields(schema: T.StructType, *added: tuple[str, T.DataType]) -> T.StructType:
+    """A new schema with further columns; ``StructType.add`` would change the one a DataFrame holds."""
+    return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in added]])
