@@ -77,9 +77,10 @@ def flow_confusion(index: DataFrame, alert_ids: DataFrame, universe: DataFrame |
         F.coalesce(F.sum("attack_rows"), F.lit(0)).alias("_attack"),
         F.coalesce(F.sum("benign_rows"), F.lit(0)).alias("_benign"))
     if universe is not None:
-        one = universe.agg(F.max("attack_rows").alias("_ua"), F.max("benign_rows").alias("_ub"))
-        sums = sums.join(one, F.lit(True)).withColumns({
-            "_attack": F.coalesce("_ua", "_attack"), "_benign": F.coalesce("_ub", "_benign")})
+        def total(c: str) -> Column:
+            return universe.agg(F.max(c)).scalar()
+        sums = sums.withColumns({"_attack": F.coalesce(total("attack_rows"), F.col("_attack")),
+                                 "_benign": F.coalesce(total("benign_rows"), F.col("_benign"))})
     zero = F.lit(0)
     out = sums.select("tp", "fp", F.greatest(F.col("_benign") - F.col("fp"), zero).alias("tn"),
                       F.greatest(F.col("_attack") - F.col("tp"), zero).alias("fn"))
@@ -91,9 +92,10 @@ def ip_confusion(index: DataFrame, ips: DataFrame, universe: DataFrame | None =
     marked = index.join(ips.select("ip").distinct().withColumn("_a", F.lit(1)), "ip", "left")
     out = marked.agg(*_cells(F.col("is_attack") == 1, F.col("_a").isNotNull()))
     if universe is not None:
-        one = universe.agg(F.max("attack_ips").alias("_ua"), F.max("benign_ips").alias("_ub"))
+        out = out.withColumns({"_ua": universe.agg(F.max("attack_ips")).scalar(),
+                               "_ub": universe.agg(F.max("benign_ips")).scalar()})
         tp, fp = F.least("tp", "_ua"), F.least("fp", "_ub")
-        out = out.join(one, F.lit(True)).select(
+        out = out.select(
             tp.alias("tp"), fp.alias("fp"), F.greatest(F.col("_ub") - fp, F.lit(0)).alias("tn"),
             F.greatest(F.col("_ua") - tp, F.lit(0)).alias("fn"))
     return rates(out)

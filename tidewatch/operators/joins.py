@@ -87,14 +87,14 @@ def label_endpoints(windows: DataFrame, victims: DataFrame, min_positive: int =
                     max_src_ratio: float = 0.3) -> DataFrame:
     """Label endpoint windows by victim address; with fewer than ``min_positive`` hits, volume and ratio add to it.
 
-    The number of hits is a one-row aggregate joined back, not a driver value.
+    The number of hits is a scalar subquery of the same plan, not a driver value.
     """
     hit = victims.select("dst_ip").distinct().withColumn("_hit", F.lit(1))
     rows = windows.join(hit, "dst_ip", "left").withColumn("_hit", F.coalesce("_hit", F.lit(0)))
-    n = rows.agg(F.coalesce(F.sum("_hit"), F.lit(0)).alias("_hits"))
+    hits = rows.agg(F.coalesce(F.sum("_hit"), F.lit(0))).scalar()
     by_shape = (F.col("total") > min_total) & (F.col("src_ratio") < max_src_ratio)
-    label = F.when((F.col("_hits") < min_positive) & by_shape, 1).otherwise(F.col("_hit"))
-    return rows.join(n, F.lit(True)).withColumn("label", label).drop("_hit", "_hits")
+    label = F.when((hits < min_positive) & by_shape, 1).otherwise(F.col("_hit"))
+    return rows.withColumn("label", label).drop("_hit")
 
 
 def label_endpoints_by_key(windows: DataFrame, victims: DataFrame, on: Sequence[str] = ("dst_ip",),
@@ -125,4 +125,4 @@ def slice_universe(index: DataFrame, ips: DataFrame, slice_ids: DataFrame, slice
     i = seen.join(ips, "ip", "left").agg(
         F.count("*").alias("src_ips_seen"), F.count_if(F.col("is_attack") == 1).alias("attack_ips"),
         F.count_if(F.col("is_attack") == 0).alias("benign_ips"))
-    return f.join(i, F.lit(True))
+    return f.withColumn("_i", i.select(F.struct(*i.columns)).scalar()).select(*f.columns, "_i.*")

@@ -6,7 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidewatch.session import cut_lineage
+
 SMALL_GROUP = 1_000_000
+BROADCAST_ROWS = 100_000
 
 
 def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str = "feature",
@@ -46,28 +49,48 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], columns: Sequence[st
     return ranked_percentiles(long, keys, probs)
 
 
-def ranked_percentiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """The bucketed form; ``long`` has ``keys`` and ``value``."""
+def _locate(hist: DataFrame, parts: Sequence[str], bucket: str) -> DataFrame:
+    """Of counted buckets with wanted ``_rank`` rows attached, keep those a rank falls into, and the count before."""
+    run = W.partitionBy(*parts, "prob", "_rank").orderBy(bucket).rowsBetween(W.unboundedPreceding, 0)
+    hi = hist.withColumn("_hi", F.sum("_n").over(run)).withColumn("_lo", F.col("_hi") - F.col("_n"))
+    return hi.filter((F.col("_lo") <= F.col("_rank")) & (F.col("_rank") < F.col("_hi"))).withColumn(
+        "_rank", F.col("_rank") - F.col("_lo")).drop("_hi", "_lo", "_n")
+
+
+def _only(rows: DataFrame, wanted: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of the wanted buckets. The bucket list is counted; only a short one is broadcast."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, list(on))
+
+
+def ranked_percentiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float], cells: int = 4096) -> DataFrame:
+    """The bucketed form; ``long`` has ``keys`` and ``value``.
+
+    Buckets of constant relative width are counted first. The buckets that hold a wanted rank are split into ``cells``
+    equal parts between their smallest and largest value, counted again, and only the distinct values of the parts hit
+    are sorted. Equal values are merged before every shuffle, so copies cannot make a bucket heavy.
+    """
     keys = list(keys)
     rows = long.withColumn("_b", _bucket(F.col("value")))
-    hist = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    run = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
-    hist = hist.withColumn("_hi", F.sum("_n").over(run)).withColumn(
-        "_total", F.sum("_n").over(W.partitionBy(*keys)))
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-    hist = hist.withColumn("prob", wanted).withColumn("_pos", F.col("prob") * (F.col("_total") - 1))
-    hit = hist.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos"))))).filter(
-        (F.col("_hi") - F.col("_n") <= F.col("_rank")) & (F.col("_rank") < F.col("_hi")))
-    hit = hit.select(*keys, "_b", "prob", "_pos", "_rank", (F.col("_hi") - F.col("_n")).alias("_before"))
-    buckets = hit.select(*keys, "_b").distinct()
-    values = rows.join(buckets, [*keys, "_b"], "left_semi").groupBy(*keys, "_b", "value").agg(
-        F.count("*").alias("_n"))
-    vrun = W.partitionBy(*keys, "_b").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    values = values.withColumn("_vhi", F.sum("_n").over(vrun)).withColumn("_vlo", F.col("_vhi") - F.col("_n"))
-    found = hit.join(values, [*keys, "_b"]).filter(
-        (F.col("_vlo") <= F.col("_rank") - F.col("_before")) & (F.col("_rank") - F.col("_before") < F.col("_vhi")))
+    hist = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"), F.min("value").alias("_min"), F.max("value").alias("_max"))
+    total = F.sum("_n").over(W.partitionBy(*keys))
+    hist = hist.withColumn("_total", total).withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    hist = hist.withColumn("_pos", F.col("prob") * (F.col("_total") - 1)).withColumn(
+        "_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
+    hist = hist.withColumn("_at", F.col("_rank"))
+    hit = cut_lineage(_locate(hist, keys, "_b").select(*keys, "_b", "_min", "_max", "prob", "_pos", "_at", "_rank"))
+
+    share = (F.col("value") - F.col("_min")) / (F.col("_max") - F.col("_min"))
+    cell = F.when(F.col("_max") > F.col("_min"), F.least(F.floor(share * cells), F.lit(cells - 1))).otherwise(0)
+    near = _only(rows, hit.select(*keys, "_b", "_min", "_max").distinct(), [*keys, "_b"]).withColumn("_c", cell)
+    parts = near.groupBy(*keys, "_b", "_c").agg(F.count("*").alias("_n"))
+    want = hit.select(*keys, "_b", "prob", "_pos", "_at", "_rank")
+    fine = cut_lineage(_locate(parts.join(want, [*keys, "_b"]), [*keys, "_b"], "_c"))
+
+    where = [*keys, "_b", "_c"]
+    values = _only(near, fine.select(*where).distinct(), where).groupBy(*where, "value").agg(F.count("*").alias("_n"))
+    found = _locate(values.join(fine, where), where, "value")
     at = found.groupBy(*keys, "prob").agg(
-        F.min_by("value", "_rank").alias("_low"), F.max_by("value", "_rank").alias("_high"),
+        F.min_by("value", "_at").alias("_low"), F.max_by("value", "_at").alias("_high"),
         F.first(F.col("_pos") - F.floor("_pos")).alias("_w"))
     return at.select(*keys, "prob", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_w")).alias("value"))
 

@@ -60,17 +60,20 @@ def hash_key(*columns, seed: int = 42) -> Column:
 def running_number(df: DataFrame, id_col: str, groups: Sequence[str] = (), block: int = 65536) -> DataFrame:
     """``seq`` = 0, 1, 2 … in order of a unique integer id, per group.
 
-    Ids are numbered inside blocks of consecutive ids (at most ``block`` rows each) and shifted by the counts of the
-    blocks before, so the numbering is global without sorting the table in one task.
+    Ids are numbered inside blocks of consecutive ids (at most ``block`` rows each). A block is shifted by the blocks
+    before it in its super-block, and a super-block by the super-blocks before it, so no sort group grows with the
+    table beyond its share of ids.
     """
     g = list(groups)
-    rows = df.withColumn("_block", F.floor(F.col(id_col) / block))
+    rows = df.withColumn("_block", F.floor(F.col(id_col) / block)).withColumn("_super", F.floor(F.col("_block") / block))
     inner = W.partitionBy(*g, "_block").orderBy(id_col)
-    sizes = rows.groupBy(*g, "_block").agg(F.count("*").alias("_size"))
-    shift = sizes.withColumn("_shift", F.sum("_size").over(
-        W.partitionBy(*(g or [F.lit(0)])).orderBy("_block")) - F.col("_size")).drop("_size")
+    sizes = rows.groupBy(*g, "_super", "_block").agg(F.count("*").alias("_n"))
+    near = sizes.withColumn("_near", F.sum("_n").over(W.partitionBy(*g, "_super").orderBy("_block")) - F.col("_n")).drop("_n")
+    supers = sizes.groupBy(*g, "_super").agg(F.sum("_n").alias("_n"))
+    far = supers.withColumn("_far", F.sum("_n").over(W.partitionBy(*(g or [F.lit(0)])).orderBy("_super")) - F.col("_n")).drop("_n")
+    shift = near.join(far, [*g, "_super"]).drop("_super")
     return (rows.withColumn("_no", F.row_number().over(inner)).join(shift, [*g, "_block"])
-            .withColumn("seq", F.col("_no") - 1 + F.col("_shift")).drop("_block", "_no", "_shift"))
+            .withColumn("seq", F.col("_no") - 1 + F.col("_near") + F.col("_far")).drop("_block", "_super", "_no", "_near", "_far"))
 
 
 def top_k(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

@@ -19,11 +19,12 @@ def alerts_per_second(alerts: DataFrame, window_sec: int = 60) -> DataFrame:
     """
     sec = F.floor(F.col("ts_us") / US).cast("bigint")
     per = alerts.groupBy(sec.alias("sec"), "engine").agg(F.count("*").alias("n"))
-    span = per.agg(F.min("sec").alias("_first"), F.max("sec").alias("_last"))
+    # the engines are a handful of names, so one row can carry them
+    span = per.agg(F.min("sec").alias("_first"), F.max("sec").alias("_last"), F.collect_set("engine").alias("_engines"))
     begin = F.greatest(F.col("_first"), F.col("_last") - window_sec + 1)
-    axis = span.select(F.explode(F.sequence(begin, F.col("_last"))).alias("sec"))
-    engines = per.select("engine").distinct()
-    out = axis.join(engines, F.lit(True)).join(per, ["sec", "engine"], "left").na.fill(0, ["n"])
+    axis = span.select("_engines", F.explode(F.sequence(begin, F.col("_last"))).alias("sec")).select(
+        "sec", F.explode("_engines").alias("engine"))
+    out = axis.join(per, ["sec", "engine"], "left").na.fill(0, ["n"])
     total = F.sum("n").over(W.partitionBy("sec"))
     out = out.withColumn("total", total)
     first_peak = F.min_by("sec", F.struct(-F.col("total"), F.col("sec"))).over(W.partitionBy(F.lit(0)))

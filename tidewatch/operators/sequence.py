@@ -144,7 +144,7 @@ def cooldown(alerts: DataFrame, keys: Sequence[str], seconds: float = 1800, ts_u
 
 
 def spread_timestamps(df: DataFrame, keys: Sequence[str], ts_us: str = "ts_us", order: str = "row_key",
-                      span_sec: int = 60, block_digits: int = 3) -> DataFrame:
+                      span_sec: int = 60, block_digits: int = 4) -> DataFrame:
     """Rows sharing a coarse time get evenly spaced offsets ``(i + 0.5) / n * span`` → ``spread_us``.
 
     A stamp can be shared by very many rows, so they are numbered inside blocks of their md5 order and shifted by the
