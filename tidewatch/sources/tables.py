@@ -39,14 +39,12 @@ def read_flow_table(spark: SparkSession, paths, columns: Sequence[str] | None =
     out = None
     for path in _paths(paths):
         header = spark.read.option("header", True).option("encoding", encoding).csv(path).columns
+        # one column more than the header: it is filled exactly when a line has too many fields
         schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))]
-                              + [T.StructField("_bad", T.StringType())])
-        raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-               .option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-               .csv(path).withColumn("csv_source", F.col("_metadata.file_name")))
-        # too many fields: the raw line has more separators outside quotes than the header
-        fields = F.size(F.split(F.regexp_replace("_bad", r'"[^"]*"', ""), ",", -1))
-        raw = raw.filter(F.col("_bad").isNull() | (fields <= len(header)))
+                              + [T.StructField("_extra", T.StringType())])
+        raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("nullValue", "\u0001")
+               .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path)
+               .withColumn("csv_source", F.col("_metadata.file_name")).filter(F.col("_extra").isNull()))
         names, seen = [], set()
         for h in header:
             name = h.strip()
