@@ -6,13 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidewatch.session import cut_lineage
+
 
 def digest_cuts(df: DataFrame, groups: Sequence[str], key: str, limit: Column) -> DataFrame:
     """Where the ``limit``-th smallest digest of each group lies → one row per group.
 
-    Copies are counted per digest before the shuffle. The counts per digest prefix give the prefix the cut falls
-    into; only the digests of that prefix are ranked. Columns: ``_whole`` (the group fits), ``_cut`` (digest at the
-    cut), ``_take`` (rows of that digest that fit), ``_full`` (all of them fit).
+    Counts per digest prefix (combined before the shuffle) give the prefix the cut falls into; only the digests of
+    that prefix are counted and ranked. Both results are written tables of known size, so the joins with them are
+    broadcast exactly when they are small, and the rows themselves are not shuffled then. Columns: ``_whole`` (the
+    group fits), ``_cut`` (digest at the cut), ``_take`` (rows of that digest that fit), ``_full`` (all of them fit).
     """
     g = list(groups)
     prefix = F.substring(key, 1, 4).alias("_p")
@@ -22,14 +25,18 @@ def digest_cuts(df: DataFrame, groups: Sequence[str], key: str, limit: Column) -
     sized = (per_prefix.withColumn("_hi", F.sum("_n").over(run))
              .withColumn("group_rows", F.sum("_n").over(W.partitionBy(*g)))
              .withColumn("_limit", limit.cast("bigint")))
-    cut = sized.filter(here).select(*g, "_p", "_limit", (F.col("_hi") - F.col("_n")).alias("_before"))
-    per_key = df.groupBy(*g, F.col(key).alias("_k"), prefix).agg(F.count("*").alias("_n"))
+    # one row per group: the prefix of the cut, or none when the group fits or nothing is wanted
+    at = F.max(F.when(here, F.struct("_p", (F.col("_hi") - F.col("_n")).alias("_before"))))
+    cut = cut_lineage(sized.groupBy(*g).agg((F.max("_limit") >= F.max("group_rows")).alias("_whole"),
+                                            F.max("_limit").alias("_limit"), at.alias("_at"))
+                      .select(*g, "_whole", "_limit", F.col("_at._p").alias("_p"), F.col("_at._before").alias("_before")))
+    edge = df.select(*g, F.col(key).alias("_k"), prefix).join(cut.filter("not _whole"), [*g, "_p"]).groupBy(
+        *g, "_limit", "_before", "_k").agg(F.count("*").alias("_n"))
     by_key = W.partitionBy(*g).orderBy("_k").rowsBetween(W.unboundedPreceding, 0)
-    edge = (per_key.join(cut, [*g, "_p"]).withColumn("_hi", F.col("_before") + F.sum("_n").over(by_key)).filter(here)
+    edge = (edge.withColumn("_hi", F.col("_before") + F.sum("_n").over(by_key)).filter(here)
             .select(*g, F.col("_k").alias("_cut"), (F.col("_limit") - F.col("_hi") + F.col("_n")).alias("_take"),
                     (F.col("_limit") == F.col("_hi")).alias("_full")))
-    sizes = sized.groupBy(*g).agg((F.max("_limit") >= F.max("group_rows")).alias("_whole"))
-    return sizes.join(edge, g, "left")
+    return cut_lineage(cut.select(*g, "_whole").join(edge, g, "left"))
 
 
 def smallest_per_group(df: DataFrame, groups: Sequence[str], key: str, limit: Column | int) -> DataFrame:

@@ -86,6 +86,16 @@ def gap_counts(df: DataFrame, keys: Sequence[str], ts_us: str = "ts_us", span_se
             .groupBy(*keys, (F.col("_t") - F.col("_prev")).alias("gap_us")).agg(F.count("*").alias("n")))
 
 
+def gap_pairs(df: DataFrame, keys: Sequence[str], ts_us: str = "ts_us", piece_us: int = US) -> DataFrame:
+    """Consecutive distinct times of a key → (keys, _prev, _t); same pieces as ``gap_counts``."""
+    times = df.select(*keys, F.col(ts_us).alias("_t"), F.floor(F.col(ts_us) / piece_us).alias("_piece")).distinct()
+    inside = times.withColumn("_prev", F.lag("_t").over(W.partitionBy(*keys, "_piece").orderBy("_t")))
+    edges = times.groupBy(*keys, "_piece").agg(F.min("_t").alias("_t"), F.max("_t").alias("_last"))
+    across = edges.withColumn("_prev", F.lag("_last").over(W.partitionBy(*keys).orderBy("_piece")))
+    cols = [*keys, "_prev", "_t"]
+    return inside.select(*cols).unionByName(across.select(*cols)).filter(F.col("_prev").isNotNull())
+
+
 def gap_features(gaps: DataFrame, keys: Sequence[str], min_gap_us: int = 1, quantile_min_gap_us: int = 2) -> DataFrame:
     """``iat_cv`` and ``iat_q90_q10`` from gap counts.
 
@@ -248,9 +258,18 @@ def flow_window_features_4(flows: DataFrame, window_sec: int = 60, rule: Column
 
 def _batch_features(rows: DataFrame, keys: Sequence[str], window_sec: int, min_rows: int, extra: dict[str, Column],
                     min_gap_us: int = 2, loopback: bool = False) -> DataFrame:
-    counts = spread_axes(rows, keys, {"port": F.col("dst_port"), "ip": F.col("dst_ip"),
-                                      "sec": F.floor(F.col("ts_us") / US)},
-                         [F.sum(c).alias(f"_{a}") for a, c in extra.items()])
+    counts = _batch_counts(rows, keys, extra)
+    gaps = gap_features(gap_counts(rows, keys, span_sec=window_sec), keys, min_gap_us, min_gap_us)
+    return _batch_fold(counts, gaps, keys, window_sec, min_rows, extra, loopback)
+
+
+def _batch_counts(rows: DataFrame, keys: Sequence[str], extra: dict[str, Column]) -> DataFrame:
+    return spread_axes(rows, keys, {"port": F.col("dst_port"), "ip": F.col("dst_ip"), "sec": F.floor(F.col("ts_us") / US)},
+                       [F.sum(c).alias(f"_{a}") for a, c in extra.items()])
+
+
+def _batch_fold(counts: DataFrame, gaps: DataFrame, keys: Sequence[str], window_sec: int, min_rows: int, extra,
+                loopback: bool = False) -> DataFrame:
     agg = counts.groupBy(*keys).agg(
         axis_total("port").alias("syn_count"), axis_distinct("ip").alias("dst_ips"),
         axis_distinct("port").alias("dst_ports"), entropy("port").alias("port_entropy"),
@@ -259,7 +278,6 @@ def _batch_features(rows: DataFrame, keys: Sequence[str], window_sec: int, min_r
         F.coalesce(F.sum(on("ip", F.when(is_private_ip("val", loopback), F.col("n")))), F.lit(0)).alias("_internal"),
         *[F.sum(on("port", F.col(f"_{a}"))).alias(f"_{a}") for a in extra])
     agg = agg.filter(F.col("syn_count") >= min_rows)
-    gaps = gap_features(gap_counts(rows, keys, span_sec=window_sec), keys, min_gap_us, min_gap_us)
     n = F.col("syn_count")
     return _with_gaps(agg, gaps, keys).withColumns({
         "port_ratio": ratio("dst_ports", n), "rate": n / F.lit(float(window_sec)),
@@ -267,6 +285,33 @@ def _batch_features(rows: DataFrame, keys: Sequence[str], window_sec: int, min_r
         "internal_ratio": ratio("_internal", n)})
 
 
+def _sliding_features(rows: DataFrame, key: str, window_sec: int, stride_sec: int, min_rows: int,
+                      extra: dict[str, Column], min_gap_us: int = 2) -> DataFrame:
+    """Sliding windows from panes of one stride.
+
+    Rows are counted per pane before they are repeated for the ``window / stride`` windows a pane belongs to, and a
+    gap is taken once and given to the windows that hold both of its ends. Needs a window that is a multiple of the
+    stride; other windows repeat the rows themselves.
+    """
+    keys = [key, "win_start"]
+    if window_sec % stride_sec:
+        spread = rows.withColumn("win_start", F.explode(sliding_starts("ts_us", window_sec, stride_sec)))
+        return _batch_features(spread, keys, window_sec, min_rows, extra, min_gap_us)
+    pane = window_start("ts_us", stride_sec)
+    panes = _batch_counts(rows.withColumn("_pane", pane), [key, "_pane"], extra)
+    first = F.greatest(F.col("_pane") - window_sec + stride_sec, F.lit(0))
+    starts = F.explode(F.sequence(first, F.col("_pane"), F.lit(stride_sec).cast("bigint")))
+    counts = panes.withColumn("win_start", starts).groupBy(*keys, "axis", "val").agg(
+        F.sum("n").alias("n"), *[F.sum(f"_{a}").alias(f"_{a}") for a in extra])
+    pairs = gap_pairs(rows, [key], piece_us=max(1, window_sec * US // 64)).filter(
+        F.col("_t") - F.col("_prev") < window_sec * US)
+    low = F.greatest(window_start("_t", stride_sec) - window_sec + stride_sec, F.lit(0))
+    high = window_start("_prev", stride_sec)
+    pairs = pairs.filter(low <= high).withColumn("win_start", F.explode(F.sequence(low, high, F.lit(stride_sec).cast("bigint"))))
+    gaps = pairs.groupBy(*keys, (F.col("_t") - F.col("_prev")).alias("gap_us")).agg(F.count("*").alias("n"))
+    return _batch_fold(counts, gap_features(gaps, keys, min_gap_us, min_gap_us), keys, window_sec, min_rows, extra)
+
+
 _SEVEN = ["syn_count", "dst_ips", "dst_ports", "iat_cv", "port_entropy", "port_ratio", "rate"]
 
 
@@ -312,10 +357,9 @@ def sliding_starts(ts_us, window_sec: int, stride_sec: int) -> Column:
 
 def client_window_sliding(flows: DataFrame, window_sec: int = 300, stride_sec: int = 60, min_rows: int = 1,
                           bots: DataFrame | None = None) -> DataFrame:
-    """7 features over overlapping windows; each row goes to ``window / stride`` windows."""
+    """7 features over overlapping windows."""
     keys = ["src_ip", "win_start"]
-    rows = flows.withColumn("win_start", F.explode(sliding_starts("ts_us", window_sec, stride_sec)))
-    f = _batch_features(rows, keys, window_sec, min_rows, {}).select(*keys, *_SEVEN)
+    f = _sliding_features(flows, "src_ip", window_sec, stride_sec, min_rows, {}).select(*keys, *_SEVEN)
     return label_sources(f, bots) if bots is not None else f
 
 
@@ -327,9 +371,8 @@ def client_window_sliding_inbound(flows: DataFrame, window_sec: int = 300, strid
     """
     hit = F.col("label") != "BENIGN" if is_bot_flow is None else is_bot_flow
     keys = ["src_ip", "win_start"]
-    rows = flows.withColumn("win_start", F.explode(sliding_starts("ts_us", window_sec, stride_sec))).withColumn(
-        "_bot", hit.cast("bigint"))
-    out = _batch_features(rows, keys, window_sec, min_rows, {"bot": F.col("_bot")})
+    rows = flows.withColumn("_bot", hit.cast("bigint"))
+    out = _sliding_features(rows, "src_ip", window_sec, stride_sec, min_rows, {"bot": F.col("_bot")})
     inbound = inbound_counts(flows, window_sec, stride_sec)
     n = F.col("syn_count")
     return (out.join(inbound, keys, "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
@@ -339,9 +382,11 @@ def client_window_sliding_inbound(flows: DataFrame, window_sec: int = 300, strid
 
 def inbound_counts(flows: DataFrame, window_sec: int, stride_sec: int) -> DataFrame:
     """Flows whose destination is the profiled source, per sliding window."""
-    return (flows.select(F.col("dst_ip").alias("src_ip"),
-                         F.explode(sliding_starts("ts_us", window_sec, stride_sec)).alias("win_start"))
-            .groupBy("src_ip", "win_start").agg(F.count("*").alias("inbound")))
+    # rows with equal sets of windows are counted before they are repeated
+    per = flows.groupBy(F.col("dst_ip").alias("src_ip"), sliding_starts("ts_us", window_sec, stride_sec).alias("_w")).agg(
+        F.count("*").alias("_n"))
+    return per.select("src_ip", F.explode("_w").alias("win_start"), "_n").groupBy("src_ip", "win_start").agg(
+        F.sum("_n").alias("inbound"))
 
 
 def window_counts_by_source(flows: DataFrame, window_sec: int = 300, is_hit: Column | None = None) -> DataFrame:
