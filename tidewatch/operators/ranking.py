@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidewatch.session import cut_lineage
 
 
-def digest_cuts(df: DataFrame, groups: Sequence[str], key: str, limit: Column) -> DataFrame:
-    """Where the ``limit``-th smallest digest of each group lies → one row per group.
+def digest_cuts(df: DataFrame, groups: Sequence[str], key: str, limits: dict[str, Column]) -> DataFrame:
+    """Where the n-th smallest digest of each group lies, for each named limit n → one row per group and ``cut``.
 
-    Counts per digest prefix (combined before the shuffle) give the prefix the cut falls into; only the digests of
-    that prefix are counted and ranked. Both results are written tables of known size, so the joins with them are
+    Counts per digest prefix (combined before the shuffle) give the prefix a cut falls into; only the digests of
+    those prefixes are counted and ranked. Both results are written tables of known size, so the joins with them are
     broadcast exactly when they are small, and the rows themselves are not shuffled then. Columns: ``_whole`` (the
     group fits), ``_cut`` (digest at the cut), ``_take`` (rows of that digest that fit), ``_full`` (all of them fit).
     """
@@ -22,21 +22,22 @@ def digest_cuts(df: DataFrame, groups: Sequence[str], key: str, limit: Column) -
     per_prefix = df.groupBy(*g, prefix).agg(F.count("*").alias("_n"))
     run = W.partitionBy(*g).orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
     here = (F.col("_hi") - F.col("_n") < F.col("_limit")) & (F.col("_limit") <= F.col("_hi"))
+    named = F.array(*[F.struct(F.lit(n).alias("cut"), c.cast("bigint").alias("_limit")) for n, c in limits.items()])
     sized = (per_prefix.withColumn("_hi", F.sum("_n").over(run))
              .withColumn("group_rows", F.sum("_n").over(W.partitionBy(*g)))
-             .withColumn("_limit", limit.cast("bigint")))
-    # one row per group: the prefix of the cut, or none when the group fits or nothing is wanted
+             .withColumn("_l", F.explode(named)).select("*", "_l.cut", "_l._limit"))
+    # one row per group and limit: the prefix of the cut, or none when the group fits or nothing is wanted
     at = F.max(F.when(here, F.struct("_p", (F.col("_hi") - F.col("_n")).alias("_before"))))
-    cut = cut_lineage(sized.groupBy(*g).agg((F.max("_limit") >= F.max("group_rows")).alias("_whole"),
-                                            F.max("_limit").alias("_limit"), at.alias("_at"))
-                      .select(*g, "_whole", "_limit", F.col("_at._p").alias("_p"), F.col("_at._before").alias("_before")))
+    cut = cut_lineage(sized.groupBy(*g, "cut").agg((F.max("_limit") >= F.max("group_rows")).alias("_whole"),
+                                                   F.max("_limit").alias("_limit"), at.alias("_at"))
+                      .select(*g, "cut", "_whole", "_limit", F.col("_at._p").alias("_p"), F.col("_at._before").alias("_before")))
     edge = df.select(*g, F.col(key).alias("_k"), prefix).join(cut.filter("not _whole"), [*g, "_p"]).groupBy(
-        *g, "_limit", "_before", "_k").agg(F.count("*").alias("_n"))
-    by_key = W.partitionBy(*g).orderBy("_k").rowsBetween(W.unboundedPreceding, 0)
+        *g, "cut", "_limit", "_before", "_k").agg(F.count("*").alias("_n"))
+    by_key = W.partitionBy(*g, "cut").orderBy("_k").rowsBetween(W.unboundedPreceding, 0)
     edge = (edge.withColumn("_hi", F.col("_before") + F.sum("_n").over(by_key)).filter(here)
-            .select(*g, F.col("_k").alias("_cut"), (F.col("_limit") - F.col("_hi") + F.col("_n")).alias("_take"),
+            .select(*g, "cut", F.col("_k").alias("_cut"), (F.col("_limit") - F.col("_hi") + F.col("_n")).alias("_take"),
                     (F.col("_limit") == F.col("_hi")).alias("_full")))
-    return cut_lineage(cut.select(*g, "_whole").join(edge, g, "left"))
+    return cut_lineage(cut.select(*g, "cut", "_whole").join(edge, [*g, "cut"], "left"))
 
 
 def smallest_per_group(df: DataFrame, groups: Sequence[str], key: str, limit: Column | int) -> DataFrame:
@@ -50,7 +51,7 @@ def smallest_per_group(df: DataFrame, groups: Sequence[str], key: str, limit: Co
     if not groups:
         df = df.withColumn("_all", F.lit(0))
     limit = limit if isinstance(limit, Column) else F.lit(limit)
-    marked = df.join(digest_cuts(df, g, key, limit), g)
+    marked = df.join(digest_cuts(df, g, key, {"limit": limit}), g)
     at_cut = F.col(key) == F.col("_cut")
     keep = marked.filter(F.col("_whole") | (F.col(key) < F.col("_cut")) | (F.col("_full") & at_cut))
     part = (marked.filter(~F.col("_whole") & ~F.col("_full") & at_cut)

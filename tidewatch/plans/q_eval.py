@@ -165,14 +165,14 @@ def confusion_by_category(spark, sf):
 
 @query("master_table", "model day tp:i fp:i tn:i fn:i precision:d recall:d f1:d", KNOWN_SQL + f"""
 --result
-SELECT 'dos_inspector' AS model, day, tp, fp, tn, fn, precision, recall, f1 FROM (SELECT *, {RATES_SQL} FROM (SELECT day, {TAG_CELLS} FROM tagged GROUP BY day))
+SELECT 'per_flow' AS model, day, tp, fp, tn, fn, precision, recall, f1 FROM (SELECT *, {RATES_SQL} FROM (SELECT day, {TAG_CELLS} FROM tagged GROUP BY day))
 UNION ALL SELECT 'portscan', day, tp, fp, NULL, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END,
   CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END
   FROM (SELECT coalesce(b.day, k.day) AS day, count(*) FILTER (WHERE b.ip IS NOT NULL AND k.ip IS NOT NULL) AS tp,
   count(*) FILTER (WHERE k.ip IS NULL) AS fp, count(*) FILTER (WHERE b.ip IS NULL) AS fn
   FROM best b FULL JOIN known k ON b.day = k.day AND b.ip = k.ip GROUP BY 1)""", "tagged")
 def master_table(spark, sf):
-    return CF.master_table({"dos_inspector": CF.confusion_by(C.tagged(spark, sf), "day"),
+    return CF.master_table({"per_flow": CF.confusion_by(C.tagged(spark, sf), "day"),
                             "portscan": CF.known_ip_confusion(_best(spark, sf), _known(spark, sf))})
 
 

@@ -23,13 +23,18 @@ def local_session(cores: int = 8, app: str = "tidewatch") -> SparkSession:
     return spark
 
 
+_OWN_FOLDER: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDER:
+        _OWN_FOLDER[app] = tempfile.mkdtemp(prefix="tidewatch-")
+    return _OWN_FOLDER[app]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
