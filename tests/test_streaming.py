@@ -1,6 +1,5 @@
 """Streams against their batch twins on the same rows."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from tidewatch import config, fixtures
@@ -44,3 +43,14 @@ def test_late_rows_are_counted(spark, sf):
     p, seen = PL.count_late(fixtures.packets(spark, sf), "ts", "2024-01-02 00:00:00")
     n = p.count()
     assert seen.get["rows"] == n and 0 < seen.get["late_rows"] < n
+
+
+def test_silent_keys_are_scored_by_timers(spark, sf):
+    """Every key with enough SYNs in its last window is scored although no later packet of it arrives."""
+    PL.use_rocksdb(spark)
+    p = fixtures.packets(spark, sf)
+    cfg = config.AUTH.with_(window_sec=90 * 86_400, min_events=2, early_events=10**6, early_seconds=1e12, idle_seconds=0.0, cooldown_sec=0)
+    s = DT.detect_auth_stream(PL.replay(spark, p, slices=2, stop_after_us=200 * 86_400_000_000), LinearScore({0: 1.0}), cfg)
+    got = {r.key: r.syn_count for r in PL.run_to_end(s, spark, "auth").collect()}
+    syn = p.filter("proto = 6 AND flags = 2").groupBy("src_ip").count().filter("count >= 2")
+    assert got == {r.src_ip: r["count"] for r in syn.collect()} and got

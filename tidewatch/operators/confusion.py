@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.functions.addresses import flow_id_candidates, is_valid_ip, map_ip, proto_num, reverse_flow_id
+from tidewatch.functions.addresses import flow_id_candidates, is_valid_ip, map_ip, proto_num
 from tidewatch.functions.features import ratio
 
 MEASURES = ("accuracy", "precision", "recall", "f1", "fpr")
@@ -101,7 +101,7 @@ def ip_confusion(index: DataFrame, ips: DataFrame, universe: DataFrame | None =
     return rates(out)
 
 
-def known_ip_confusion(alerts: DataFrame, known: DataFrame, days: Sequence[str] | None = None) -> DataFrame:
+def known_ip_confusion(alerts: DataFrame, known: DataFrame) -> DataFrame:
     """Per day: alerted addresses against ``known(day, ip)``; without a known attacker every alert is false."""
     a = alerts.select("day", "ip").distinct().withColumn("_a", F.lit(True))
     k = known.select("day", "ip").distinct().withColumn("_k", F.lit(True))

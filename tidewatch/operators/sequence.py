@@ -50,23 +50,23 @@ def _small_keys(times: DataFrame, keys: Sequence[str], width_us: int) -> DataFra
     return times.select(*keys, "ts_us").groupBy(*keys).applyInPandas(walk, schema)
 
 
+def _cell(width_us: int):
+    """Cells much shorter than a window, so a sort group is limited by the microseconds in one of them."""
+    return F.floor(F.col("ts_us") / max(1, width_us // 64))
+
+
 def _next_start(times: DataFrame, keys: Sequence[str], width_us: int) -> DataFrame:
     """For each time of a key, the first time at least ``width_us`` later → (keys, ts_us, nxt).
 
-    Times are laid out in cells of one window length. The answer lies in the next cell, or is the first time of a
-    later one; both are found by sorting within single cells.
+    The wanted time lies in the cell of ``ts_us + width_us``, or is the first time of the next occupied cell; both are
+    found by sorting within single cells.
     """
-    cell = F.floor(F.col("ts_us") / width_us)
-    own = times.select(*keys, "ts_us", cell.alias("_c"), F.lit(1).alias("_real"))
-    ask = times.select(*keys, (F.col("ts_us") + width_us).alias("ts_us"), (cell + 1).alias("_c"),
-                       F.lit(0).alias("_real"))
+    own = times.select(*keys, "ts_us", F.lit(1).alias("_real"))
+    ask = times.select(*keys, (F.col("ts_us") + width_us).alias("ts_us"), F.lit(0).alias("_real"))
+    both = own.unionByName(ask).withColumn("_c", _cell(width_us))
     ahead = W.partitionBy(*keys, "_c").orderBy("ts_us", "_real").rowsBetween(0, W.unboundedFollowing)
-    inside = own.unionByName(ask).withColumn(
-        "nxt", F.min(F.when(F.col("_real") == 1, F.col("ts_us"))).over(ahead)).filter("_real = 0")
-    firsts = own.groupBy(*keys, "_c").agg(F.min("ts_us").alias("_first"))
-    # cells that are only asked for need the next occupied one as well
-    cells = firsts.unionByName(ask.select(*keys, "_c").distinct().withColumn("_first", F.lit(None).cast("bigint")))
-    cells = cells.groupBy(*keys, "_c").agg(F.max("_first").alias("_first")).withColumn(
+    inside = both.withColumn("nxt", F.min(F.when(F.col("_real") == 1, F.col("ts_us"))).over(ahead)).filter("_real = 0")
+    cells = both.groupBy(*keys, "_c").agg(F.min(F.when(F.col("_real") == 1, F.col("ts_us"))).alias("_first")).withColumn(
         "_later", F.first("_first", ignorenulls=True).over(
             W.partitionBy(*keys).orderBy("_c").rowsBetween(1, W.unboundedFollowing)))
     return inside.join(cells.select(*keys, "_c", "_later"), [*keys, "_c"]).select(
@@ -91,16 +91,16 @@ def _large_keys(times: DataFrame, keys: Sequence[str], width_us: int) -> DataFra
         known = now
         hop = jump.select(*keys, F.col("ts_us").alias("nxt"), F.col("nxt").alias("_far"))
         jump = cut_lineage(jump.join(hop, [*keys, "nxt"]).select(*keys, "ts_us", F.col("_far").alias("nxt")))
-    # each time belongs to the latest start at or before it; a window spans at most two cells
-    cell = F.floor(F.col("ts_us") / width_us)
-    marks = starts.select(*keys, "ts_us", F.col("ts_us").alias("_start"))
-    marks = marks.withColumn("_c", F.explode(F.array(cell, cell + 1)))
-    both = times.select(*keys, "ts_us", cell.alias("_c"), F.lit(None).cast("bigint").alias("_start")).unionByName(
-        marks.select(*keys, "ts_us", "_c", "_start"))
-    back = W.partitionBy(*keys, "_c").orderBy("ts_us", F.col("_start").asc_nulls_last()).rowsBetween(
-        W.unboundedPreceding, 0)
-    return both.withColumn("win_start_us", F.max("_start").over(back)).filter("_start is null").select(
-        *keys, "ts_us", "win_start_us")
+    # each time belongs to the latest start at or before it, in its own cell or an earlier one
+    rows = times.select(*keys, "ts_us").join(starts.withColumn("_start", F.col("ts_us")), [*keys, "ts_us"], "left")
+    rows = rows.withColumn("_c", _cell(width_us))
+    back = W.partitionBy(*keys, "_c").orderBy("ts_us").rowsBetween(W.unboundedPreceding, 0)
+    before = rows.groupBy(*keys, "_c").agg(F.max("_start").alias("_s")).withColumn(
+        "_earlier", F.last("_s", ignorenulls=True).over(
+            W.partitionBy(*keys).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)))
+    return rows.withColumn("_own", F.max("_start").over(back)).join(
+        before.select(*keys, "_c", "_earlier"), [*keys, "_c"]).select(
+        *keys, "ts_us", F.coalesce("_own", "_earlier").alias("win_start_us"))
 
 
 def anchored_starts(df: DataFrame, keys: Sequence[str], width_sec: float, ts_us: str = "ts_us",

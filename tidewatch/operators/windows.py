@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidewatch.functions.addresses import ip_to_long, is_private_ip
+from tidewatch.functions.addresses import is_private_ip
 from tidewatch.functions.features import ratio
 from tidewatch.functions.packets import FIN, PSH, RST, SYN, ACK, has, is_syn, is_syn_ack
 
@@ -170,11 +170,14 @@ def endpoint_window_features(packets: DataFrame, window_sec: int = 60, min_event
 
 def dual_role(packets: DataFrame) -> DataFrame:
     """Each TCP packet twice: once for its source's profile, once for its destination's."""
-    tcp = packets.filter(F.col("proto") == 6)
-    return tcp.withColumn("_r", F.explode(F.array(
+    return both_ends(packets.filter(F.col("proto") == 6))
+
+
+def both_ends(packets: DataFrame) -> DataFrame:
+    return packets.withColumn("_r", F.explode(F.array(
         F.struct(F.lit("src").alias("role"), F.col("src_ip").alias("ip"), F.col("dst_ip").alias("peer_ip")),
         F.struct(F.lit("dst").alias("role"), F.col("dst_ip").alias("ip"), F.col("src_ip").alias("peer_ip"))))
-    ).select("_r.role", "_r.ip", "_r.peer_ip", *[c for c in tcp.columns if c not in ("src_ip", "dst_ip")])
+    ).select("_r.role", "_r.ip", "_r.peer_ip", *[c for c in packets.columns if c not in ("src_ip", "dst_ip")])
 
 
 def _role_features(packets: DataFrame, window_sec: int, min_syns: int, private_only: bool) -> DataFrame:

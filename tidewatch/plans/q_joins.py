@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import confusion as CF, joins as J, ranking as RK, sampling as SM, windows as WN
+from tidewatch.operators import confusion as CF, joins as J, sampling as SM, windows as WN
 from tidewatch.plans import q_common as C
 from tidewatch.plans.q_eval import LIVE_SQL, live
 from tidewatch.plans.registry import query

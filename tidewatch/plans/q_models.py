@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewatch.models import explain as E, iforest as IF, scaler as SC, trees as TR
-from tidewatch.operators import diagnostics as D
 from tidewatch.plans import q_common as C
 from tidewatch.plans.registry import query
 

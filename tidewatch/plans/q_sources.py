@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidewatch import fixtures, schemas
 from tidewatch.config import FLOW_FEATURES_15
 from tidewatch.plans import q_common as C
-from tidewatch.plans.q_scalars import table_a
 from tidewatch.plans.registry import query
 from tidewatch.session import new_folder
 from tidewatch.sinks import writers

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tidewatch.functions.labels import WINDOW_ENGINES, enrich_alert
