@@ -78,6 +78,7 @@ def gap_counts(df: DataFrame, keys: Sequence[str], ts_us: str = "ts_us", span_se
     piece = max(1, span_sec * US // pieces)
     base = F.col(ts_us) if origin is None else F.col(ts_us) - F.col(origin)
     times = df.select(*keys, F.col(ts_us).alias("_t"), F.floor(base / piece).alias("_piece")).distinct()
+    times = times.repartition(*keys, "_piece")     # one exchange serves the lag and the edges
     inside = times.withColumn("_prev", F.lag("_t").over(W.partitionBy(*keys, "_piece").orderBy("_t")))
     edges = times.groupBy(*keys, "_piece").agg(F.min("_t").alias("_t"), F.max("_t").alias("_last"))
     across = edges.withColumn("_prev", F.lag("_last").over(W.partitionBy(*keys).orderBy("_piece")))
@@ -89,6 +90,7 @@ def gap_counts(df: DataFrame, keys: Sequence[str], ts_us: str = "ts_us", span_se
 def gap_pairs(df: DataFrame, keys: Sequence[str], ts_us: str = "ts_us", piece_us: int = US) -> DataFrame:
     """Consecutive distinct times of a key → (keys, _prev, _t); same pieces as ``gap_counts``."""
     times = df.select(*keys, F.col(ts_us).alias("_t"), F.floor(F.col(ts_us) / piece_us).alias("_piece")).distinct()
+    times = times.repartition(*keys, "_piece")
     inside = times.withColumn("_prev", F.lag("_t").over(W.partitionBy(*keys, "_piece").orderBy("_t")))
     edges = times.groupBy(*keys, "_piece").agg(F.min("_t").alias("_t"), F.max("_t").alias("_last"))
     across = edges.withColumn("_prev", F.lag("_last").over(W.partitionBy(*keys).orderBy("_piece")))
