@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import decontaminate, exact_dedup, html_extract, label_sharding, toxicity, url_filters
+from tidewatch.llm import decontaminate, exact_dedup, html_extract, label_sharding, sentence_pieces, toxicity, url_filters
 from tidewatch.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -93,3 +93,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = html_extract.extract(pages, html_extract.fit(pages))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = sentence_pieces.public_vocabulary()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentence_pieces.decode(sentence_pieces.encode(docs, vocabulary), vocabulary)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids",
+                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
