@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import decontaminate, exact_dedup, html_extract, label_sharding, sentence_pieces, toxicity, url_filters
+from tidewatch.llm import decontaminate, exact_dedup, html_extract, jaccard_join, label_sharding, sentence_pieces, toxicity, url_filters
 from tidewatch.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -102,3 +102,8 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentence_pieces.decode(sentence_pieces.encode(docs, vocabulary), vocabulary)
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids",
                         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
