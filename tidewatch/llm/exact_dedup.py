@@ -16,6 +16,7 @@ from tidewatch.llm.common import spare_name, stage
 WHITE = r"[\x20\x09-\x0D]+"
 HIST_BITS = 10
 KEY_BITS = 60
+SALTS = 16
 
 
 def normalised(text: str | Column) -> Column:
@@ -82,10 +83,13 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("key", F.xxhash64("norm")).withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
     lean = stage(rows.drop("norm"), "hash-rows")
     entries = lean.groupBy("key").agg(F.count("*").alias("n_rows"))
-    repeated = index_files(entries, capacity).filter("n_rows > 1").select("key")
+    # a key may hold a third of all rows: its rows meet the index in SALTS parts, and each part is pre-aggregated
+    repeated = index_files(entries, capacity).filter("n_rows > 1").select(
+        "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_hash"))
     texts = df.select(F.col(id_col).alias("id"), row.alias("row_hash"), text.alias("norm")).withColumn("key", F.xxhash64("norm"))
-    links = (texts.join(repeated, "key", "left_semi").groupBy("key", "norm")
+    texts = texts.withColumn("salt", F.pmod("row_hash", F.lit(SALTS)).cast("int"))
+    links = (texts.join(repeated.hint("shuffle_merge"), ["key", "salt"], "left_semi").groupBy("key", "norm")
              .agg(first.alias("first"), F.count("*").alias("size"))
              .select("key", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "first", "size"))
     found = lean.join(links, ["key", "text_sha256"], "left")
