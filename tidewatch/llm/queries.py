@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import decontaminate, exact_dedup, html_extract, jaccard_join, label_sharding, sentence_pieces, toxicity, url_filters
+from tidewatch.llm import decontaminate, exact_dedup, html_extract, jaccard_join, label_sharding, line_dedup, sentence_pieces, toxicity, url_filters
 from tidewatch.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -107,3 +107,12 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.removed_per_document(docs)
+    return docs.select("doc_id").join(found, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))
