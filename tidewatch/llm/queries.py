@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import decontaminate, exact_dedup, html_extract, jaccard_join, label_sharding, line_dedup, sentence_pieces, toxicity, url_filters
+from tidewatch.llm import decontaminate, exact_dedup, html_extract, jaccard_join, label_sharding, line_dedup, sentence_pieces, suffix_dedup, toxicity, url_filters
 from tidewatch.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -116,3 +116,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(found, "doc_id", "left").select(
         "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

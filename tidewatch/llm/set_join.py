@@ -138,28 +138,42 @@ def rarity(first: DataFrame) -> np.ndarray:
     return np.floor(2 * np.log2(counts + 1)).astype(np.uint8)
 
 
-def node_filter(nodes: DataFrame) -> np.ndarray:
-    """Bit filter (uint64 words) of the ``node`` values: 16 bits for each, between 2^16 and 2^27 bits."""
+def node_filter(nodes: DataFrame, column: str = "node") -> np.ndarray:
+    """Bit filter (uint64 words) of the values of ``column``: 16 bits for each, between 2^18 and 2^27 bits.
+
+    A value sets two bits of one block; the values are dealt by block, so a task builds its blocks alone."""
     n = nodes.count()
-    bits = min(FILTER_BITS, max(16, int(16 * max(1, n) - 1).bit_length()))
-    words, chunk = 1 << (bits - 6), min(CHUNK, 1 << (bits - 6))
+    bits = min(FILTER_BITS, max(18, int(16 * max(1, n) - 1).bit_length()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = np.zeros(words, np.uint64)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for at in _places(x, bits):
-                np.bitwise_or.at(got, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
-        parts = got.view(np.int64).reshape(-1, chunk)
-        for c in range(len(parts)):
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([parts[c].tobytes()], pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array((_places(x, bits)[0] >> np.uint64(18)).astype(np.int32)), batch.column(0)], ["chunk", "x"])
 
-    got = add_up(nodes.select("node").mapInArrow(run, "chunk int, counts binary"), np.bitwise_or)
-    return (got if len(got) else np.zeros(words, np.int64)).view(np.uint64)
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            chunk = batch.column(0).to_numpy()
+            x = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for c in np.unique(chunk):
+                flags = blocks.setdefault(int(c), np.zeros(1 << 18, bool))
+                for at in _places(x[chunk == c], bits):
+                    flags[(at & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+        for c, flags in blocks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()])], ["chunk", "bits"])
+
+    made = (nodes.select(column).mapInArrow(deal, "chunk int, x bigint").repartition(16, "chunk")
+            .mapInArrow(build, "chunk int, bits binary").collect())                        # at most 2^27 bits
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    for r in made:
+        out[r.chunk << 12:(r.chunk + 1) << 12] = np.frombuffer(r.bits, np.uint64)
+    return out
 
 
 def _places(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return mix(x) >> np.uint64(64 - bits), mix(x ^ np.uint64(MIX_B)) >> np.uint64(64 - bits)
+    at = mix(x) >> np.uint64(64 - bits)
+    low = np.uint64((1 << 18) - 1)
+    return at, (at & ~low) | (mix(x ^ np.uint64(MIX_B)) & low)
 
 
 def in_filter(x: np.ndarray, words: np.ndarray) -> np.ndarray:
