@@ -1,8 +1,8 @@
 """N-gram Jaccard join: components of documents whose sets of 5-word shingles are similar.
 
-1. One pass gives every document its set size, the id of its set, six minima under different hashes, and the token counts.
+1. One pass gives every document its set size, the id of its set, twelve minima under different hashes, and the token counts.
    Documents with equal sets are one node from here on.
-2. Nodes with an equal minimum are compared with the smallest and the largest node of that group only. This joins
+2. Nodes with an equal minimum are compared with the two nodes of that group only whose minima are shared most. This joins
    families of near copies of any size with a number of comparisons in proportion to the family.
 3. All other links: the prefixes of the sets (rare tokens first) meet by token, in tiles of neighbouring size bands. Only
    nodes of different components are paired; position and size bounds, then bit counts of hashed parity bitmaps bound the
@@ -16,18 +16,26 @@ import math
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewatch.llm.common import spare_name, stage
-from tidewatch.llm.set_join import Threshold, components, first_pass, prefix_tokens, rarity, shingle_sets, verified
+from tidewatch.llm.set_join import Threshold, components, first_pass, met_before, prefix_tokens, rarity, shingle_sets, verified, with_heads
 
 THRESHOLD = Threshold(75, 100)
 
 
-def star_pairs(nodes: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs (``a`` < ``b``) of each node with the ends of the groups that share one of its minima."""
-    own = nodes.select("node", "n", F.posexplode("mins").alias("k", "low"))
-    ends = F.array(F.min(F.struct("node", "n")), F.max(F.struct("node", "n")))
-    centres = (own.groupBy("k", "low").agg(ends.alias("ends"), F.count("*").alias("size")).filter("size > 1")
-               .select("k", "low", F.explode("ends").alias("end")).select("k", "low", F.col("end.node").alias("c"), F.col("end.n").alias("nc")))
-    pairs = own.join(centres, ["k", "low"]).filter(F.col("node") != F.col("c")).filter(
+def star_pairs(nodes: DataFrame, t: Threshold, centres: int = 2) -> DataFrame:
+    """Pairs (``a`` < ``b``) of each node with the centres of the groups that share one of its minima.
+
+    The centres are the nodes whose minima are shared most: in a family of near copies that is the text they come from."""
+    own = stage(nodes.select("node", "n", F.posexplode("mins").alias("k", "low")), "minima")
+    sizes = own.groupBy("k", "low").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = stage(own.join(sizes, ["k", "low"]), "shared-minima")
+    score = shared.groupBy("node").agg(F.sum("size").alias("score"))
+    ranked = shared.join(score, "node").withColumn("place", F.struct("score", "node", "n"))
+    best = ranked.groupBy("k", "low").agg(F.max("place").alias("one"))
+    if centres > 1:                                        # the runner-up as well
+        second = ranked.join(best, ["k", "low"]).filter("node <> one.node").groupBy("k", "low").agg(F.max("place").alias("one"))
+        best = best.unionByName(second)
+    best = best.select("k", "low", F.col("one.node").alias("c"), F.col("one.n").alias("nc"))
+    pairs = shared.join(best, ["k", "low"]).filter(F.col("node") != F.col("c")).filter(
         F.least("n", "nc") * t.den >= F.greatest("n", "nc") * t.num)
     return pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
@@ -40,17 +48,18 @@ def tile_pairs(tokens: DataFrame, comps: DataFrame, t: Threshold) -> DataFrame:
     shared = stage(shared.dropDuplicates(["token", "node"]), "shared-tokens")
     grouped = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = grouped.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rows = stage(grouped.join(several, "token", "left_semi").withColumn(
+    rows = stage(with_heads(grouped.join(several, "token", "left_semi")).withColumn(
         "band", F.floor(F.log(F.col("n").cast("double")) / math.log(t.den / t.num) + 1e-9)), "tiles")
     # the smaller set (x) stands in its own band, the larger (y) in its own and the one below
-    x = rows.select("token", "band", *[F.col(c).alias("x_" + c) for c in ("node", "n", "pos", "comp")])
-    y = rows.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), *[F.col(c).alias("y_" + c) for c in ("node", "n", "pos", "comp")])
+    x = rows.select("token", "band", *[F.col(c).alias("x_" + c) for c in ("node", "n", "pos", "comp", "head")])
+    y = rows.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), *[F.col(c).alias("y_" + c) for c in ("node", "n", "pos", "comp", "head")])
     need = (F.col("x_n") + F.col("y_n")) * t.num
     index = F.col("x_n") - F.ceil(2 * t.num * F.col("x_n") / F.lit(t.num + t.den)) + 1
     pairs = (x.join(y, ["token", "band"])
              .filter("x_comp <> y_comp and (x_n < y_n or (x_n = y_n and x_node < y_node))")
              .filter(F.col("x_n") * t.den >= F.col("y_n") * t.num).filter(F.col("x_pos") < index)
-             .filter(F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (t.num + t.den) >= need))
+             .filter(F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (t.num + t.den) >= need)
+             .filter(~met_before()))
     return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewatch.llm.common import BASE, LOWER, MIX_A, MIX_B, SPACE, list_array, mix, prefix_hash, signed, slices, span_hash, spans, stage
 
-N_MINS = 6
+N_MINS = 12
 SKETCH_BITS, CHUNK = 18, 1 << 12
 #: Most bits of a node filter (16 MB); beyond that it lets more rows pass, which later joins remove.
 FILTER_BITS = 27
@@ -232,6 +232,18 @@ def prefix_tokens(items: DataFrame, sets: Callable, levels: np.ndarray, t: Thres
     return items.select("text").mapInArrow(run, "token bigint, pos int, n int, node bigint")
 
 
+def with_heads(rows: DataFrame, size: int = 8) -> DataFrame:
+    """``rows`` (``token``, ``pos``, ``node``) with ``head``: the first tokens of the node among these rows."""
+    first = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, size), lambda x: x["token"])
+    return rows.join(rows.groupBy("node").agg(first.alias("head")), "node")
+
+
+def met_before(x_head: str = "x_head", y_head: str = "y_head", token: str = "token") -> Column:
+    """Whether the heads of two nodes share a token before this one. Such a pair comes up at that token as well, so it can
+    be left out here: its first common token is never left out, and that one passes all bounds if the pair is similar."""
+    return F.coalesce(F.get(F.array_intersect(x_head, y_head), 0) != F.col(token), F.lit(False))
+
+
 def bitmap(s: np.ndarray) -> np.ndarray:
     """Parity bitmap of a set: about one bit a token (64 to 4096 bits, a power of two), flipped once for each token."""
     bits = min(12, max(6, int(len(s) - 1).bit_length()))
@@ -249,10 +261,11 @@ def differing_bits(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def arrays_of(items: DataFrame, nodes: DataFrame, sets: Callable, name: str) -> DataFrame:
-    """Written table ``node``, ``n``, ``bits``, ``tokens`` (sorted) of the given nodes; the texts are scanned, not moved."""
-    words = node_filter(nodes)
-    shipped = items.sparkSession.sparkContext.broadcast(words)
+def sets_of(items: DataFrame, nodes: DataFrame, sets: Callable, name: str, whole: bool) -> DataFrame:
+    """Written table ``node``, ``n`` and either ``tokens`` (sorted, ``whole``) or ``bits`` of the given nodes; the texts are
+    scanned, not moved."""
+    shipped = items.sparkSession.sparkContext.broadcast(node_filter(nodes))
+    last, kind = ("tokens", "array<bigint>") if whole else ("bits", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen = shipped.value, _Seen()
@@ -263,13 +276,15 @@ def arrays_of(items: DataFrame, nodes: DataFrame, sets: Callable, name: str) ->
             ok = in_filter(np.array([i for i, _ in held], np.uint64), wanted)
             held = [x for x, k in zip(held, ok) if k and seen.new(x[0])]
             if held:
-                off2 = np.concatenate([[0], np.cumsum([len(s) for _, s in held])])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.array([i for i, _ in held], np.uint64))), pa.array([len(s) for _, s in held], pa.int32()),
-                     pa.array([bitmap(s).tobytes() for _, s in held], pa.binary()), list_array(signed(np.concatenate([s for _, s in held])), off2)],
-                    ["node", "n", "bits", "tokens"])
+                if whole:
+                    off2 = np.concatenate([[0], np.cumsum([len(s) for _, s in held])])
+                    column = list_array(signed(np.concatenate([s for _, s in held])), off2)
+                else:
+                    column = pa.array([bitmap(s).tobytes() for _, s in held], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.array([i for i, _ in held], np.uint64))),
+                                                  pa.array([len(s) for _, s in held], pa.int32()), column], ["node", "n", last])
 
-    found = items.select("text").mapInArrow(run, "node bigint, n int, bits binary, tokens array<bigint>")
+    found = items.select("text").mapInArrow(run, f"node bigint, n int, {last} {kind}")
     return stage(found.dropDuplicates(["node"]), name)
 
 
@@ -294,17 +309,21 @@ def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
 def verified(pairs: DataFrame, items: DataFrame, sets: Callable, t: Threshold, name: str) -> DataFrame:
     """The ``a``, ``b`` of ``pairs`` (written) that reach the threshold. Bit counts bound the overlap from above before the
     sorted arrays are fetched and intersected."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = stage(nodes, name + "-nodes")
-    arrays = arrays_of(items, nodes, sets, name + "-sets")
-    left = arrays.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    right = arrays.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    near = (pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("apart", _bits_apart("bits_a", "bits_b"))
+    def ends(of: DataFrame, name: str) -> DataFrame:
+        return stage(of.select(F.explode(F.array("a", "b")).alias("node")).distinct(), name)
+
+    def with_sides(of: DataFrame, table: DataFrame, value: str) -> DataFrame:
+        left = table.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col(value).alias("va"))
+        right = table.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col(value).alias("vb"))
+        return of.select("a", "b").join(left, "a").join(right, "b")
+
+    marks = sets_of(items, ends(pairs, name + "-nodes"), sets, name + "-bits", whole=False)
+    near = (with_sides(pairs, marks, "bits").withColumn("apart", _bits_apart("va", "vb"))
             .filter(t.similar((F.col("na") + F.col("nb") - F.col("apart")) / 2, F.col("na"), F.col("nb"))).select("a", "b"))
     near = stage(near, name + "-bounded")
-    full = near.join(arrays.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a").join(
-        arrays.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
-    return stage(full.withColumn("overlap", _overlap("ta", "tb")).filter(t.similar(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b"), name)
+    arrays = sets_of(items, ends(near, name + "-close"), sets, name + "-sets", whole=True)
+    full = with_sides(near, arrays, "tokens").withColumn("overlap", _overlap("va", "vb"))
+    return stage(full.filter(t.similar(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b"), name)
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
