@@ -47,8 +47,9 @@ def tile_pairs(tokens: DataFrame, comps: DataFrame, t: Threshold) -> DataFrame:
               .filter("lo <> hi").drop("lo", "hi"))
     shared = stage(shared.dropDuplicates(["token", "node"]), "shared-tokens")
     grouped = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = grouped.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rows = stage(with_heads(grouped.join(several, "token", "left_semi")).withColumn(
+    several = (grouped.withColumn("lo", F.min("comp").over(every)).withColumn("hi", F.max("comp").over(every))
+               .filter("lo <> hi").drop("lo", "hi"))
+    rows = stage(with_heads(several).withColumn(
         "band", F.floor(F.log(F.col("n").cast("double")) / math.log(t.den / t.num) + 1e-9)), "tiles")
     # the smaller set (x) stands in its own band, the larger (y) in its own and the one below
     x = rows.select("token", "band", *[F.col(c).alias("x_" + c) for c in ("node", "n", "pos", "comp", "head")])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewatch.llm.common import spare_name, stage
-from tidewatch.llm.set_join import Threshold, first_pass, prefix_tokens, rarity, verified, word_sets
+from tidewatch.llm.set_join import Threshold, first_pass, met_before, prefix_tokens, rarity, verified, with_heads, word_sets
 
 THRESHOLD = Threshold(9, 10)
 
@@ -44,9 +44,9 @@ def _earlier(tokens: DataFrame, nodes: DataFrame, resolved: DataFrame, t: Thresh
         resolved.select(F.col("b").alias("node"), F.lit(True).alias("gone")).distinct(), "node", "left")
     # a word is of use if a line that is still open stands after another one
     wanted = shared.groupBy("token").agg(F.min("at").alias("first"), F.max(F.when(F.col("gone").isNull(), F.col("at"))).alias("last"))
-    rows = stage(shared.join(wanted.filter("last > first").select("token"), "token", "left_semi"), "line-words")
-    x = rows.select("token", *[F.col(c).alias("x_" + c) for c in ("node", "n", "pos", "at")])
-    y = rows.filter("gone is null").select("token", *[F.col(c).alias("y_" + c) for c in ("node", "n", "pos", "at")])
+    rows = stage(with_heads(shared.join(wanted.filter("last > first").select("token"), "token", "left_semi")), "line-words")
+    x = rows.select("token", *[F.col(c).alias("x_" + c) for c in ("node", "n", "pos", "at", "head")])
+    y = rows.filter("gone is null").select("token", *[F.col(c).alias("y_" + c) for c in ("node", "n", "pos", "at", "head")])
     both = F.col("x_n") + F.col("y_n")
     # positions of the smaller set lie in its shorter index prefix
     short, at = F.least("x_n", "y_n"), F.when(F.col("x_n") < F.col("y_n"), F.col("x_pos")).when(
@@ -54,7 +54,8 @@ def _earlier(tokens: DataFrame, nodes: DataFrame, resolved: DataFrame, t: Thresh
     pairs = (x.join(y, "token").filter("x_at < y_at and x_node <> y_node")
              .filter(short * t.den >= F.greatest("x_n", "y_n") * t.num)
              .filter(at < short - F.ceil(2 * t.num * short / F.lit(t.num + t.den)) + 1)
-             .filter(F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (t.num + t.den) >= both * t.num))
+             .filter(F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (t.num + t.den) >= both * t.num)
+             .filter(~met_before()))
     return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tidewatch.llm.common import BASE, LOWER, MIX_A, MIX_B, SPACE, list_array, mix, prefix_hash, signed, slices, span_hash, spans, stage
 
@@ -232,10 +232,10 @@ def prefix_tokens(items: DataFrame, sets: Callable, levels: np.ndarray, t: Thres
     return items.select("text").mapInArrow(run, "token bigint, pos int, n int, node bigint")
 
 
-def with_heads(rows: DataFrame, size: int = 8) -> DataFrame:
+def with_heads(rows: DataFrame, size: int = 4) -> DataFrame:
     """``rows`` (``token``, ``pos``, ``node``) with ``head``: the first tokens of the node among these rows."""
-    first = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, size), lambda x: x["token"])
-    return rows.join(rows.groupBy("node").agg(first.alias("head")), "node")
+    own = W.partitionBy("node").orderBy("pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return rows.withColumn("head", F.slice(F.collect_list("token").over(own), 1, size))
 
 
 def met_before(x_head: str = "x_head", y_head: str = "y_head", token: str = "token") -> Column:
@@ -310,7 +310,8 @@ def verified(pairs: DataFrame, items: DataFrame, sets: Callable, t: Threshold, n
     """The ``a``, ``b`` of ``pairs`` (written) that reach the threshold. Bit counts bound the overlap from above before the
     sorted arrays are fetched and intersected."""
     def ends(of: DataFrame, name: str) -> DataFrame:
-        return stage(of.select(F.explode(F.array("a", "b")).alias("node")).distinct(), name)
+        first = of.select(F.col("a").alias("node")).distinct()
+        return stage(first.unionByName(of.select(F.col("b").alias("node")).distinct()).distinct(), name)
 
     def with_sides(of: DataFrame, table: DataFrame, value: str) -> DataFrame:
         left = table.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col(value).alias("va"))
