@@ -61,7 +61,7 @@ def directory(keys: DataFrame, capacity: int) -> DataFrame:
 def index_files(entries: DataFrame, capacity: int) -> DataFrame:
     """Write ``entries`` (one row per ``key``) with ``bucket_depth`` and ``bucket`` in bucket order; owner tasks hold key ranges."""
     buckets = stage(directory(entries.select("key"), capacity), "buckets")
-    depths = sorted(r.depth for r in buckets.select("depth").distinct().collect())        # at most KEY_BITS + 1 numbers
+    depths = sorted(r.depth for r in buckets.select("depth").distinct().collect()) or [0]  # at most KEY_BITS + 1 numbers
     named = F.array(*[F.struct(F.lit(d).alias("depth"), prefix_of(F.col("key"), d).alias("prefix")) for d in depths])
     placed = (entries.withColumn("_at", F.explode(named)).select("*", "_at.depth", "_at.prefix").drop("_at")
               .join(buckets, ["depth", "prefix"]))
