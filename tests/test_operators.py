@@ -245,3 +245,14 @@ def test_sliding_windows_start_and_clip(spark):
 def test_narrative_numbers(spark):
     df = spark.createDataFrame([(3.0,), (0.123456,), (1234567.0,), (0.0,)], "v double")
     assert [r[0] for r in df.select(L.short_number("v")).collect()] == ["3", "0.123", "1230000", "0"]
+
+
+def test_smallest_per_group_keeps_different_rows_of_one_key(spark):
+    from tidewatch.operators.ranking import smallest_per_group
+
+    rows = [("g", f"{i:032x}", i) for i in range(20)] + [("g", "0" * 31 + "3", 100 + i) for i in range(4)]
+    df = spark.createDataFrame(rows, "grp string, key string, value int")
+    for limit in range(1, 12):
+        got = sorted((r.key, r.value) for r in smallest_per_group(df, ["grp"], "key", limit).collect())
+        assert len(got) == len(set(got)) == limit and set(got) <= {(k, v) for _, k, v in rows}
+        assert [k for k, _ in got] == sorted(k for _, k, _ in rows)[:limit]

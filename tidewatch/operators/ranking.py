@@ -43,8 +43,8 @@ def digest_cuts(df: DataFrame, groups: Sequence[str], key: str, limits: dict[str
 def smallest_per_group(df: DataFrame, groups: Sequence[str], key: str, limit: Column | int) -> DataFrame:
     """The ``limit`` rows with the smallest ``key`` (a hex digest) of each group, exactly.
 
-    Rows below the cut of their group are kept by comparison with it; equal rows at the cut are repeated as often as
-    they fit. ``limit`` may use the group columns and ``group_rows``, the size of the group.
+    Rows below the cut of their group are kept by comparison with it; of rows that share the key at the cut as many are
+    taken as fit, in order of a hash of the row. ``limit`` may use the group columns and ``group_rows``, the size of the group.
     """
     g = list(groups) or ["_all"]
     columns = df.columns
@@ -54,9 +54,13 @@ def smallest_per_group(df: DataFrame, groups: Sequence[str], key: str, limit: Co
     marked = df.join(digest_cuts(df, g, key, {"limit": limit}), g)
     at_cut = F.col(key) == F.col("_cut")
     keep = marked.filter(F.col("_whole") | (F.col(key) < F.col("_cut")) | (F.col("_full") & at_cut))
-    part = (marked.filter(~F.col("_whole") & ~F.col("_full") & at_cut)
-            .groupBy(*g, F.col(key)).agg(F.first(F.struct(*columns)).alias("_row"), F.first("_take").alias("_take"))
-            .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_take").cast("int")))).select("_row.*"))
+    # rows that share the key of the cut: copies are counted (before the shuffle), different rows are taken in order of a hash
+    tied = (marked.filter(~F.col("_whole") & ~F.col("_full") & at_cut)
+            .groupBy(*columns, *[c for c in g if c not in columns]).agg(F.count("*").alias("_n"), F.first("_take").alias("_take")))
+    order = W.partitionBy(*g, key).orderBy(F.xxhash64(*columns), *columns)
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    part = (tied.withColumn("_some", F.least(F.col("_n"), F.col("_take") - before)).filter("_some > 0")
+            .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_some").cast("int")))))
     return keep.select(*columns).unionByName(part.select(*columns))
 
 
