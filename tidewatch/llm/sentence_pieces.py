@@ -23,7 +23,7 @@ from tidewatch.llm.common import flat, list_array
 MARK = "▁"
 _WORD = re.compile(r" *[^ ]+| +")
 #: Distinct words whose pieces a task keeps between batches; the walk starts anew beyond that.
-KEEP_WORDS = 300_000
+KEEP_WORDS = 150_000
 
 
 @dataclass(frozen=True)
