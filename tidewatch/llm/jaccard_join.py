@@ -6,23 +6,39 @@
    families of near copies of any size with a number of comparisons in proportion to the family.
 3. All other links: the prefixes of the sets (rare tokens first) meet by token, in tiles of neighbouring size bands. Only
    nodes of different components are paired; position and size bounds, then bit counts of hashed parity bitmaps bound the
-   overlap from above, and the sorted arrays of what remains are intersected exactly.
+   overlap from above, and the sorted arrays of what remains are intersected exactly: first one pair of each node, then
+   the pairs whose nodes are still in different components.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidewatch.llm.common import spare_name, stage
-from tidewatch.llm.set_join import Threshold, components, first_pass, met_before, prefix_tokens, rarity, shingle_sets, verified, with_heads
+from tidewatch.llm.common import drop_stage, spare_name, stage
+from tidewatch.llm.set_join import (
+    Threshold, bounded, components, first_pass, intersected, met_before, prefix_tokens, rarity, shingle_sets, verified, with_heads)
 
 THRESHOLD = Threshold(75, 100)
+_ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+@contextmanager
+def _joined_in_place(spark: SparkSession) -> Iterator[None]:
+    """Let a join on (token, band) use rows that are dealt by token already."""
+    before = spark.conf.get(_ALL_KEYS)
+    spark.conf.set(_ALL_KEYS, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_ALL_KEYS, before)
 
 
 def star_pairs(nodes: DataFrame, t: Threshold, centres: int = 2) -> DataFrame:
-    """Pairs (``a`` < ``b``) of each node with the centres of the groups that share one of its minima.
+    """Written pairs (``a`` < ``b``) of each node with the centres of the groups that share one of its minima.
 
     The centres are the nodes whose minima are shared most: in a family of near copies that is the text they come from."""
     own = stage(nodes.select("node", "n", F.posexplode("mins").alias("k", "low")), "minima")
@@ -37,31 +53,54 @@ def star_pairs(nodes: DataFrame, t: Threshold, centres: int = 2) -> DataFrame:
     best = best.select("k", "low", F.col("one.node").alias("c"), F.col("one.n").alias("nc"))
     pairs = shared.join(best, ["k", "low"]).filter(F.col("node") != F.col("c")).filter(
         F.least("n", "nc") * t.den >= F.greatest("n", "nc") * t.num)
-    return pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    pairs = stage(pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct(), "star-pairs")
+    drop_stage(own, shared)
+    return pairs
 
 
 def tile_pairs(tokens: DataFrame, comps: DataFrame, t: Threshold) -> DataFrame:
-    """Candidate pairs of different components that share a prefix token, by tiles of neighbouring size bands."""
+    """Written candidate pairs of different components that share a prefix token, by tiles of neighbouring size bands."""
     every = W.partitionBy("token")
     shared = (tokens.withColumn("lo", F.min("node").over(every)).withColumn("hi", F.max("node").over(every))
               .filter("lo <> hi").drop("lo", "hi"))
     shared = stage(shared.dropDuplicates(["token", "node"]), "shared-tokens")
-    grouped = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = (grouped.withColumn("lo", F.min("comp").over(every)).withColumn("hi", F.max("comp").over(every))
-               .filter("lo <> hi").drop("lo", "hi"))
-    rows = stage(with_heads(several).withColumn(
-        "band", F.floor(F.log(F.col("n").cast("double")) / math.log(t.den / t.num) + 1e-9)), "tiles")
+    # one exchange by node (component and head), one by token (filter, tiles and join)
+    rows = with_heads(shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    rows = (rows.withColumn("lo", F.min("comp").over(every)).withColumn("hi", F.max("comp").over(every))
+            .filter("lo <> hi").drop("lo", "hi")
+            .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(t.den / t.num) + 1e-9)))
     # the smaller set (x) stands in its own band, the larger (y) in its own and the one below
     x = rows.select("token", "band", *[F.col(c).alias("x_" + c) for c in ("node", "n", "pos", "comp", "head")])
     y = rows.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), *[F.col(c).alias("y_" + c) for c in ("node", "n", "pos", "comp", "head")])
     need = (F.col("x_n") + F.col("y_n")) * t.num
     index = F.col("x_n") - F.ceil(2 * t.num * F.col("x_n") / F.lit(t.num + t.den)) + 1
-    pairs = (x.join(y, ["token", "band"])
+    pairs = (x.join(y.hint("merge"), ["token", "band"])
              .filter("x_comp <> y_comp and (x_n < y_n or (x_n = y_n and x_node < y_node))")
              .filter(F.col("x_n") * t.den >= F.col("y_n") * t.num).filter(F.col("x_pos") < index)
              .filter(F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (t.num + t.den) >= need)
              .filter(~met_before()))
-    return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    with _joined_in_place(tokens.sparkSession):
+        pairs = stage(pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "tile-pairs")
+    drop_stage(shared)
+    return pairs
+
+
+def joining_links(pairs: DataFrame, near: DataFrame, items: DataFrame, t: Threshold) -> DataFrame:
+    """Components of the links ``near`` and of the similar ones among ``pairs`` (written; removed afterwards).
+
+    The pair of each node with its smallest partner is intersected first; of the rest, only pairs that these links leave in
+    different components. A dense group of k nodes thus moves about k arrays, not one for each of its pairs."""
+    close, arrays = bounded(pairs, items, shingle_sets, t, "tile-links")
+    one = stage(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tile-first")
+    links = near.unionByName(intersected(one, arrays, t, "tile-links"))
+    comps = components(links)
+    rest = close.join(one, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(comps.select(F.col("node").alias(end), F.col("comp").alias("c" + end)), end, "left")
+    rest = stage(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "tile-rest")
+    more = intersected(rest, arrays, t, "tile-more")
+    drop_stage(close, arrays, one, rest)
+    return comps if more.isEmpty() else components(links.unionByName(more))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: Threshold = THRESHOLD) -> DataFrame:
@@ -75,11 +114,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = first_pass(items, ["doc_id"], shingle_sets, "shingle-sets")
     rows = first.filter("chunk is null").select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"), "mins")
     nodes = stage(rows.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("mins").alias("mins"), F.min("doc_id").alias("low_id")), "nodes")
-    near = verified(stage(star_pairs(nodes, t), "star-pairs"), items, shingle_sets, t, "star-links")
-    comps = components(near)
-    pairs = stage(tile_pairs(prefix_tokens(items, shingle_sets, rarity(first), t), comps, t), "tile-pairs")
-    far = verified(pairs, items, shingle_sets, t, "tile-links")
-    comps = components(near.unionByName(far))
+    near = verified(star_pairs(nodes, t), items, shingle_sets, t, "star-links")
+    pairs = tile_pairs(prefix_tokens(items, shingle_sets, rarity(first), t), components(near), t)
+    comps = joining_links(pairs, near, items, t)
     placed = nodes.select("node", "low_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = placed.groupBy("comp").agg(F.min("low_id").alias("component_id"))
     named = stage(placed.join(lowest, "comp").select("node", "component_id"), "node-components")

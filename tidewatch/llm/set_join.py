@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from tidewatch.llm.common import BASE, LOWER, MIX_A, MIX_B, SPACE, list_array, mix, prefix_hash, signed, slices, span_hash, spans, stage
+from tidewatch.llm.common import BASE, LOWER, MIX_A, MIX_B, SPACE, drop_stage, list_array, mix, prefix_hash, signed, slices, span_hash, spans, stage
 
 N_MINS = 12
 SKETCH_BITS, CHUNK = 18, 1 << 12
@@ -306,27 +306,47 @@ def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out)
 
 
-def verified(pairs: DataFrame, items: DataFrame, sets: Callable, t: Threshold, name: str) -> DataFrame:
-    """The ``a``, ``b`` of ``pairs`` (written) that reach the threshold. Bit counts bound the overlap from above before the
-    sorted arrays are fetched and intersected."""
-    def ends(of: DataFrame, name: str) -> DataFrame:
-        first = of.select(F.col("a").alias("node")).distinct()
-        return stage(first.unionByName(of.select(F.col("b").alias("node")).distinct()).distinct(), name)
-
-    def with_sides(of: DataFrame, table: DataFrame, value: str) -> DataFrame:
-        left = table.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col(value).alias("va"))
-        right = table.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col(value).alias("vb"))
-        return of.select("a", "b").join(left, "a").join(right, "b")
-
-    marks = sets_of(items, ends(pairs, name + "-nodes"), sets, name + "-bits", whole=False)
-    near = (with_sides(pairs, marks, "bits").withColumn("apart", _bits_apart("va", "vb"))
+def _with_sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    left = table.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col(value).alias("va"))
+    right = table.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col(value).alias("vb"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b")
+
+
+def _ends(pairs: DataFrame, name: str) -> DataFrame:
+    first = pairs.select(F.col("a").alias("node")).distinct()
+    return stage(first.unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct(), name)
+
+
+def bounded(pairs: DataFrame, items: DataFrame, sets: Callable, t: Threshold, name: str) -> tuple[DataFrame, DataFrame]:
+    """The ``a``, ``b`` of ``pairs`` (written; removed afterwards) whose bit counts allow the threshold, and the sorted
+    arrays of their ends. Both are written."""
+    ends = _ends(pairs, name + "-nodes")
+    marks = sets_of(items, ends, sets, name + "-bits", whole=False)
+    near = (_with_sides(pairs, marks, "bits").withColumn("apart", _bits_apart("va", "vb"))
             .filter(t.similar((F.col("na") + F.col("nb") - F.col("apart")) / 2, F.col("na"), F.col("nb"))).select("a", "b"))
     near = stage(near, name + "-bounded")
-    arrays = sets_of(items, ends(near, name + "-close"), sets, name + "-sets", whole=True)
-    full = with_sides(near, arrays, "tokens").withColumn("overlap", _overlap("va", "vb"))
+    drop_stage(ends, marks, pairs)
+    ends = _ends(near, name + "-close")
+    arrays = sets_of(items, ends, sets, name + "-sets", whole=True)
+    drop_stage(ends)
+    return near, arrays
+
+
+def intersected(pairs: DataFrame, arrays: DataFrame, t: Threshold, name: str) -> DataFrame:
+    """The ``a``, ``b`` of ``pairs`` that reach the threshold, by intersection of their sorted arrays; written."""
+    full = _with_sides(pairs, arrays, "tokens").withColumn("overlap", _overlap("va", "vb"))
     return stage(full.filter(t.similar(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b"), name)
 
 
+def verified(pairs: DataFrame, items: DataFrame, sets: Callable, t: Threshold, name: str) -> DataFrame:
+    """The ``a``, ``b`` of ``pairs`` (written; removed afterwards) that reach the threshold. Bit counts bound the overlap
+    from above before the sorted arrays are fetched and intersected."""
+    near, arrays = bounded(pairs, items, sets, t, name)
+    out = intersected(near, arrays, t, name)
+    drop_stage(near, arrays)
+    return out
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """Written table ``node``, ``comp`` (smallest node reachable) of the nodes of ``links`` (``a``, ``b``).
 
@@ -346,6 +366,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         done = stage(small, f"{name}-{rounds}")
         change = done.join(edges, ["u", "v"], "left_anti").isEmpty() and done.count() == edges.count()
+        drop_stage(edges)
         edges, rounds = done, rounds + 1
         if change:
             break
