@@ -256,3 +256,13 @@ def test_smallest_per_group_keeps_different_rows_of_one_key(spark):
         got = sorted((r.key, r.value) for r in smallest_per_group(df, ["grp"], "key", limit).collect())
         assert len(got) == len(set(got)) == limit and set(got) <= {(k, v) for _, k, v in rows}
         assert [k for k, _ in got] == sorted(k for _, k, _ in rows)[:limit]
+
+
+def test_read_flow_table_folder_of_two_column_orders(spark, tmp_path):
+    folder = tmp_path / "label days"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Flow ID, Label, X\nf1, BENIGN,1\n")
+    (folder / "b.csv").write_text("Flow ID, X, Label\nf2,2, DoS\n")
+    (folder / "c.csv").write_text("Flow ID, Label, X\nf3, Scan,3\n")
+    rows = tables.read_flow_table(spark, str(folder)).select("`Flow ID`", "Label", F.trim("X").alias("X"), "csv_source").collect()
+    assert sorted(map(tuple, rows)) == [("f1", "BENIGN", "1", "a.csv"), ("f2", "DoS", "2", "b.csv"), ("f3", "Scan", "3", "c.csv")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -27,18 +28,34 @@ def _charset(encoding: str) -> tuple[str, bool]:
     return encoding, False
 
 
+def _by_header(spark: SparkSession, path: str) -> list[str | list[str]]:
+    """The files of ``path`` in groups of equal header line; the path itself if all have the same."""
+    lines = spark.read.text(path)
+    if len(lines.inputFiles()) < 2:
+        return [path]
+    first = (lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value",
+                          F.monotonically_increasing_id().alias("at"))
+             .filter("start = 0 and trim(value) <> ''").groupBy("file").agg(F.min_by("value", "at").alias("header")))
+    groups: dict[str, list[str]] = {}
+    for r in first.orderBy("file").collect():              # one short row per file
+        groups.setdefault(r.header, []).append(unquote(r.file))
+    return [path] if len(groups) < 2 else list(groups.values())
+
+
 def read_flow_table(spark: SparkSession, paths, columns: Sequence[str] | None = None, encoding: str = "UTF-8",
                     id_column: str | None = "Flow ID", label_column: str = "Label") -> DataFrame:
     """Union of label CSV files: header blanks trimmed, labels trimmed, lines with extra fields skipped.
 
+    The files of a folder may differ in their columns and column order: each is read by its own header.
+
     Short lines are kept with nulls. Undecodable bytes become replacement characters. Rows without a flow id are
     dropped. ``columns`` prunes the read; ``encoding`` is for single-byte files (e.g. ``windows-1252``).
     ``csv_source`` holds the file name.
     """
     encoding, windows = _charset(encoding)
     out = None
-    for path in _paths(paths):
-        header = spark.read.option("header", True).option("encoding", encoding).csv(path).columns
+    for path in [group for p in _paths(paths) for group in _by_header(spark, p)]:
+        header = spark.read.option("header", True).option("encoding", encoding).csv(path if isinstance(path, str) else path[0]).columns
         # one column more than the header: it is filled exactly when a line has too many fields
         schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))]
                               + [T.StructField("_extra", T.StringType())])
