@@ -160,3 +160,12 @@ def test_client_features_by_hand():
     assert f["port_entropy"] == pytest.approx(0.9182958) and f["internal_ratio"] == pytest.approx(2 / 3)
     assert f["handshake_ratio"] == pytest.approx(1 / 3) and f["inc_ratio"] == 0.25 and f["bytes_per_syn"] == 30
     assert f["fin_ratio"] == pytest.approx(1 / 3) and f["mean_window"] == 500 and f["time_density"] == 1.0
+
+
+def test_profile_kept_for_its_cooldown_is_dropped_when_that_ends():
+    pol = policy_for(config.FLOOD.with_(min_events=2, cooldown_sec=300.0), always(0.99))
+    p, _ = run(pol, [pkt(1000), pkt(1001, port=81)])
+    p["last_alert"] = 1060 * S
+    p, _ = pol.on_timer(p, 1100 * S)
+    assert p is not None and p["syn"] == 0 and pol.due(p) == p["last_alert"] + 300 * S
+    assert pol.on_timer(p, pol.due(p)) == (None, [])

@@ -125,8 +125,10 @@ class Policy:
 
     def due(self, p: dict) -> int | None:
         """Time at which a silent profile must be looked at."""
-        if p is None or not p["syn"] + p["total"]:
+        if p is None:
             return None
+        if not p["syn"] + p["total"]:                      # kept for its cooldown only
+            return p["last_alert"] + int(self.cfg.cooldown_sec * US) if p["last_alert"] else None
         wait = self.cfg.idle_seconds if self.cfg.idle_seconds and not p["done"] else self.cfg.window_sec
         return p["start"] + int(wait * US)
 
@@ -137,6 +139,8 @@ class Policy:
         """A key stayed silent: score it, and drop the profile once its window is over."""
         out = []
         due = self.due(p)
+        if due is not None and now_us >= due and not p["syn"] + p["total"]:
+            return None, out
         if due is not None and now_us >= due and self.ready(p):
             out.append(self.verdict(p, due))
         if expired(p, now_us, self.cfg.window_sec):
