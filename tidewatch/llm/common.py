@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -18,13 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the jobs inside; as it was afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives a lost executor."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives a lost executor.
+
+    The shuffle files of the write are removed when it ends, not when the driver happens to collect its garbage."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with setting(df.sparkSession, _CLEANUP, "true"):
+        df.write.parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     _FOLDERS[written] = path
     return written

@@ -13,30 +13,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidewatch.llm.common import drop_stage, spare_name, stage
+from tidewatch.llm.common import drop_stage, setting, spare_name, stage
 from tidewatch.llm.set_join import (
     Threshold, bounded, components, first_pass, intersected, met_before, prefix_tokens, rarity, shingle_sets, verified, with_heads)
 
 THRESHOLD = Threshold(75, 100)
+#: Switched off, a join on (token, band) uses rows that are dealt by token already.
 _ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
-@contextmanager
-def _joined_in_place(spark: SparkSession) -> Iterator[None]:
-    """Let a join on (token, band) use rows that are dealt by token already."""
-    before = spark.conf.get(_ALL_KEYS)
-    spark.conf.set(_ALL_KEYS, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(_ALL_KEYS, before)
-
-
 def star_pairs(nodes: DataFrame, t: Threshold, centres: int = 2) -> DataFrame:
     """Written pairs (``a`` < ``b``) of each node with the centres of the groups that share one of its minima.
 
@@ -79,7 +67,7 @@ def tile_pairs(tokens: DataFrame, comps: DataFrame, t: Threshold) -> DataFrame:
              .filter(F.col("x_n") * t.den >= F.col("y_n") * t.num).filter(F.col("x_pos") < index)
              .filter(F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (t.num + t.den) >= need)
              .filter(~met_before()))
-    with _joined_in_place(tokens.sparkSession):
+    with setting(tokens.sparkSession, _ALL_KEYS, "false"):
         pairs = stage(pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "tile-pairs")
     drop_stage(shared)
     return pairs
