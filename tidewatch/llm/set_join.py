@@ -244,9 +244,11 @@ def met_before(x_head: str = "x_head", y_head: str = "y_head", token: str = "tok
     return F.coalesce(F.get(F.array_intersect(x_head, y_head), 0) != F.col(token), F.lit(False))
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity bitmap of a set: about one bit a token (64 to 4096 bits, a power of two), flipped once for each token."""
-    bits = min(12, max(6, int(len(s) - 1).bit_length()))
+def bitmap(s: np.ndarray, fine: bool = False) -> np.ndarray:
+    """Parity bitmap of a set, flipped at one place for each token: about one bit a token (64 to 4096 bits, a power of
+    two), or eight and more (``fine``), which leaves few tokens that cancel out."""
+    bits = max(6, int(len(s) - 1).bit_length())
+    bits = bits + 3 if fine else min(12, bits)
     return np.packbits(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8) & 1)
 
 
@@ -262,10 +264,9 @@ def differing_bits(a: bytes, b: bytes) -> int:
 
 
 def sets_of(items: DataFrame, nodes: DataFrame, sets: Callable, name: str, whole: bool) -> DataFrame:
-    """Written table ``node``, ``n`` and either ``tokens`` (sorted, ``whole``) or ``bits`` of the given nodes; the texts are
-    scanned, not moved."""
+    """Written table ``node``, ``n`` and ``bits`` of the given nodes, or ``tokens`` (sorted) and fine ``bits`` (``whole``);
+    the texts are scanned, not moved."""
     shipped = items.sparkSession.sparkContext.broadcast(node_filter(nodes))
-    last, kind = ("tokens", "array<bigint>") if whole else ("bits", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen = shipped.value, _Seen()
@@ -276,15 +277,15 @@ def sets_of(items: DataFrame, nodes: DataFrame, sets: Callable, name: str, whole
             ok = in_filter(np.array([i for i, _ in held], np.uint64), wanted)
             held = [x for x, k in zip(held, ok) if k and seen.new(x[0])]
             if held:
+                columns = {"node": pa.array(signed(np.array([i for i, _ in held], np.uint64))),
+                           "n": pa.array([len(s) for _, s in held], pa.int32()),
+                           "bits": pa.array([bitmap(s, whole).tobytes() for _, s in held], pa.binary())}
                 if whole:
                     off2 = np.concatenate([[0], np.cumsum([len(s) for _, s in held])])
-                    column = list_array(signed(np.concatenate([s for _, s in held])), off2)
-                else:
-                    column = pa.array([bitmap(s).tobytes() for _, s in held], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.array([i for i, _ in held], np.uint64))),
-                                                  pa.array([len(s) for _, s in held], pa.int32()), column], ["node", "n", last])
+                    columns["tokens"] = list_array(signed(np.concatenate([s for _, s in held])), off2)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    found = items.select("text").mapInArrow(run, f"node bigint, n int, {last} {kind}")
+    found = items.select("text").mapInArrow(run, "node bigint, n int, bits binary" + ", tokens array<bigint>" * whole)
     return stage(found.dropDuplicates(["node"]), name)
 
 
@@ -317,25 +318,34 @@ def _ends(pairs: DataFrame, name: str) -> DataFrame:
     return stage(first.unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct(), name)
 
 
+def _allowed(pairs: DataFrame, marks: DataFrame, t: Threshold, name: str) -> DataFrame:
+    """The ``a``, ``b`` of ``pairs`` whose bit counts allow the threshold; written."""
+    apart = _with_sides(pairs, marks, "bits").withColumn("apart", _bits_apart("va", "vb"))
+    return stage(apart.filter(t.similar((F.col("na") + F.col("nb") - F.col("apart")) / 2, F.col("na"), F.col("nb"))).select("a", "b"), name)
+
+
 def bounded(pairs: DataFrame, items: DataFrame, sets: Callable, t: Threshold, name: str) -> tuple[DataFrame, DataFrame]:
     """The ``a``, ``b`` of ``pairs`` (written; removed afterwards) whose bit counts allow the threshold, and the sorted
-    arrays of their ends. Both are written."""
+    arrays of their ends. Both are written. Short bitmaps judge all pairs, eight times longer ones those that are left."""
     ends = _ends(pairs, name + "-nodes")
     marks = sets_of(items, ends, sets, name + "-bits", whole=False)
-    near = (_with_sides(pairs, marks, "bits").withColumn("apart", _bits_apart("va", "vb"))
-            .filter(t.similar((F.col("na") + F.col("nb") - F.col("apart")) / 2, F.col("na"), F.col("nb"))).select("a", "b"))
-    near = stage(near, name + "-bounded")
+    near = _allowed(pairs, marks, t, name + "-bounded")
     drop_stage(ends, marks, pairs)
     ends = _ends(near, name + "-close")
     arrays = sets_of(items, ends, sets, name + "-sets", whole=True)
-    drop_stage(ends)
-    return near, arrays
+    close = _allowed(near, arrays, t, name + "-closer")
+    drop_stage(ends, near)
+    return close, arrays
 
 
 def intersected(pairs: DataFrame, arrays: DataFrame, t: Threshold, name: str) -> DataFrame:
     """The ``a``, ``b`` of ``pairs`` that reach the threshold, by intersection of their sorted arrays; written."""
-    full = _with_sides(pairs, arrays, "tokens").withColumn("overlap", _overlap("va", "vb"))
-    return stage(full.filter(t.similar(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b"), name)
+    ends = _ends(pairs, name + "-ends")
+    moved = arrays.select("node", "n", "tokens").join(ends, "node", "left_semi")
+    full = _with_sides(pairs, moved, "tokens").withColumn("overlap", _overlap("va", "vb"))
+    found = stage(full.filter(t.similar(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b"), name)
+    drop_stage(ends)
+    return found
 
 
 def verified(pairs: DataFrame, items: DataFrame, sets: Callable, t: Threshold, name: str) -> DataFrame:
