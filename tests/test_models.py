@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.models import explain as E, iforest as IF, scaler as SC, trees as TR
+from tidewatch.plans import q_common as C, q_models as Q
 from tidewatch.plans.q_models import FOUR, fixed_ensemble
 
 
@@ -119,3 +120,19 @@ def test_imported_model(spark, tmp_path):
     df = spark.createDataFrame([(0.0, 3.0), (0.0, 2.9)], "x double, y double")
     got = [r.score for r in TR.score_trees(df, ens).orderBy("y").collect()]
     assert got == pytest.approx([1 / (1 + np.exp(0.5)), 1 / (1 + np.exp(-0.5))])
+
+
+def test_every_day_is_left_out_once(spark, sf, monkeypatch):
+    """The query fits the operator's default size on all features, and each day of the table is scored by the others."""
+    fit, asked = TR.train_detector, []
+
+    def small(df, features, **kw):
+        asked.append((sorted(r.day for r in df.select("day").distinct().collect()), list(features), kw))
+        return fit(df, features, depth=2, rounds=1)
+
+    monkeypatch.setattr(TR, "train_detector", small)
+    got = {r.day: r.tp + r.fp + r.tn + r.fn for r in Q.leave_one_day_out(spark, sf).collect()}
+    days = sorted(r.day for r in C.flows(spark, sf).select("day").distinct().collect())
+    assert sorted(got) == days and len(days) == 7
+    assert got == {r.day: r.n for r in C.flows(spark, sf).groupBy("day").agg(F.countDistinct("src_ip").alias("n")).collect()}
+    assert sorted(asked, key=str) == sorted(([d for d in days if d != out], C.ELEVEN, {}) for out in days)

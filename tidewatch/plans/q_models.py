@@ -120,9 +120,9 @@ def feature_importance(spark, sf):
 
 @query("leave_one_day_out", "day tp:i fp:i tn:i fn:i recall:d precision:d fpr:d")
 def leave_one_day_out(spark, sf):
-    days = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday"]
-    df = _labelled(spark, sf).filter(F.col("day").isin(days))
-    return TR.leave_one_day_out(df, FOUR, days, threshold=0.3, depth=2, rounds=2)
+    df = _labelled(spark, sf)
+    days = [r["day"] for r in df.select("day").distinct().orderBy("day").collect()]
+    return TR.leave_one_day_out(df, C.ELEVEN, days, threshold=0.3)
 
 
 @query("calibrate_isotonic", "row_key score:d calibrated:d")
