@@ -136,3 +136,32 @@ def test_every_day_is_left_out_once(spark, sf, monkeypatch):
     assert sorted(got) == days and len(days) == 7
     assert got == {r.day: r.n for r in C.flows(spark, sf).groupBy("day").agg(F.countDistinct("src_ip").alias("n")).collect()}
     assert sorted(asked, key=str) == sorted(([d for d in days if d != out], C.ELEVEN, {}) for out in days)
+
+
+@pytest.mark.parametrize("name", ["train_detector", "train_detector_two_sources", "feature_importance"])
+def test_detectors_are_fitted_at_the_default_size(spark, sf, monkeypatch, name):
+    class Asked(Exception):
+        pass
+
+    def fit(self, df):
+        gbt = self.getStages()[-1]
+        raise Asked((gbt.getMaxIter(), gbt.getMaxDepth(), self.getStages()[0].getInputCols()))
+
+    monkeypatch.setattr(TR.Pipeline, "fit", fit)
+    with pytest.raises(Asked) as e:
+        getattr(Q, name)(spark, sf)
+    assert e.value.args[0] == (150, 4, C.ELEVEN)
+
+
+@pytest.mark.parametrize("name", ["score_isolation_forest", "anomaly_fpr", "fit_isolation_forest"])
+def test_forests_have_the_default_size(spark, sf, monkeypatch, name):
+    class Asked(Exception):
+        pass
+
+    def fit(df, features, trees=200, *rest):
+        raise Asked(trees)
+
+    monkeypatch.setattr(IF, "fit_isolation_forest", fit)
+    with pytest.raises(Asked) as e:
+        getattr(Q, name)(spark, sf)
+    assert e.value.args[0] == 200

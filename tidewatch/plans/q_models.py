@@ -102,7 +102,7 @@ def _labelled(spark, sf):
 def train_detector(spark, sf):
     df = _labelled(spark, sf)
     from tidewatch.operators.sampling import with_class_weight
-    model = TR.train_detector(with_class_weight(df), C.ELEVEN, weight="weight", depth=4, rounds=5)
+    model = TR.train_detector(with_class_weight(df), C.ELEVEN, weight="weight")
     return TR.score_model(model, df, "p")
 
 
@@ -110,12 +110,12 @@ def train_detector(spark, sf):
 def train_detector_two_sources(spark, sf):
     df = _labelled(spark, sf)
     wed = F.col("day") == "Wednesday"
-    return TR.score_model(TR.train_two_sources(df.filter(~wed), df.filter(wed), C.ELEVEN, depth=3, rounds=3), df, "p")
+    return TR.score_model(TR.train_two_sources(df.filter(~wed), df.filter(wed), C.ELEVEN), df, "p")
 
 
 @query("feature_importance", "feature importance:d rank:i")
 def feature_importance(spark, sf):
-    return TR.feature_importance(TR.train_detector(_labelled(spark, sf), C.ELEVEN, depth=4, rounds=3), spark)
+    return TR.feature_importance(TR.train_detector(_labelled(spark, sf), C.ELEVEN), spark)
 
 
 @query("leave_one_day_out", "day tp:i fp:i tn:i fn:i recall:d precision:d fpr:d")
@@ -146,13 +146,13 @@ def explain_sums_to_margin(spark, sf):
     return c.groupBy("row_key").agg((F.sum("contribution") + F.lit(E.base_value(ens))).alias("margin"))
 
 
-def _forest(spark, sf, trees=50):
-    return IF.train_anomaly_detector(C.feature_frame(spark, sf, "row_key", "label"), FOUR, F.col("label") == "BENIGN", trees=trees)
+def _forest(spark, sf):
+    return IF.train_anomaly_detector(C.feature_frame(spark, sf, "row_key", "label"), FOUR, F.col("label") == "BENIGN")
 
 
 @query("fit_isolation_forest", "name value:d")
 def fit_isolation_forest(spark, sf):
-    forest = _forest(spark, sf, 200)
+    forest = _forest(spark, sf)
     return spark.createDataFrame(sorted((k, float(v)) for k, v in forest.meta.items()), "name string, value double")
 
 
