@@ -54,3 +54,39 @@ def test_silent_keys_are_scored_by_timers(spark, sf):
     got = {r.key: r.syn_count for r in PL.run_to_end(s, spark, "auth").collect()}
     syn = p.filter("proto = 6 AND flags = 2").groupBy("src_ip").count().filter("count >= 2")
     assert got == {r.src_ip: r["count"] for r in syn.collect()} and got
+
+
+def test_replay_bounds_its_batches(spark, tmp_path):
+    """One key and one time hold most rows; they still come in bounded batches, in the order of time and id."""
+    rows = spark.range(4000).select((F.col("id") * 7919 % 4000).alias("event_id"), F.lit("hot").alias("src_ip"))
+    rows = rows.withColumn("ts_us", F.greatest(F.col("event_id") - 3000, F.lit(0)))
+    seen = []
+
+    def look(batch, _):
+        r = batch.agg(F.count("*").alias("n"), F.min(F.struct("ts_us", "event_id")).alias("lo"), F.max(F.struct("ts_us", "event_id")).alias("hi")).first()
+        seen.append((r.n, tuple(r.lo), tuple(r.hi)))
+
+    s = PL.replay(spark, rows, slices=2, max_rows=500)
+    s.writeStream.foreachBatch(look).option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start().awaitTermination()
+    assert sum(n for n, _, _ in seen) == 4000 and max(n for n, _, _ in seen) <= 750
+    assert all(a[2] < b[1] for a, b in zip(seen, seen[1:]))
+
+
+def test_gate_counts_each_address_and_port_once(spark, sf):
+    """Changes of the gate from bounded batches equal those of one walk over all SYNs, and no state holds a set."""
+    PL.use_rocksdb(spark)
+    p = fixtures.packets(spark, sf)
+    s = DT.syn_rate_gate_stream(PL.replay(spark, p, max_rows=1500), 400 * DAYS, min_rate=3, max_ip_ratio=0.9, max_port_ratio=0.9)
+    got = sorted((r.key, r.ts_us, r.syn_rate, r.dst_ips, r.dst_ports, r.attack_pattern) for r in PL.run_to_end(s, spark, "gate").collect())
+    want, state = [], {}
+    for e in p.filter("proto = 6 AND (flags & 18) = 2").orderBy("ts_us", "event_id").collect():
+        g = state.setdefault(e.src_ip, {"start": None, "n": 0, "ips": set(), "ports": set(), "hit": False})
+        g["ips"].add(e.dst_ip)
+        g["ports"].add(e.dst_port)
+        new = g["start"] is None or e.ts_us - g["start"] >= 400 * DAYS * 1_000_000
+        g["start"], g["n"] = (e.ts_us, 1) if new else (g["start"], g["n"] + 1)
+        hit = g["n"] >= 3 and len(g["ips"]) / g["n"] < 0.9 and len(g["ports"]) / g["n"] < 0.9
+        if hit != g["hit"]:
+            g["hit"] = hit
+            want.append((e.src_ip, e.ts_us, g["n"], len(g["ips"]), len(g["ports"]), hit))
+    assert got == sorted(want) and want

@@ -198,7 +198,7 @@ GATE_RESULT = "key string, ts_us bigint, syn_rate bigint, dst_ips bigint, dst_po
 
 
 class SynRateProcessor(StatefulProcessor):
-    """SYNs per anchored window of a source; the sets of addresses and ports live until the source goes stale."""
+    """SYNs per anchored window of a source; its addresses and ports, one map entry each, live until the source goes stale."""
 
     def __init__(self, window_sec: int = 60, min_rate: int = 30, max_ip_ratio: float = 0.5, max_port_ratio: float = 0.3):
         self.window_sec, self.min_rate, self.max_ip, self.max_port = window_sec, min_rate, max_ip_ratio, max_port_ratio
@@ -206,22 +206,37 @@ class SynRateProcessor(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("gate", "blob binary")
+        self.ips = handle.getMapState("gate_ips", "value string", "seen boolean")
+        self.ports = handle.getMapState("gate_ports", "value int", "seen boolean")
+
+    @staticmethod
+    def _unseen(state, values) -> set:
+        return {v for v in values if not state.containsKey((v,))}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        g = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else {"start": None, "n": 0, "ips": set(), "ports": set(), "hit": False}
+        g = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else {"start": None, "n": 0, "ips": 0, "ports": 0, "hit": False}
         found = []
-        for e in pd.concat(list(rows)).sort_values(["ts_us", "event_id"]).itertuples(index=False):
-            g["ips"].add(e.dst_ip)
-            g["ports"].add(int(e.dst_port))
+        events = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
+        ips = self._unseen(self.ips, events["dst_ip"].unique())
+        ports = self._unseen(self.ports, map(int, events["dst_port"].unique()))
+        for e in events.itertuples(index=False):
+            if e.dst_ip in ips:
+                ips.remove(e.dst_ip)
+                self.ips.updateValue((e.dst_ip,), (True,))
+                g["ips"] += 1
+            if int(e.dst_port) in ports:
+                ports.remove(int(e.dst_port))
+                self.ports.updateValue((int(e.dst_port),), (True,))
+                g["ports"] += 1
             if g["start"] is None or e.ts_us - g["start"] >= self.window_sec * 1_000_000:
                 g["start"], g["n"] = int(e.ts_us), 1
             else:
                 g["n"] += 1
             n = g["n"]
-            hit = n >= self.min_rate and len(g["ips"]) / n < self.max_ip and len(g["ports"]) / n < self.max_port
+            hit = n >= self.min_rate and g["ips"] / n < self.max_ip and g["ports"] / n < self.max_port
             if hit != g["hit"]:
                 g["hit"] = hit
-                found.append((str(key[0]), int(e.ts_us), n, len(g["ips"]), len(g["ports"]), hit))
+                found.append((str(key[0]), int(e.ts_us), n, g["ips"], g["ports"], hit))
         self.state.update((pickle.dumps(g),))
         self.handle.registerTimer((g["start"] + 2 * self.window_sec * 1_000_000) // 1000 + 1)
         if found:
@@ -232,6 +247,8 @@ class SynRateProcessor(StatefulProcessor):
             g = pickle.loads(bytes(self.state.get()[0]))
             if expiredTimerInfo.getExpiryTimeInMs() * 1000 > g["start"] + 2 * self.window_sec * 1_000_000:
                 self.state.clear()
+                self.ips.clear()
+                self.ports.clear()
                 if g["hit"]:
                     yield pd.DataFrame([(str(key[0]), expiredTimerInfo.getExpiryTimeInMs() * 1000, 0, 0, 0, False)],
                                        columns=[c.split()[0] for c in GATE_RESULT.split(", ")])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tidewatch.functions.labels import WINDOW_ENGINES, enrich_alert
 from tidewatch.operators.joins import attach_scores, lookup_ip_label, lookup_label
-from tidewatch.session import new_folder
+from tidewatch.session import drop_folder, new_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -57,19 +57,36 @@ def run_to_end(stream: DataFrame, spark: SparkSession, name: str = "stream") ->
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def pack_ranges(counts: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """Runs of neighbouring parts, as first and last number, that hold up to ``most`` rows or a single part."""
+    out, held = [], 0
+    for part, n in counts:
+        if out and held + n <= most:
+            out[-1], held = (out[-1][0], part), held + n
+        else:
+            out.append((part, part))
+            held = n
+    return out
+
+
 def replay(spark: SparkSession, table: DataFrame, name: str = "replay", slices: int = 3, files: int = 2,
-           stop_after_us: int = 0) -> DataFrame:
+           stop_after_us: int = 0, max_rows: int = 1_000_000) -> DataFrame:
     """A bounded table written as time slices, one after the other, and read back as a stream, one slice per batch.
 
-    With ``stop_after_us`` a last marker row of no known protocol follows that much later; it moves the watermark past
-    every open window.
+    Slices follow (``ts_us``, ``event_id``) and hold ``max_rows`` rows or little more, also where many rows share a time;
+    there are more than ``slices`` of them where the table needs it. With ``stop_after_us`` a last marker row of no known
+    protocol follows that much later; it moves the watermark past every open window.
     """
-    path = new_folder(spark, name)
-    span = table.agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi")).first()
-    step = (span["hi"] - span["lo"]) // slices + 1
-    for i in range(slices):
-        lo = span["lo"] + i * step
-        table.filter((F.col("ts_us") >= lo) & (F.col("ts_us") < lo + step)).repartition(files).write.mode("append").parquet(path)
+    path, parts = new_folder(spark, name), new_folder(spark, f"{name}-parts")
+    slices = max(slices, -(-table.count() // max_rows))
+    # Four ranges a slice, so that sampled bounds make up slices of nearly equal size.
+    table.repartitionByRange(4 * slices, "ts_us", "event_id").withColumn("_part", F.spark_partition_id()).write.partitionBy(
+        "_part").parquet(parts)
+    ranged = spark.read.schema(T.StructType([*table.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(parts)
+    counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
+    for lo, hi in pack_ranges(counts, -(-sum(n for _, n in counts) // slices)):
+        ranged.filter(F.col("_part").between(lo, hi)).drop("_part").repartition(files).write.mode("append").parquet(path)
+    drop_folder(spark, parts)
     if stop_after_us:
         last = table.agg(*[F.max(c).alias(c) for c in table.columns]).withColumns({
             "ts_us": F.col("ts_us") + stop_after_us, "event_id": F.col("event_id") + 1, "proto": F.lit(0), "flags": F.lit(4)})
