@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.models import explain as E, iforest as IF, scaler as SC, trees as TR
+from tidewatch.models import boosting as B, explain as E, iforest as IF, scaler as SC, trees as TR
 from tidewatch.plans import q_common as C, q_models as Q
 from tidewatch.plans.q_models import FOUR, fixed_ensemble
 
@@ -30,8 +30,8 @@ def model(data):
 def test_node_table_scores_like_the_model(data, model):
     ens = TR.from_gbt(model)
     want = TR.score_model(model, data, "p")
-    for trees in (32, 0):
-        got = TR.score_trees(want, ens, "q", max_expression_trees=trees)
+    for form in ("expression", "batches"):
+        got = TR.score_trees(want, ens, "q", form=form)
         assert got.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-9
 
 
@@ -123,22 +123,22 @@ def test_imported_model(spark, tmp_path):
 
 
 def test_every_day_is_left_out_once(spark, sf, monkeypatch):
-    """The query fits the operator's default size on all features, and each day of the table is scored by the others."""
-    fit, asked = TR.train_detector, []
+    """The query fits the operator's default size on all features, one model per day of the table in one fit."""
+    fit, asked = B.fit, []
 
-    def small(df, features, **kw):
-        asked.append((sorted(r.day for r in df.select("day").distinct().collect()), list(features), kw))
-        return fit(df, features, depth=2, rounds=1)
+    def small(df, features, label, weight, params, **kw):
+        asked.append((list(features), params.rounds, params.depth, list(kw["folds"])))
+        return fit(df, features, label, weight, B.Boosting(rounds=1, depth=2), **kw)
 
-    monkeypatch.setattr(TR, "train_detector", small)
+    monkeypatch.setattr(B, "fit", small)
     got = {r.day: r.tp + r.fp + r.tn + r.fn for r in Q.leave_one_day_out(spark, sf).collect()}
     days = sorted(r.day for r in C.flows(spark, sf).select("day").distinct().collect())
     assert sorted(got) == days and len(days) == 7
     assert got == {r.day: r.n for r in C.flows(spark, sf).groupBy("day").agg(F.countDistinct("src_ip").alias("n")).collect()}
-    assert sorted(asked, key=str) == sorted(([d for d in days if d != out], C.ELEVEN, {}) for out in days)
+    assert asked == [(C.ELEVEN, 150, 4, days)]
 
 
-@pytest.mark.parametrize("name", ["train_detector", "train_detector_two_sources", "feature_importance"])
+@pytest.mark.parametrize("name", ["train_detector", "feature_importance"])
 def test_detectors_are_fitted_at_the_default_size(spark, sf, monkeypatch, name):
     class Asked(Exception):
         pass
@@ -153,6 +153,18 @@ def test_detectors_are_fitted_at_the_default_size(spark, sf, monkeypatch, name):
     assert e.value.args[0] == (150, 4, C.ELEVEN)
 
 
+def test_both_parts_of_a_continued_fit_have_the_default_size(spark, sf, monkeypatch):
+    asked = []
+
+    def fit(df, features, label, weight, params, start=None, **kw):
+        asked.append((params.rounds, params.depth, list(features), start is not None))
+        return [fixed_ensemble()]
+
+    monkeypatch.setattr(B, "fit", fit)
+    Q.train_detector_two_sources(spark, sf)
+    assert asked == [(150, 4, C.ELEVEN, False), (150, 4, C.ELEVEN, True)]
+
+
 @pytest.mark.parametrize("name", ["score_isolation_forest", "anomaly_fpr", "fit_isolation_forest"])
 def test_forests_have_the_default_size(spark, sf, monkeypatch, name):
     class Asked(Exception):

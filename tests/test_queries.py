@@ -10,7 +10,8 @@ FAST = ["classify_packet", "packet_role", "flow_id_candidates", "parse_alert_lin
         "endpoint_window_features", "auth_window_features", "client_window_features", "client_window_batch_22", "flow_features_11",
         "flow_prefix", "flow_confusion", "ip_confusion", "engine_confusion", "ensemble_confusion", "threshold_sweep", "gate_sweep",
         "postfilter_simulation", "lookup_label", "attach_nth_log", "cap_per_class", "stratified_split", "robust_scale", "score_trees",
-        "read_headerless_flows", "read_packet_export", "load_registry"]
+        "read_headerless_flows", "read_packet_export", "load_registry", "continued_no_round", "continued_round", "leave_one_day_out_short",
+        "calibrate_isotonic", "isotonic_blocks", "explain_trees", "encode_with_unknown", "publish_alerts"]
 
 
 @pytest.fixture(scope="module")

@@ -2,90 +2,130 @@
 
 The contributions are the Shapley values of the path-dependent game: a feature outside the coalition follows both
 branches by their training share. They add up to the margin minus its expected value.
+
+A leaf's share of the game only depends on the features of its path. Its weights per coalition size are kept as a vector that
+grows with each feature of the path; a feature's contribution follows from the vector with that feature taken out again, so
+a leaf of depth d costs d² steps for a whole Arrow batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations
-from math import factorial
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidewatch.models.trees import Ensemble, pack
+from tidewatch.models.trees import Ensemble, matrix, pack
 from tidewatch.operators.ranking import top_k
-from tidewatch.session import with_fields
 
 
-def _leaf_games(trees: list[dict[str, np.ndarray]]) -> list[tuple]:
-    """Per leaf: the conditions of each feature on its path, and the values of all features for every outcome.
+@dataclass(frozen=True)
+class Path:
+    """A leaf: its value, the different features on the way with the training share that stays on it, and their conditions.
+
+    All conditions of a feature come to one interval: a row stays if ``low`` is met and ``high`` is not passed."""
+
+    value: float
+    features: np.ndarray
+    share: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
 
-    ``table[pattern]`` holds the contribution of each path feature when bit j of ``pattern`` says whether the row
-    meets the conditions of feature j. A path of depth d has at most d features, so tables stay small.
-    """
-    games = []
+def leaf_paths(trees: list[dict[str, np.ndarray]]) -> list[Path]:
+    out = []
     for t in trees:
         todo = [(0, {})]
         while todo:
             at, path = todo.pop()
-            f = t["feature"][at]
-            if f >= 0:
-                for child, left in ((t["left"][at], True), (t["right"][at], False)):
-                    share = t["cover"][child] / t["cover"][at] if t["cover"][at] else 0.0
-                    conds, z = path.get(f, ((), 1.0))
-                    todo.append((child, {**path, f: (conds + ((t["threshold"][at], left),), z * share)}))
+            f = int(t["feature"][at])
+            if f < 0:
+                names = sorted(path)
+                out.append(Path(float(t["value"][at]), np.array(names, int), *(np.array([path[j][k] for j in names]) for k in range(3))))
                 continue
-            names = list(path)
-            z = [path[j][1] for j in names]
-            k = len(names)
-            table = np.zeros((1 << k, k))
-            for pattern in range(1 << k):
-                o = [float(pattern >> j & 1) for j in range(k)]
-                for i in range(k):
-                    others = [j for j in range(k) if j != i]
-                    total = 0.0
-                    for size in range(k):
-                        w = factorial(size) * factorial(k - size - 1) / factorial(k)
-                        for s in combinations(others, size):
-                            total += w * np.prod([o[j] if j in s else z[j] for j in others])
-                    table[pattern, i] = t["value"][at] * (o[i] - z[i]) * total
-            games.append((names, [path[j][0] for j in names], table, t["value"][at] * float(np.prod(z))))
-    return games
+            share, low, high = path.get(f, (1.0, -np.inf, np.inf))
+            cut, cover = float(t["threshold"][at]), float(t["cover"][at])
+            for child, bounds in ((t["left"][at], (low, min(high, cut))), (t["right"][at], (max(low, cut), high))):
+                part = float(t["cover"][child]) / cover if cover else 0.0
+                todo.append((child, {**path, f: (share * part, *bounds)}))
+    return out
+
+
+def _follows(path: Path, x: np.ndarray, strict: bool) -> np.ndarray:
+    """Features of the path × rows: 1 where the row meets all conditions of the feature. NaN goes right at every node."""
+    v = x[:, path.features].T
+    low, high = path.low[:, None], path.high[:, None]
+    with np.errstate(invalid="ignore"):
+        met = (~(v < low) & ((v < high) | np.isposinf(high))) if strict else (~(v <= low) | np.isneginf(low)) & ((v <= high) | np.isposinf(high))
+    return met.astype(np.float64)
+
+
+def _extend(weights: np.ndarray, share: float, follows: np.ndarray) -> np.ndarray:
+    """Weights per coalition size (sizes × rows) with one more feature."""
+    n = len(weights)
+    sizes = np.arange(n)[:, None]
+    out = np.zeros((n + 1, weights.shape[1]))
+    out[:-1] = share * weights * (n - sizes) / (n + 1)
+    out[1:] += follows * weights * (sizes + 1) / (n + 1)
+    return out
+
+
+def _sum_without(weights: np.ndarray, share: float, follows: np.ndarray) -> np.ndarray:
+    """Sum of the weights with one feature taken out again. A feature that a row meets is undone from the largest coalition
+    down; one that it does not meet only shrank the weights by its share."""
+    n = len(weights) - 1
+    carried, met = weights[n], np.zeros(weights.shape[1])
+    for i in range(n - 1, -1, -1):
+        one = carried * (n + 1) / (i + 1)
+        met += one
+        carried = weights[i] - one * share * (n - i) / (n + 1)
+    if share > 0:
+        left_out = (weights[:n] * (n + 1) / (share * (n - np.arange(n))[:, None])).sum(axis=0)
+    else:
+        left_out = np.zeros_like(met)          # no training row stays on the path: such a row gives it no weight either way
+    return np.where(follows > 0, met, left_out)
+
+
+def contributions(paths: Sequence[Path], x: np.ndarray, strict: bool) -> np.ndarray:
+    """Rows × features."""
+    phi = np.zeros_like(x)
+    for path in paths:
+        d = len(path.features)
+        if not d:
+            continue
+        follows = _follows(path, x, strict)
+        weights = np.ones((1, len(x)))
+        for k in range(d):
+            weights = _extend(weights, path.share[k], follows[k])
+        for k in range(d):
+            phi[:, path.features[k]] += _sum_without(weights, path.share[k], follows[k]) * (follows[k] - path.share[k]) * path.value
+    return phi
 
 
 def base_value(ens: Ensemble) -> float:
     """Expected margin of the ensemble over its training rows."""
-    return ens.base + sum(g[3] for g in _leaf_games(pack(ens)))
+    return ens.base + sum(p.value * float(np.prod(p.share)) for p in leaf_paths(pack(ens)))
 
 
 def explain_trees(alerts: DataFrame, ens: Ensemble, ids: Sequence[str]) -> DataFrame:
-    """Long rows (ids, feature, raw_value, contribution) for every alert; contributions are in margin units."""
-    shared = alerts.sparkSession.sparkContext.broadcast(_leaf_games(pack(ens)))
-    features, ids, strict = list(ens.features), list(ids), ens.strict
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = b[features].to_numpy(dtype=np.float64)
-            phi = np.zeros_like(x)
-            for names, conditions, table, _ in shared.value:
-                pattern = np.zeros(len(x), dtype=int)
-                for j, (f, conds) in enumerate(zip(names, conditions)):
-                    met = np.ones(len(x), dtype=bool)
-                    for cut, left in conds:
-                        goes_left = x[:, f] < cut if strict else x[:, f] <= cut
-                        met &= goes_left if left else ~goes_left
-                    pattern |= met.astype(int) << j
-                for j, f in enumerate(names):
-                    phi[:, f] += table[pattern, j]
-            n = len(features)
-            yield pd.DataFrame({**{c: np.repeat(b[c].to_numpy(), n) for c in ids}, "feature": features * len(x),
-                                "raw_value": x.reshape(-1), "contribution": phi.reshape(-1)})
-
-    schema = with_fields(alerts.select(*ids).schema, ("feature", T.StringType()), ("raw_value", T.DoubleType()),
-                         ("contribution", T.DoubleType()))
-    return alerts.select(*ids, *[F.col(f).cast("double").alias(f) for f in features]).mapInPandas(run, schema)
+    """Long rows (ids, feature, raw_value, contribution) for every alert; contributions are in margin units.
+
+    Only the features go through Python; the node table (trees × nodes) is broadcast."""
+    shared = alerts.sparkSession.sparkContext.broadcast(leaf_paths(pack(ens)))
+    features, strict = list(ens.features), ens.strict
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def explain(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            phi = contributions(shared.value, matrix(columns), strict)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(phi) + 1) * len(features), pa.int32()), pa.array(phi.ravel()))
+
+    values = [F.col(f).cast("double") for f in features]
+    rows = alerts.select(*ids, F.array(*values).alias("_x"), explain(*values).alias("_phi"))
+    named = F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.col("_x").alias("raw_value"), F.col("_phi").alias("contribution"))
+    return rows.select(*ids, F.inline(named))
 
 
 def top_contributions(contributions: DataFrame, ids: Sequence[str], k: int = 5) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidewatch.models import explain as E, iforest as IF, scaler as SC, trees as TR
+from tidewatch.models import boosting as B, explain as E, iforest as IF, isotonic as ISO, scaler as SC, trees as TR
 from tidewatch.plans import q_common as C
+from tidewatch.plans.boost_sql import boosting_sql
 from tidewatch.plans.registry import query
 
 FOUR = ["dur", "sbytes", "dpkts", "swin"]
@@ -84,13 +85,13 @@ TREES_SQL = """1.0 / (1.0 + exp(-(-0.1 + CASE WHEN dur < 60000 THEN -0.4 WHEN sb
 
 @query("score_trees", "row_key score:d", f"SELECT row_key, {TREES_SQL} AS score FROM flows", "flows")
 def score_trees(spark, sf):
-    return TR.score_trees(C.flows(spark, sf), fixed_ensemble())
+    return TR.score_trees(C.flows(spark, sf), fixed_ensemble(), form="expression")
 
 
 @query("score_trees_batches", "row_key score:d", f"SELECT row_key, {TREES_SQL} AS score FROM flows", "flows")
 def score_trees_batches(spark, sf):
-    """The form for large ensembles."""
-    return TR.score_trees(C.flows(spark, sf).select("row_key", *FOUR), fixed_ensemble(), max_expression_trees=0)
+    """The form for ensembles of any size."""
+    return TR.score_trees(C.flows(spark, sf), fixed_ensemble())
 
 
 def _labelled(spark, sf):
@@ -106,11 +107,39 @@ def train_detector(spark, sf):
     return TR.score_model(model, df, "p")
 
 
-@query("train_detector_two_sources", "row_key p:d")
+@query("train_detector_two_sources", "row_key p_base:d p:d")
 def train_detector_two_sources(spark, sf):
+    """150 rounds on the other days, then 150 smaller ones on Wednesday from the margins of the first part."""
     df = _labelled(spark, sf)
     wed = F.col("day") == "Wednesday"
-    return TR.score_model(TR.train_two_sources(df.filter(~wed), df.filter(wed), C.ELEVEN), df, "p")
+    first, second = B.train_two_sources(df.filter(~wed), df.filter(wed), C.ELEVEN, params=B.Boosting(rows=0.8), more=B.Boosting(step=0.02, l2=1.5, rows=0.8),
+                                        row_id=["row_key"])
+    return TR.score_trees(TR.score_trees(df, first, "p_base"), second, "p")
+
+
+MARGIN_SQL = """-0.1 + CASE WHEN dur < 60000 THEN -0.4 WHEN sbytes < 40000 THEN 0.1 ELSE 0.7 END
+  + CASE WHEN dpkts < 3 THEN 0.3 WHEN swin < 15000 THEN -0.2 ELSE 0.25 END
+  + CASE WHEN sbytes >= 20000 THEN 0.05 WHEN dur < 20000 THEN -0.6 ELSE 0.15 END"""
+
+
+def _attacks(spark, sf):
+    return C.flows(spark, sf).withColumn("is_attack", (F.col("label") != "BENIGN").cast("int"))
+
+
+@query("continued_no_round", "row_key margin:d9", f"SELECT row_key, {MARGIN_SQL} AS margin FROM flows", "flows")
+def continued_no_round(spark, sf):
+    """No further round leaves the margins of the first model."""
+    f = _attacks(spark, sf)
+    same, = B.fit(f, FOUR, params=B.Boosting(rounds=0), start=fixed_ensemble())
+    return f.withColumn("margin", TR.tree_margin(f, same))
+
+
+@query("continued_round", "row_key margin:d", ", " + boosting_sql("flows", FOUR, MARGIN_SQL, 1, 3, 16, 0.1, 1.0) + "\n--result\nSELECT row_key, m AS margin FROM boosted", "flows")
+def continued_round(spark, sf):
+    """One round of depth 3 from the margins of the fixed ensemble, on four features."""
+    f = _attacks(spark, sf)
+    more, = B.fit(f, FOUR, params=B.Boosting(rounds=1, depth=3), start=fixed_ensemble(), bins=16)
+    return f.withColumn("margin", TR.tree_margin(f, more))
 
 
 @query("feature_importance", "feature importance:d rank:i")
@@ -118,22 +147,86 @@ def feature_importance(spark, sf):
     return TR.feature_importance(TR.train_detector(_labelled(spark, sf), C.ELEVEN), spark)
 
 
+def _days(df):
+    return [r["day"] for r in df.select("day").distinct().orderBy("day").collect()]
+
+
 @query("leave_one_day_out", "day tp:i fp:i tn:i fn:i recall:d precision:d fpr:d")
 def leave_one_day_out(spark, sf):
     df = _labelled(spark, sf)
-    days = [r["day"] for r in df.select("day").distinct().orderBy("day").collect()]
-    return TR.leave_one_day_out(df, C.ELEVEN, days, threshold=0.3)
+    return B.leave_one_day_out(df, C.ELEVEN, _days(df), params=B.Boosting(rows=0.8), row_id=["row_key"])
 
 
-@query("calibrate_isotonic", "row_key score:d calibrated:d")
+@query("leave_one_day_out_short", "day tp:i fp:i tn:i fn:i recall:d precision:d fpr:d", ", " + boosting_sql("flows", FOUR, "0.0", 3, 2, 16, 0.5, 1.0, "day") + f"""
+, per AS (SELECT j AS day, src_ip, max(1.0 / (1.0 + exp(-m))) AS s, max(y) AS y FROM boosted WHERE NOT train GROUP BY ALL),
+c AS (SELECT day, count(*) FILTER (WHERE y = 1 AND s > 0.3) AS tp, count(*) FILTER (WHERE y = 0 AND s > 0.3) AS fp, count(*) FILTER (WHERE y = 0 AND s <= 0.3) AS tn,
+  count(*) FILTER (WHERE y = 1 AND s <= 0.3) AS fn FROM per GROUP BY day)
+--result
+SELECT day, tp, fp, tn, fn, {C.RATES_SQL} FROM c""", "flows")
+def leave_one_day_out_short(spark, sf):
+    """Three rounds of depth 2 on four features: few enough for a SQL twin of all models."""
+    f = _attacks(spark, sf)
+    return B.leave_one_day_out(f, FOUR, _days(f), params=B.Boosting(rounds=3, depth=2, step=0.5), bins=16)
+
+
+@query("calibrate_isotonic", "row_key score:d calibrated:d", """, d AS (SELECT score AS s, CAST(sum(CASE WHEN label <> 'BENIGN' THEN 1 ELSE 0 END) AS DOUBLE) AS y, count(*) AS n FROM flows GROUP BY score),
+c AS (SELECT s, sum(y) OVER (ORDER BY s) AS cy, sum(n) OVER (ORDER BY s) AS cn, sum(y) OVER (ORDER BY s) - y AS by, sum(n) OVER (ORDER BY s) - n AS bn FROM d),
+low AS (SELECT a.s AS a, x.s AS x, min((b.cy - a.by) / (b.cn - a.bn)) AS v FROM c a JOIN c x ON a.s <= x.s JOIN c b ON b.s >= x.s GROUP BY ALL),
+iso AS (SELECT x, max(v) AS v FROM low GROUP BY x)
+--result
+SELECT row_key, score, v AS calibrated FROM flows JOIN iso ON x = score""", "flows")
 def calibrate_isotonic(spark, sf):
-    return TR.calibrate_isotonic(_labelled(spark, sf))
+    """The monotone fit at x is the greatest, over the starts up to x, of the least mean over the ends from x on."""
+    return ISO.calibrate_isotonic(_labelled(spark, sf))
+
+
+@query("isotonic_blocks", "lo:d hi:d value:d n:i", """, d AS (SELECT spkts AS s, CAST(sum(CASE WHEN label <> 'BENIGN' THEN 1 ELSE 0 END) AS DOUBLE) AS y, count(*) AS n FROM flows GROUP BY spkts),
+c AS (SELECT s, n, sum(y) OVER (ORDER BY s) AS cy, sum(n) OVER (ORDER BY s) AS cn, sum(y) OVER (ORDER BY s) - y AS by, sum(n) OVER (ORDER BY s) - n AS bn FROM d),
+low AS (SELECT a.s AS a, x.s AS x, x.n AS n, min((b.cy - a.by) / (b.cn - a.bn)) AS v FROM c a JOIN c x ON a.s <= x.s JOIN c b ON b.s >= x.s GROUP BY ALL),
+iso AS (SELECT x, any_value(n) AS n, max(v) AS v FROM low GROUP BY x)
+--result
+SELECT min(x) AS lo, max(x) AS hi, v AS value, sum(n) AS n FROM iso GROUP BY v""", "flows")
+def isotonic_blocks(spark, sf):
+    """Pooled blocks over the packet counts; seven ranges pool side by side."""
+    return ISO.fit_isotonic(_labelled(spark, sf), "spkts", ranges=7)
+
+
+def _game_sql(tree: int, known: frozenset, node: int = 0) -> str:
+    """Value of a coalition: features outside it follow both branches by their training share."""
+    rows = {r[1]: r for r in ENSEMBLE_ROWS if r[0] == tree}
+    _, _, left, right, f, cut, value, cover = rows[node]
+    if f < 0:
+        return repr(value)
+    a, b = _game_sql(tree, known, left), _game_sql(tree, known, right)
+    return f"(CASE WHEN {FOUR[f]} < {cut} THEN {a} ELSE {b} END)" if FOUR[f] in known else f"(({a} * {rows[left][7]} + {b} * {rows[right][7]}) / {cover})"
+
+
+def _shapley_sql(tree: int) -> dict[str, str]:
+    """Half the gain over nobody and half the gain over the other feature; every tree has two."""
+    a, b = sorted({FOUR[r[4]] for r in ENSEMBLE_ROWS if r[0] == tree and r[4] >= 0})
+    v = lambda *known: _game_sql(tree, frozenset(known))
+    return {x: f"0.5 * ({v(x)} - {v()} + {v(a, b)} - {v(y)})" for x, y in ((a, b), (b, a))}
+
+
+_PHI = [_shapley_sql(t) for t in range(3)]
+PHI_SQL = " UNION ALL ".join(f"SELECT row_key, '{f}' AS feature, CAST({' + '.join(p[f] for p in _PHI if f in p)} AS DOUBLE) AS contribution FROM flows WHERE alerted" for f in FOUR)
 
 
-@query("explain_trees", "row_key feature rank:i direction contribution:d")
+@query("explain_trees", "row_key feature contribution:d", PHI_SQL, "flows")
 def explain_trees(spark, sf):
     f = C.flows(spark, sf).filter("alerted").select("row_key", *FOUR)
-    return E.top_contributions(E.explain_trees(f, fixed_ensemble(), ["row_key"]), ["row_key"], 5)
+    return E.explain_trees(f, fixed_ensemble(), ["row_key"])
+
+
+@query("explain_fitted", "row_key off:d9", "SELECT row_key, 0.0 AS off FROM flows WHERE alerted", "flows")
+def explain_fitted(spark, sf):
+    """A fitted model of 150 trees of depth 4: contributions and base value give back the margin of every alert."""
+    f = _labelled(spark, sf)
+    ens, = B.fit(f, C.ELEVEN, params=B.Boosting(rows=0.8), row_id=["row_key"])
+    alerts = f.join(C.flows(spark, sf).filter("alerted").select("row_key").distinct(), "row_key", "left_semi")
+    alerts = alerts.withColumn("margin", TR.tree_margin(alerts, ens)).withColumn("_n", F.monotonically_increasing_id())
+    sums = E.explain_trees(alerts, ens, ["row_key", "_n", "margin"]).groupBy("row_key", "_n", "margin").agg(F.sum("contribution").alias("c"))
+    return sums.select("row_key", F.abs(F.round(F.col("c") + F.lit(E.base_value(ens)) - F.col("margin"), 7)).alias("off"))
 
 
 @query("explain_sums_to_margin", "row_key margin:d", """SELECT row_key, -0.1 + CASE WHEN dur < 60000 THEN -0.4 WHEN sbytes < 40000 THEN 0.1 ELSE 0.7 END

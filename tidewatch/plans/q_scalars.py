@@ -249,12 +249,17 @@ def enrich_alert(spark, sf):
     return C.enriched(spark, sf)
 
 
-@query("encode_with_unknown", "row_key label_code:i")
+@query("encode_with_unknown", "row_key label_code:i flow_code:i", """, tl AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT label FROM flows WHERE proto = 6)),
+ti AS (SELECT flow_id, row_number() OVER (ORDER BY flow_id) - 1 AS code FROM (SELECT DISTINCT flow_id FROM flows WHERE proto = 6))
+--result
+SELECT row_key, coalesce(tl.code, (SELECT count(*) FROM tl)) AS label_code, coalesce(ti.code, (SELECT count(*) FROM ti)) AS flow_code
+FROM flows LEFT JOIN tl USING (label) LEFT JOIN ti USING (flow_id)""", "flows")
 def encode_with_unknown(spark, sf):
-    """Codes learned on the TCP flows; labels first seen elsewhere share the unknown code."""
+    """Codes learned on the TCP flows; labels and flow ids first seen elsewhere share the unknown code."""
     from tidewatch.models.encode import encode_with_unknown as encode
     f = C.flows(spark, sf)
-    return encode(f.filter("proto = 6"), f, "label", "label_code")
+    tcp = f.filter("proto = 6")
+    return encode(tcp, encode(tcp, f, "label", "label_code"), "flow_id", "flow_code")
 
 
 NARRATE_ITEMS = ("spkts", "dpkts", "ack_cnt", "score")

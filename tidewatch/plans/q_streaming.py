@@ -114,7 +114,7 @@ def publish_alerts(spark, sf):
     p = C.packets(spark, sf).filter("flags in (2, 4)").select(F.col("event_id").alias("alert_id"), "ts_us", (F.col("payload_len") / 64).alias("score"), "flags")
     first = p.withColumn("score", F.lit(None).cast("double"))
     later = p.filter("flags = 2").withColumn("ts_us", F.col("ts_us") + 40 * 86_400_000_000)
-    s = PL.replay(spark, first.unionByName(later), slices=6)
+    s = PL.replay(spark, first.unionByName(later), slices=6, order=("ts_us", "alert_id"))
     path = new_folder(spark, "published")
     writers.publish_alerts(s, path, new_folder(spark, "published-cp")).start().awaitTermination()
     return writers.read_published(spark, path)

@@ -70,17 +70,17 @@ def pack_ranges(counts: list[tuple[int, int]], most: int) -> list[tuple[int, int
 
 
 def replay(spark: SparkSession, table: DataFrame, name: str = "replay", slices: int = 3, files: int = 2,
-           stop_after_us: int = 0, max_rows: int = 1_000_000) -> DataFrame:
+           stop_after_us: int = 0, max_rows: int = 1_000_000, order: tuple[str, ...] = ("ts_us", "event_id")) -> DataFrame:
     """A bounded table written as time slices, one after the other, and read back as a stream, one slice per batch.
 
-    Slices follow (``ts_us``, ``event_id``) and hold ``max_rows`` rows or little more, also where many rows share a time;
+    Slices follow the columns of ``order`` and hold ``max_rows`` rows or little more, also where many rows share a time;
     there are more than ``slices`` of them where the table needs it. With ``stop_after_us`` a last marker row of no known
     protocol follows that much later; it moves the watermark past every open window.
     """
     path, parts = new_folder(spark, name), new_folder(spark, f"{name}-parts")
     slices = max(slices, -(-table.count() // max_rows))
     # Four ranges a slice, so that sampled bounds make up slices of nearly equal size.
-    table.repartitionByRange(4 * slices, "ts_us", "event_id").withColumn("_part", F.spark_partition_id()).write.partitionBy(
+    table.repartitionByRange(4 * slices, *order).withColumn("_part", F.spark_partition_id()).write.partitionBy(
         "_part").parquet(parts)
     ranged = spark.read.schema(T.StructType([*table.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(parts)
     counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 
 from tidewatch.functions.packets import ACK, FIN, SYN
-from tidewatch.models.trees import Ensemble, pack, tree_values
+from tidewatch.models.trees import Ensemble, margins, pack
 
 
 class EnsembleScore:
@@ -25,7 +25,7 @@ class EnsembleScore:
             if self.params:
                 median, iqr = self.params[name]
                 x[i] = (x[i] - median) / iqr if iqr else 0.0
-        m = self.ens.base + tree_values(self.trees, x.astype(np.float32)[None, :], self.ens.strict).sum()
+        m = margins(self.trees, self.ens.base, x.astype(np.float32)[None, :], self.ens.strict)[0]
         return float(1.0 / (1.0 + np.exp(-self.ens.scale * m)))
 
 
