@@ -90,3 +90,84 @@ def test_gate_counts_each_address_and_port_once(spark, sf):
             g["hit"] = hit
             want.append((e.src_ip, e.ts_us, g["n"], len(g["ips"]), len(g["ports"]), hit))
     assert got == sorted(want) and want
+
+
+def test_only_values_met_are_read_and_written():
+    """A key with a million addresses in its state: ten packets of three addresses cost three reads and three writes."""
+    from tidewatch.streaming.state import Counts, MapStore
+
+    class State:
+        def __init__(self):
+            self.held, self.reads, self.writes = {f"a{i}": 1 for i in range(1_000_000)}, 0, 0
+
+        def getValue(self, key):
+            self.reads += 1
+            n = self.held.get(key[0])
+            return None if n is None else (n,)
+
+        def updateValue(self, key, value):
+            self.writes += 1
+            self.held[key[0]] = value[0]
+
+    state = State()
+    c = Counts(MapStore(state))
+    c.distinct, c.total, c.nlogn, c.most = 1_000_000, 1_000_000, 0.0, 1
+    for i in range(10):
+        c.add(["a1", "a2", "new"][i % 3])
+    c.store.flush()
+    assert (state.reads, state.writes) == (3, 3)
+    assert (c.distinct, c.total, c.most, state.held["a1"], state.held["new"]) == (1_000_001, 1_000_010, 5, 5, 3)
+
+
+def test_running_entropy_equals_that_of_the_counts():
+    import math
+    import random
+    from tidewatch.streaming.state import Counts
+    rng, c = random.Random(1), Counts()
+    values = [int(rng.expovariate(0.2)) for _ in range(5000)]
+    for v in values:
+        c.add(v)
+    want = -sum(values.count(v) / 5000 * math.log2(values.count(v) / 5000) for v in set(values))
+    assert abs(c.entropy() - want) < 1e-9 and c.most == max(values.count(v) for v in set(values))
+
+
+def test_rows_of_several_frames_are_merged_in_time_order():
+    import pandas as pd
+    from tidewatch.streaming.state import in_order
+    a = pd.DataFrame({"ts_us": [5, 1, 3], "event_id": [1, 2, 3], "x": ["a", "b", "c"]})
+    b = pd.DataFrame({"ts_us": [3, 2], "event_id": [2, 9], "x": ["d", "e"]})
+    assert [e.x for e in in_order([a, b])] == ["b", "e", "d", "c", "a"] and list(in_order([])) == []
+
+
+def test_a_source_of_probes_only_is_forgotten():
+    from tidewatch.streaming.profiles import policy_for
+    from test_policies import always, pkt
+    pol = policy_for(config.SCAN, always(0.0))
+    p, _ = pol.step(None, pkt(1, flags=1))
+    assert pol.due(p) == 61_000_000
+    p, _ = pol.step(p, pkt(30, flags=1))
+    assert pol.due(p) == 90_000_000 and pol.on_timer(p, 80_000_000)[0] is p and pol.on_timer(p, 90_000_000) == (None, [])
+
+
+def test_score_lines_of_a_split_file_keep_their_order(spark, tmp_path):
+    from tidewatch.sources.tables import read_score_stream
+    path = tmp_path / "scores.jsonl"
+    path.write_text("".join(f'{{"engine":"portscan","src_ip":"10.0.0.{i % 7}","score":{i / 10000},"features":[{i}.0]}}\n' for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 5
+        got = {r.src_ip: r.features[0] for r in read_score_stream(spark, str(path), latest=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {f"10.0.0.{k}": float(max(i for i in range(5000) if i % 7 == k)) for k in range(7)}
+
+
+def test_late_rows_come_out_beside_the_others(spark):
+    PL.use_rocksdb(spark)
+    rows = spark.range(300).select(F.col("id").alias("event_id"), (F.col("id") * 1_000_000).alias("arrived"),
+                                   F.when(F.col("id") % 10 == 0, 0).otherwise(F.col("id") * 1_000_000).alias("ts_us")).withColumn("ts", F.timestamp_micros("ts_us"))
+    out = PL.run_to_end(PL.split_late(PL.replay(spark, rows, slices=3, order=("arrived", "event_id")), "5 seconds"), spark, "late").collect()
+    assert sorted(r.event_id for r in out) == list(range(300))
+    late = {r.event_id for r in out if r.late}
+    assert late and all(i % 10 == 0 for i in late) and max(late) == 290

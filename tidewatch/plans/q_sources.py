@@ -136,6 +136,29 @@ def read_score_stream(spark, sf):
     return tables.read_score_stream(spark, path, "seq").withColumn("first_feature", F.get("features", F.lit(0)))
 
 
+@query("read_score_stream_by_line", "src_ip score:d first_feature:d", """SELECT src_ip, payload_len / 64 AS score,
+  payload_len AS first_feature FROM packets QUALIFY row_number() OVER (PARTITION BY src_ip ORDER BY ts_us DESC, event_id DESC) = 1""", "packets")
+def read_score_stream_by_line(spark, sf):
+    """Lines without a sequence column: the last one of the file counts. The file is split over several tasks."""
+    p = C.packets(spark, sf).orderBy("ts_us", "event_id").select(F.lit("portscan").alias("engine"), "src_ip", (F.col("payload_len") / 64).alias("score"),
+                                                                F.array(F.col("payload_len").cast("double"), F.col("tcp_win").cast("double")).alias("features"))
+    path = new_folder(spark, "score-lines")
+    p.coalesce(1).write.json(path)
+    return tables.read_score_stream(spark, path, latest=True).withColumn("first_feature", F.get("features", F.lit(0)))
+
+
+@query("read_flow_table_orders", "flow_id label dst_port:i dur:d", "SELECT flow_id, label, dst_port, dur FROM flows", "flows")
+def read_flow_table_orders(spark, sf):
+    """One folder whose files have two column orders, one of them with a further column."""
+    f, path = C.flows(spark, sf), new_folder(spark, "orders")
+    one = {"Flow ID": "flow_id", " Destination Port": "dst_port", " Flow Duration": "dur", " Label": "label"}
+    two = {" Label": "label", " Flow Duration": "dur", " Protocol": "proto", "Flow ID": "flow_id", " Destination Port": "dst_port"}
+    for names, rows in ((one, f.filter("line <= 3")), (two, f.filter("line > 3"))):
+        rows.select(*[F.col(c).alias(n) for n, c in names.items()]).write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    t = tables.read_flow_table(spark, path)
+    return t.select(F.col("Flow ID").alias("flow_id"), F.col("Label").alias("label"), F.col("Destination Port").alias("dst_port"), F.col("Flow Duration").alias("dur"))
+
+
 DUMP = ("lb", "spkts", "dpkts", "swin", "score", "src_ip")
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewatch import schemas
@@ -30,15 +32,19 @@ def _charset(encoding: str) -> tuple[str, bool]:
 
 def _by_header(spark: SparkSession, path: str) -> list[str | list[str]]:
     """The files of ``path`` in groups of equal header line; the path itself if all have the same."""
-    lines = spark.read.text(path)
-    if len(lines.inputFiles()) < 2:
+    files = spark.read.text(path).inputFiles()
+    if len(files) < 2:
         return [path]
-    first = (lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value",
-                          F.monotonically_increasing_id().alias("at"))
-             .filter("start = 0 and trim(value) <> ''").groupBy("file").agg(F.min_by("value", "at").alias("header")))
+    def header(file: str) -> str:
+        first = spark.read.text(file).filter("trim(value) <> ''").head(1)      # one task that stops at its first row
+        return first[0]["value"] if first else ""
+
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(inheritable_thread_target(spark)(header), files))
     groups: dict[str, list[str]] = {}
-    for r in first.orderBy("file").collect():              # one short row per file
-        groups.setdefault(r.header, []).append(unquote(r.file))
+    for file, line in sorted(zip(files, headers)):
+        if line:
+            groups.setdefault(line, []).append(unquote(file))
     return [path] if len(groups) < 2 else list(groups.values())
 
 
@@ -119,14 +125,22 @@ def read_packet_export(spark: SparkSession, path) -> DataFrame:
     return out.filter((F.col("src_port") != 0) & (F.col("dst_port") != 0) & is_valid_ip("src_ip") & is_valid_ip("dst_ip"))
 
 
-def read_score_stream(spark: SparkSession, path, ordered_by: str | None = None) -> DataFrame:
-    """Score JSON lines. With ``ordered_by``, an explicit sequence column of the lines, the last entry per source."""
+def read_score_stream(spark: SparkSession, path, ordered_by: str | None = None, latest: bool = False) -> DataFrame:
+    """Score JSON lines. With ``latest``, only the last entry per source: by ``ordered_by``, an explicit sequence column of the
+    lines, or without one by the order of the lines in the file, and files in the order of their names.
+
+    A line's place is the start of the file block that it was read from and its number among the rows of that task, which
+    reads a block from front to back; a file may be split over any number of tasks."""
     schema = schemas.SCORE_STREAM + (f", {ordered_by} bigint" if ordered_by else "")
-    raw = spark.read.schema(schema).json(path).filter("src_ip is not null and score is not null")
-    if not ordered_by:
-        return raw
-    rest = [c for c in raw.columns if c != "src_ip"]
-    return raw.groupBy("src_ip").agg(F.max_by(F.struct(*rest), ordered_by).alias("_s")).select("src_ip", "_s.*")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                                         F.monotonically_increasing_id().alias("_row"))
+    raw = lines.select(F.from_json("value", schema).alias("_s"), "_file", "_block", "_row").select("_s.*", "_file", "_block", "_row").filter(
+        "src_ip is not null and score is not null")
+    rest = [c for c in raw.columns if c not in ("src_ip", "_file", "_block", "_row")]
+    if not (latest or ordered_by):
+        return raw.select("engine", "src_ip", *[c for c in rest if c != "engine"])
+    place = F.col(ordered_by) if ordered_by else F.struct("_file", "_block", "_row")
+    return raw.groupBy("src_ip").agg(F.max_by(F.struct(*rest), place).alias("_s")).select("src_ip", "_s.*")
 
 
 def read_feature_dump(spark: SparkSession, path, columns: Sequence[str], min_width: int | None = None) -> DataFrame:

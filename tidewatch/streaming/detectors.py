@@ -1,13 +1,13 @@
 """Streaming detectors: one stateful processor driven by a detector policy.
 
-Input is a packet stream (``schemas.PACKET``). State is one profile per key; event-time timers score keys that fall
-silent and delete profiles whose window is over. The same processor runs over a bounded table with
-``trigger(availableNow)``.
+Input is a packet stream (``schemas.PACKET``). State per key is a row of scalars, a map entry per port and address and a list
+of times; event-time timers score keys that fall silent and delete profiles whose window is over. The same processor runs
+over a bounded table with ``trigger(availableNow)``. Rows of a key in one micro-batch are merged in time order, so the source
+must bound its batches.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,12 +19,28 @@ from tidewatch.config import DetectorConfig
 from tidewatch.functions.addresses import is_private_ip
 from tidewatch.functions.packets import ACK, FIN, RST, SYN
 from tidewatch.operators.windows import both_ends
-from tidewatch.streaming.profiles import policy_for
-from tidewatch.streaming.scoring import FlowScorer
+from tidewatch.streaming.profiles import SCALARS, Profile, policy_for
+from tidewatch.streaming.scoring import FLOW_SCALARS, FlowScorer
+from tidewatch.streaming.state import Counts, ListStore, MapStore, in_order
 
 RESULT = ("key string, engine string, win_start_us bigint, detected_at_us bigint, syn_count bigint, score double, "
           "alert boolean, suppress_reason string, reason string, features array<double>")
 _COLS = [c.split()[0] for c in RESULT.split(", ")]
+_TOTALS = ("distinct bigint", "total bigint", "nlogn double", "most bigint")
+_COUNTED = {"ports": "value int", "ips": "value string", "sports": "value int"}
+
+
+def row_schema(scalars: dict, counted=()) -> str:
+    kinds = {bool: "boolean", float: "double", int: "bigint"}
+    return ", ".join([*(f"{k} {kinds[type(v)]}" for k, v in scalars.items()), *(f"{c}_{t}" for c in counted for t in _TOTALS)])
+
+
+def totals(counts: Counts) -> tuple:
+    return counts.distinct, counts.total, counts.nlogn, counts.most
+
+
+def restore(counts: Counts, values) -> None:
+    counts.distinct, counts.total, counts.nlogn, counts.most = values
 
 
 def _frame(key: str, engine: str, found: list[dict]) -> pd.DataFrame:
@@ -32,52 +48,68 @@ def _frame(key: str, engine: str, found: list[dict]) -> pd.DataFrame:
 
 
 class ProfileProcessor(StatefulProcessor):
-    """Folds the events of a key in time order; the profile is read and written once per micro-batch."""
+    """Folds the events of a key in time order."""
 
     def __init__(self, cfg: DetectorConfig, score):
         self.cfg, self.score = cfg, score
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("profile", "blob binary")
-        self.policy = policy_for(self.cfg, self.score)
-
-    def _load(self, key: str) -> dict | None:
-        return pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else None
-
-    def _save(self, p: dict | None) -> None:
+        self.state = handle.getValueState("profile", row_schema(SCALARS, _COUNTED))
+        self.maps = {name: handle.getMapState(name, kind, "n bigint") for name, kind in _COUNTED.items()}
+        self.times = handle.getListState("times", "ts bigint")
+
+    def _load(self, key: str) -> tuple[Profile | None, Profile]:
+        """The profile of the key, or None, and the profile that new windows are opened in: both use the same stores."""
+        row = self.state.get() if self.state.exists() else None
+        stores = {n: MapStore(s, row is None) for n, s in self.maps.items()}
+        p = Profile(**stores, times=ListStore(self.times, row is None))
+        p["key"] = key
+        self.policy = policy_for(self.cfg, self.score, lambda: p)
+        if row is None:
+            return None, p
+        n = len(SCALARS)
+        p.update(zip(SCALARS, row[:n]))
+        for i, name in enumerate(_COUNTED):
+            restore(getattr(p, name), row[n + 4 * i:n + 4 * i + 4])
+        return p, p
+
+    def _save(self, p: Profile | None, held: Profile) -> None:
         if p is None:
+            for part in (held.ports, held.ips, held.sports, held.times):
+                part.clear()
             self.state.clear()
             return
-        self.state.update((pickle.dumps(p),))
+        for part in (p.ports.store, p.ips.store, p.sports.store, p.times):
+            part.flush()
+        self.state.update((*(p[k] for k in SCALARS), *(x for name in _COUNTED for x in totals(getattr(p, name)))))
         due = self.policy.due(p)
         if due is not None:
             self.handle.registerTimer(-(-due // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         name = str(key[0])
-        p, found = self._load(name), []
-        events = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
-        for e in events.itertuples(index=False):
+        p, held = self._load(name)
+        before, found = p is not None, []
+        for e in in_order(rows):
+            if self.cfg.key == "endpoint":
+                held["port"] = int(e.dst_port)
             p, out = self.policy.step(p, e)
-            if p is not None:
-                p["key"] = name
-                if self.cfg.key == "endpoint":
-                    p["port"] = int(e.dst_port)
             found += out
-        self._save(p)
+        if p is not None or before:
+            self._save(p, held)
         if found:
             yield _frame(name, self.cfg.engine, found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         name = str(key[0])
-        p = self._load(name)
+        p, held = self._load(name)
         if p is None:
             return
+        if self.cfg.key == "endpoint":
+            held["port"] = int(name.rsplit(":", 1)[1])
         p, found = self.policy.on_timer(p, expiredTimerInfo.getExpiryTimeInMs() * 1000)
-        if p is not None:
-            p["key"] = name
-        self._save(p)
+        self._save(p, held)
         if found:
             yield _frame(name, self.cfg.engine, found)
 
@@ -144,7 +176,7 @@ FLOW_RESULT = "key string, packets bigint, detected_at_us bigint, score double,
 class FlowProcessor(StatefulProcessor):
     """Scores a flow once, at its N-th packet or when it closes; later packets are ignored.
 
-    After scoring only a marker stays; it is removed ``forget_sec`` after the last packet.
+    State is one row of scalars. It is removed ``forget_sec`` after the last packet.
     """
 
     def __init__(self, cfg: DetectorConfig, score, min_close: int = 1, forget_sec: int = 300):
@@ -152,14 +184,13 @@ class FlowProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("flow", "blob binary")
+        self.state = handle.getValueState("flow", row_schema(FLOW_SCALARS))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        f = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else FlowScorer().empty()
+        f = dict(zip(FLOW_SCALARS, self.state.get())) if self.state.exists() else FlowScorer.empty()
         found = []
-        events = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
-        for e in events.itertuples(index=False):
-            f["seen"] = int(e.ts_us)
+        for e in in_order(rows):
+            f["seen"] = max(f["seen"], int(e.ts_us))
             if f["done"]:
                 continue
             FlowScorer.add(f, e)
@@ -169,15 +200,15 @@ class FlowProcessor(StatefulProcessor):
                 s = float(self.score(raw))
                 alert = s > self.cfg.threshold and int(f["port"]) not in self.cfg.suppress_ports
                 found.append((str(key[0]), f["n"], int(e.ts_us), s, bool(alert), raw))
-                f = {"done": True, "n": f["n"], "seen": int(e.ts_us)}
-        self.state.update((pickle.dumps(f),))
+                f["done"] = True
+        self.state.update(tuple(f[k] for k in FLOW_SCALARS))
         self.handle.registerTimer((f["seen"] + self.forget_sec * 1_000_000) // 1000 + 1)
         if found:
             yield pd.DataFrame(found, columns=[c.split()[0] for c in FLOW_RESULT.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
-            f = pickle.loads(bytes(self.state.get()[0]))
+            f = dict(zip(FLOW_SCALARS, self.state.get()))
             if expiredTimerInfo.getExpiryTimeInMs() * 1000 >= f["seen"] + self.forget_sec * 1_000_000:
                 self.state.clear()
         return iter(())
@@ -197,61 +228,60 @@ def score_flow_stream(packets: DataFrame, score, cfg: DetectorConfig = config.FL
 GATE_RESULT = "key string, ts_us bigint, syn_rate bigint, dst_ips bigint, dst_ports bigint, attack_pattern boolean"
 
 
+_GATE = {"start": -1, "n": 0, "hit": False, "since": -1}
+
+
 class SynRateProcessor(StatefulProcessor):
     """SYNs per anchored window of a source; its addresses and ports, one map entry each, live until the source goes stale."""
 
+    columns = [c.split()[0] for c in GATE_RESULT.split(", ")]
+
     def __init__(self, window_sec: int = 60, min_rate: int = 30, max_ip_ratio: float = 0.5, max_port_ratio: float = 0.3):
         self.window_sec, self.min_rate, self.max_ip, self.max_port = window_sec, min_rate, max_ip_ratio, max_port_ratio
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("gate", "blob binary")
-        self.ips = handle.getMapState("gate_ips", "value string", "seen boolean")
-        self.ports = handle.getMapState("gate_ports", "value int", "seen boolean")
-
-    @staticmethod
-    def _unseen(state, values) -> set:
-        return {v for v in values if not state.containsKey((v,))}
+        self.state = handle.getValueState("gate", row_schema(_GATE, ("ips", "ports")))
+        self.maps = {"ips": handle.getMapState("gate_ips", "value string", "n bigint"), "ports": handle.getMapState("gate_ports", "value int", "n bigint")}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        g = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else {"start": None, "n": 0, "ips": 0, "ports": 0, "hit": False}
-        found = []
-        events = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
-        ips = self._unseen(self.ips, events["dst_ip"].unique())
-        ports = self._unseen(self.ports, map(int, events["dst_port"].unique()))
-        for e in events.itertuples(index=False):
-            if e.dst_ip in ips:
-                ips.remove(e.dst_ip)
-                self.ips.updateValue((e.dst_ip,), (True,))
-                g["ips"] += 1
-            if int(e.dst_port) in ports:
-                ports.remove(int(e.dst_port))
-                self.ports.updateValue((int(e.dst_port),), (True,))
-                g["ports"] += 1
-            if g["start"] is None or e.ts_us - g["start"] >= self.window_sec * 1_000_000:
+        row, found = self.state.get() if self.state.exists() else None, []
+        g = dict(_GATE) if row is None else dict(zip(_GATE, row))
+        ips, ports = (Counts(MapStore(self.maps[m], row is None)) for m in ("ips", "ports"))
+        if row is not None:
+            restore(ips, row[4:8]), restore(ports, row[8:12])
+        for e in in_order(rows):
+            ips.add(e.dst_ip), ports.add(int(e.dst_port))
+            if g["start"] < 0 or e.ts_us - g["start"] >= self.window_sec * 1_000_000:
                 g["start"], g["n"] = int(e.ts_us), 1
             else:
                 g["n"] += 1
             n = g["n"]
-            hit = n >= self.min_rate and g["ips"] / n < self.max_ip and g["ports"] / n < self.max_port
-            if hit != g["hit"]:
-                g["hit"] = hit
-                found.append((str(key[0]), int(e.ts_us), n, g["ips"], g["ports"], hit))
-        self.state.update((pickle.dumps(g),))
+            hit = n >= self.min_rate and ips.distinct / n < self.max_ip and ports.distinct / n < self.max_port
+            found += self.told(str(key[0]), g, int(e.ts_us), hit, (n, ips.distinct, ports.distinct))
+        ips.store.flush(), ports.store.flush()
+        self.state.update((*(g[k] for k in _GATE), *totals(ips), *totals(ports)))
         self.handle.registerTimer((g["start"] + 2 * self.window_sec * 1_000_000) // 1000 + 1)
         if found:
-            yield pd.DataFrame(found, columns=[c.split()[0] for c in GATE_RESULT.split(", ")])
+            yield pd.DataFrame(found, columns=self.columns)
+
+    def told(self, key: str, g: dict, now_us: int, hit: bool, counts: tuple[int, int, int]) -> list[tuple]:
+        """Rows to put out when the gate is ``hit`` at a time; here one for each change."""
+        if hit == g["hit"]:
+            return []
+        g["hit"] = hit
+        return [(key, now_us, *counts, hit)]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
-            g = pickle.loads(bytes(self.state.get()[0]))
-            if expiredTimerInfo.getExpiryTimeInMs() * 1000 > g["start"] + 2 * self.window_sec * 1_000_000:
+            g, now = dict(zip(_GATE, self.state.get())), expiredTimerInfo.getExpiryTimeInMs() * 1000
+            if now > g["start"] + 2 * self.window_sec * 1_000_000:
                 self.state.clear()
-                self.ips.clear()
-                self.ports.clear()
-                if g["hit"]:
-                    yield pd.DataFrame([(str(key[0]), expiredTimerInfo.getExpiryTimeInMs() * 1000, 0, 0, 0, False)],
-                                       columns=[c.split()[0] for c in GATE_RESULT.split(", ")])
+                for m in self.maps.values():
+                    m.clear()
+                found = self.told(str(key[0]), g, now, False, (0, 0, 0))
+                if found:
+                    yield pd.DataFrame(found, columns=self.columns)
 
     def close(self) -> None:
         pass
@@ -262,3 +292,47 @@ def syn_rate_gate_stream(packets: DataFrame, window_sec: int = 60, lateness: str
     syn = F.when(F.col("ts").isNotNull(), (F.col("proto") == 6) & (F.col("flags").bitwiseAND(SYN | ACK) == SYN))
     return packets.withWatermark("ts", lateness or f"{window_sec} seconds").filter(syn).withColumn("key", F.col("src_ip")).groupBy("key").transformWithStateInPandas(
         SynRateProcessor(window_sec, **limits), outputStructType=GATE_RESULT, outputMode="Append", timeMode="EventTime")
+
+
+PIECES = "key string, from_us bigint, until_us bigint"
+
+
+class OpenPieces(SynRateProcessor):
+    """Stretches of time in which the gate is open, from the SYN that finds it open to a later SYN or the end of the source's
+    state. A stretch is put out when the gate closes, or at the first SYN that comes ``window_sec`` or more after its start."""
+
+    columns = [c.split()[0] for c in PIECES.split(", ")]
+
+    def told(self, key: str, g: dict, now_us: int, hit: bool, counts: tuple[int, int, int]) -> list[tuple]:
+        out = []
+        if g["hit"] and (not hit or now_us - g["since"] >= self.window_sec * 1_000_000):
+            out, g["since"] = [(key, g["since"], now_us)], now_us
+        if hit and not g["hit"]:
+            g["since"] = now_us
+        g["hit"] = hit
+        return out
+
+
+def open_gate_stream(packets: DataFrame, window_sec: int = 60, lateness: str | None = None, **limits) -> DataFrame:
+    """Stretches per source in which the gate is open, none longer than three windows."""
+    syn = F.when(F.col("ts").isNotNull(), (F.col("proto") == 6) & (F.col("flags").bitwiseAND(SYN | ACK) == SYN))
+    return packets.withWatermark("ts", lateness or f"{window_sec} seconds").filter(syn).withColumn("key", F.col("src_ip")).groupBy("key").transformWithStateInPandas(
+        OpenPieces(window_sec, **limits), outputStructType=PIECES, outputMode="Append", timeMode="EventTime")
+
+
+def gated_flows_stream(scores: DataFrame, pieces: DataFrame, threshold: float, window_sec: int = 60, lateness: str = "60 seconds") -> DataFrame:
+    """Class of each scored flow at its scoring time: ``attack`` if its score is above the threshold and its client's gate was
+    open, ``held`` if the gate was closed, else ``benign``.
+
+    A stream of scores and a stream of open stretches meet in a left outer join under their own watermarks; the time range of
+    the join lets either side's state go."""
+    s = scores.withColumn("at", F.timestamp_micros("detected_at_us")).withWatermark("at", lateness).select(
+        "key", F.substring_index("key", "-", 1).alias("client"), "at", "score")
+    g = pieces.withColumn("until", F.timestamp_micros("until_us")).withWatermark("until", lateness).select(
+        F.col("key").alias("source"), F.timestamp_micros("from_us").alias("since"), "until")
+    reach = F.expr(f"INTERVAL {3 * window_sec} SECONDS")
+    both = s.join(g, (F.col("client") == F.col("source")) & (F.col("at") >= F.col("since")) & (F.col("at") < F.col("until"))
+                  & (F.col("at") >= F.col("until") - reach), "left")
+    hot = F.col("score") > threshold
+    return both.select("key", F.unix_micros("at").alias("detected_at_us"), "score",
+                       F.when(hot & F.col("source").isNotNull(), "attack").when(hot, "held").otherwise("benign").alias("class"))

@@ -1,58 +1,69 @@
 """Behaviour profiles of one key, folded event by event.
 
-A profile is small: sets of ports and addresses with counts, a few counters, and for the gap features the times of the
-events before the first scoring.
+Scalars of a profile are entries of a dict; its counts per port and address and the times before the first scoring lie in
+stores (plain ones here, state of the stream in the processors).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 import math
 
 import numpy as np
 
 from tidewatch.config import DetectorConfig
 from tidewatch.functions.packets import ACK, FIN, PSH, RST, SYN, URG
+from tidewatch.streaming.state import Counts
 
 US = 1_000_000
+#: Scalars of a profile and what they start with; -1 stands for "none yet".
+SCALARS = {"start": 0, "syn": 0, "total": 0, "lo": -1, "hi": -1, "fnx": 0, "seen": 0, "rst": 0, "hs": 0, "inp": 0, "inb": 0, "fin": 0, "psh": 0,
+           "win": 0, "internal": 0, "done": False, "last_alert": 0}
 
 
-def fresh(start_us: int, last_alert_us: int = 0) -> dict:
-    return {"start": start_us, "syn": 0, "total": 0, "ports": {}, "ips": {}, "sports": {}, "lo": None, "hi": None, "fnx": 0,
-            "times": [], "rst": 0, "hs": 0, "inp": 0, "inb": 0, "fin": 0, "psh": 0, "win": 0, "internal": 0,
-            "done": False, "last_alert": last_alert_us}
+class Profile(dict):
+    def __init__(self, ports=None, ips=None, sports=None, times=None) -> None:
+        super().__init__(SCALARS)
+        self.ports, self.ips, self.sports = Counts(ports), Counts(ips), Counts(sports)
+        self.times = [] if times is None else times
 
+    def restart(self, start_us: int, last_alert_us: int = 0) -> "Profile":
+        self.update(SCALARS)
+        self["start"], self["last_alert"] = start_us, last_alert_us
+        for part in (self.ports, self.ips, self.sports, self.times):
+            part.clear()
+        return self
 
-def expired(p: dict, now_us: int, window_sec: float) -> bool:
+
+def fresh(start_us: int, last_alert_us: int = 0) -> Profile:
+    return Profile().restart(start_us, last_alert_us)
+
+
+def expired(p: Profile, now_us: int, window_sec: float) -> bool:
     return (p["syn"] + p["total"]) > 0 and now_us - p["start"] >= window_sec * US
 
 
-def add_syn(p: dict, ip: str, port: int, sport: int, ts_us: int, keep_times: bool) -> None:
+def add_syn(p: Profile, ip: str, port: int, sport: int, ts_us: int, keep_times: bool) -> None:
     p["syn"] += 1
-    p["ports"][port] = p["ports"].get(port, 0) + 1
-    p["ips"][ip] = p["ips"].get(ip, 0) + 1
-    p["lo"] = sport if p["lo"] is None else min(p["lo"], sport)
-    p["hi"] = sport if p["hi"] is None else max(p["hi"], sport)
+    p.ports.add(port)
+    p.ips.add(ip)
+    p["lo"] = sport if p["lo"] < 0 else min(p["lo"], sport)
+    p["hi"] = max(p["hi"], sport)
     if keep_times and not p["done"]:
-        p["times"].append(ts_us)
+        p.times.append(ts_us)
 
 
-def _entropy(counts: dict, total: int) -> float:
-    if total <= 1:
-        return 0.0
-    return max(0.0, -sum(c / total * math.log2(c / total) for c in counts.values()))
-
-
-def _gaps(times: list[int], least: int) -> list[float]:
+def _gaps(times: Iterable[int], least: int) -> list[float]:
     t = sorted(times)
     return [b - a for a, b in zip(t, t[1:]) if b - a >= least]
 
 
-def iat_cv(times: list[int]) -> float:
+def iat_cv(times: Iterable[int]) -> float:
     g = _gaps(times, 1)
     return float(np.std(g) / np.mean(g)) if len(g) >= 2 else 0.0
 
 
-def iat_q90_q10(times: list[int]) -> float:
+def iat_q90_q10(times: Iterable[int]) -> float:
     g = sorted(_gaps(times, 2))
     return g[9 * len(g) // 10] / g[len(g) // 10] if len(g) >= 4 else 0.0
 
@@ -61,23 +72,24 @@ def _div(a: float, b: float) -> float:
     return a / b if b else 0.0
 
 
-def features(p: dict, kind: str, window_sec: float) -> list[float]:
+def features(p: Profile, kind: str, window_sec: float) -> list[float]:
     """Feature vector in the order named in the configuration module."""
-    n, ports, ips = p["syn"], len(p["ports"]), len(p["ips"])
+    n, ports, ips = p["syn"], p.ports.distinct, p.ips.distinct
     rate = n / window_sec
     if kind == "syn":
         spread = float(p["hi"] - p["lo"]) if n else 0.0
-        return [float(n), float(ports), float(ips), _entropy(p["ports"], n), spread, _div(ports, n), rate]
+        return [float(n), float(ports), float(ips), p.ports.entropy(), spread, _div(ports, n), rate]
     if kind == "endpoint":
-        total, srcs, sports = p["syn"] + p["total"], len(p["ips"]), len(p["sports"])
+        total, srcs, sports = p["syn"] + p["total"], p.ips.distinct, p.sports.distinct
         return [float(total), float(srcs), float(sports), _div(sports, srcs), 0.0, _div(srcs, total), total / window_sec]
+    times = sorted(p.times)
     if kind == "auth":
-        return [float(n), float(ips), float(ports), _div(ports, n), _div(max(p["ports"].values(), default=0), n), rate,
-                iat_cv(p["times"]), _div(p["hs"], n), _div(p["rst"], p["hs"]), _div(p["inb"], n)]
-    seconds = len({t // US for t in p["times"]})
-    density = _div(seconds, len(p["times"])) if len(p["times"]) >= 2 else 0.0
-    return [float(n), float(ips), float(ports), iat_cv(p["times"]), _entropy(p["ports"], n), _div(ports, n), rate,
-            _div(max(p["ips"].values(), default=0), n), _div(ips, n), _entropy(p["ips"], n), iat_q90_q10(p["times"]), density,
+        return [float(n), float(ips), float(ports), _div(ports, n), _div(p.ports.most, n), rate,
+                iat_cv(times), _div(p["hs"], n), _div(p["rst"], p["hs"]), _div(p["inb"], n)]
+    seconds = len({t // US for t in times})
+    density = _div(seconds, len(times)) if len(times) >= 2 else 0.0
+    return [float(n), float(ips), float(ports), iat_cv(times), p.ports.entropy(), _div(ports, n), rate,
+            _div(p.ips.most, n), _div(ips, n), p.ips.entropy(), iat_q90_q10(times), density,
             _div(ports, ips), _div(p["hs"], n), _div(p["inp"], n + p["inp"]), _div(p["inp"], n), _div(p["rst"], n),
             _div(p["internal"], n), _div(p["inb"], n), _div(p["fin"], n), _div(p["psh"], n), _div(p["win"], p["hs"])]
 
@@ -92,16 +104,20 @@ class Policy:
 
     kind = "syn"
 
-    def __init__(self, cfg: DetectorConfig, score):
-        self.cfg, self.score = cfg, score
+    def __init__(self, cfg: DetectorConfig, score, make: Callable[[], Profile] = Profile):
+        self.cfg, self.score, self.make = cfg, score, make
+
+    def open(self, p: Profile | None, now_us: int) -> Profile:
+        """A new window; only the time of the last alert is carried over."""
+        return self.make().restart(now_us) if p is None else p.restart(now_us, p["last_alert"])
 
     def verdict(self, p: dict, now_us: int, reason: str | None = None) -> dict | None:
         """Score a profile once; None when the gate stops it before scoring."""
         p["done"] = True
         cfg = self.cfg
         raw = features(p, self.kind, cfg.window_sec)
-        sweep = cfg.key == "src" and self.kind == "syn" and cfg.min_dst_ports > 0 and len(p["ips"]) >= 100 and p["syn"] >= 500
-        if cfg.min_dst_ports and len(p["ports"]) < cfg.min_dst_ports and not (sweep and not cfg.strict_gate):
+        sweep = cfg.key == "src" and self.kind == "syn" and cfg.min_dst_ports > 0 and p.ips.distinct >= 100 and p["syn"] >= 500
+        if cfg.min_dst_ports and p.ports.distinct < cfg.min_dst_ports and not (sweep and not cfg.strict_gate):
             return None
         s = float(np.float32(self.score(raw)))
         alert = s > np.float32(cfg.threshold)
@@ -127,8 +143,9 @@ class Policy:
         """Time at which a silent profile must be looked at."""
         if p is None:
             return None
-        if not p["syn"] + p["total"]:                      # kept for its cooldown only
-            return p["last_alert"] + int(self.cfg.cooldown_sec * US) if p["last_alert"] else None
+        if not p["syn"] + p["total"]:                      # kept for its cooldown, or for probes that came without a SYN
+            kept = p["last_alert"] + int(self.cfg.cooldown_sec * US) if p["last_alert"] else 0
+            return max(kept, p["seen"] + int(self.cfg.window_sec * US) if p["fnx"] else 0) or None
         wait = self.cfg.idle_seconds if self.cfg.idle_seconds and not p["done"] else self.cfg.window_sec
         return p["start"] + int(wait * US)
 
@@ -145,7 +162,7 @@ class Policy:
             out.append(self.verdict(p, due))
         if expired(p, now_us, self.cfg.window_sec):
             keep = self.cfg.cooldown_sec and p["last_alert"] and now_us - p["last_alert"] < self.cfg.cooldown_sec * US
-            p = fresh(now_us, p["last_alert"]) if keep else None
+            p = self.open(p, now_us) if keep else None
         return p, [o for o in out if o]
 
     def roll(self, p: dict, now_us: int, out: list) -> dict:
@@ -153,7 +170,7 @@ class Policy:
         if expired(p, now_us, self.cfg.window_sec):
             if self.ready(p):
                 out.append(self.verdict(p, now_us))
-            p = fresh(now_us, p["last_alert"])
+            p = self.open(p, now_us)
         return p
 
 
@@ -172,17 +189,18 @@ class ScanPolicy(Policy):
         if kind is None:
             return p, [o for o in out if o]
         if p is None:
-            p = fresh(e.ts_us)
+            p = self.open(None, e.ts_us)
             first = True
         else:
             first = False
         if kind == "S":
             add_syn(p, e.dst_ip, e.dst_port, e.src_port, e.ts_us, False)
             if not first and self.ready(p) and (expired(p, e.ts_us, self.cfg.window_sec) or (
-                    p["syn"] >= self.cfg.early_events and len(p["ports"]) >= self.cfg.min_dst_ports)):
+                    p["syn"] >= self.cfg.early_events and p.ports.distinct >= self.cfg.min_dst_ports)):
                 out.append(self.verdict(p, e.ts_us))
         else:
             p["fnx"] += 1
+            p["seen"] = e.ts_us
             if not first and not p["done"] and p["syn"] == 0:
                 p["done"] = True
                 out.append({"win_start_us": p["start"], "detected_at_us": e.ts_us, "syn_count": 0, "score": 0.999, "alert": True,
@@ -196,7 +214,7 @@ class FloodPolicy(Policy):
             return p, []
         out = []
         first = p is None
-        p = fresh(e.ts_us) if first else self.roll(p, e.ts_us, out)
+        p = self.open(None, e.ts_us) if first else self.roll(p, e.ts_us, out)
         add_syn(p, e.dst_ip, e.dst_port, e.src_port, e.ts_us, False)
         if not first and self.ready(p) and p["syn"] >= self.cfg.early_events:
             out.append(self.verdict(p, e.ts_us))
@@ -211,18 +229,18 @@ class EndpointPolicy(Policy):
         if not syn and e.proto != 17:
             return p, []
         out = []
-        p = fresh(e.ts_us) if p is None else self.roll(p, e.ts_us, out)
+        p = self.open(None, e.ts_us) if p is None else self.roll(p, e.ts_us, out)
         p["total"] += 1
         if syn:
             add_syn(p, e.src_ip, e.dst_port, e.src_port, e.ts_us, False)
-            p["sports"][e.src_port] = 1
+            p.sports.add(e.src_port)
         return p, [o for o in out if o]
 
     def suppressed(self, p, score):
         port = p.get("port")
         if port in self.cfg.suppress_ports:
             return "port"
-        return "single_client" if len(p["ips"]) == 1 and len(p["sports"]) < 10 else None
+        return "single_client" if p.ips.distinct == 1 and p.sports.distinct < 10 else None
 
 
 class RolePolicy(Policy):
@@ -233,7 +251,7 @@ class RolePolicy(Policy):
         f, cfg = e.flags, self.cfg
         if e.role == "src" and f & (SYN | ACK) == SYN and (not cfg.private_only or is_private(e.ip)):
             first = p is None
-            p = fresh(e.ts_us) if first else self.roll(p, e.ts_us, out)
+            p = self.open(None, e.ts_us) if first else self.roll(p, e.ts_us, out)
             add_syn(p, e.peer_ip, e.dst_port, e.src_port, e.ts_us, True)
             p["internal"] += is_private(e.peer_ip)
             if not first and self.ready(p) and (e.ts_us - p["start"] >= cfg.early_seconds * US or p["syn"] >= cfg.early_events):
@@ -284,5 +302,5 @@ class ClientPolicy(RolePolicy):
 POLICIES = {"portscan": ScanPolicy, "dos_agg": FloodPolicy, "ddos": EndpointPolicy, "bruteforce": AuthPolicy, "bot": ClientPolicy}
 
 
-def policy_for(cfg: DetectorConfig, score) -> Policy:
-    return POLICIES[cfg.engine](cfg, score)
+def policy_for(cfg: DetectorConfig, score, make: Callable[[], Profile] = Profile) -> Policy:
+    return POLICIES[cfg.engine](cfg, score, make)

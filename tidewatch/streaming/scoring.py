@@ -39,25 +39,29 @@ class LinearScore:
         return float(1.0 / (1.0 + np.exp(-(self.bias + sum(w * raw[i] for i, w in self.weights.items())))))
 
 
+#: Scalars of a flow and what they start with; -1 stands for "none yet".
+FLOW_SCALARS = {"done": False, "n": 0, "first": -1, "last": -1, "seen": 0, "port": 0, "sp": 0, "dp": 0, "sb": 0, "db": 0,
+                "sf": -1, "sl": -1, "df": -1, "dl": -1, "fin": 0, "ack": 0, "syn": 0}
+
+
 class FlowScorer:
     """Running record of one flow and its 15 features."""
 
     @staticmethod
     def empty() -> dict:
-        return {"done": False, "n": 0, "first": None, "last": None, "seen": 0, "port": 0, "sp": 0, "dp": 0, "sb": 0, "db": 0,
-                "sf": None, "sl": None, "df": None, "dl": None, "fin": 0, "ack": 0, "syn": 0}
+        return dict(FLOW_SCALARS)
 
     @staticmethod
     def add(f: dict, e) -> None:
         t = int(e.ts_us)
         f["n"] += 1
-        f["first"] = t if f["first"] is None else f["first"]
+        f["first"] = t if f["first"] < 0 else f["first"]
         f["last"] = t
         f["port"] = int(e.dst_port if e.from_client else e.src_port)
         side = "s" if e.from_client else "d"
         f[side + "p"] += 1
         f[side + "b"] += int(e.payload_len)
-        f[side + "f"] = t if f[side + "f"] is None else f[side + "f"]
+        f[side + "f"] = t if f[side + "f"] < 0 else f[side + "f"]
         f[side + "l"] = t
         if e.proto == 6:
             f["fin"] += bool(e.flags & FIN)
