@@ -20,6 +20,8 @@ from tidewatch.llm.common import LOWER, NOT_WORD, prefix_hash, slices, span_hash
 
 GRAMS = (4, 5, 6)
 BITS = 18
+#: Text bytes whose n-grams are held at a time (about 130 bytes of arrays for each; a longer text comes alone).
+SLICE = 1 << 18
 _CLEAN = np.where(NOT_WORD, 32, LOWER).astype(np.uint8)
 
 
@@ -90,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: s
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), np.int64)
-        for batch, data, off in slices(batches, "text"):
+        for batch, data, off in slices(batches, "text", SLICE):
             row, bucket = present(data, off)
             y = np.asarray(batch.column(0)).astype(np.int64)
             for k in (0, 1):
@@ -113,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: s
     slot[list(place)] = np.arange(len(place))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, off in slices(batches, "text"):
+        for batch, data, off in slices(batches, "text", SLICE):
             row, bucket = present(data, off, wanted)
             order = np.lexsort((slot[bucket], row))
             row, at = row[order], slot[bucket][order].astype(np.int32)
@@ -142,7 +144,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
         weights, wanted, intercept = shipped.value
         batch = pa.RecordBatch.from_arrays([texts], ["text"])
         total = [np.zeros(0)]
-        for part, data, off in slices(iter([batch]), "text"):
+        for part, data, off in slices(iter([batch]), "text", SLICE):
             row, bucket = present(data, off, wanted)
             total.append(np.bincount(row, weights[bucket], part.num_rows))
         return pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(total) + intercept, -60, 60))))
