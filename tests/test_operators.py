@@ -27,14 +27,14 @@ def brute_starts(times, width):
     return out
 
 
-@pytest.mark.parametrize("small_key", [10**6, 0, 150])
-def test_anchored_windows_match_the_sequential_rule(spark, small_key):
-    """Small keys, large keys through joins, and a mix with one hot key holding a third of the rows."""
+@pytest.mark.parametrize("form", ["joins", "walk"])
+def test_anchored_windows_match_the_sequential_rule(spark, form):
+    """Many small keys and one hot key holding a third of the rows."""
     rng = random.Random(7)
     data = [("hot", rng.randrange(0, 4000) * US // 10) for _ in range(300)]
     data += [(f"k{rng.randrange(12)}", rng.randrange(0, 90000) * US // 10) for _ in range(600)]
     df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(data)], "k string, ts_us bigint, event_id bigint")
-    got = {(r.k, r.ts_us): r.win_start_us for r in SQ.anchored_windows(df, ["k"], 60, small_key=small_key).collect()}
+    got = {(r.k, r.ts_us): r.win_start_us for r in SQ.anchored_windows(df, ["k"], 60, form=form).collect()}
     want = {}
     for key in {k for k, _ in data}:
         want |= {(key, t): s for t, s in brute_starts([t for k, t in data if k == key], 60 * US).items()}
@@ -44,8 +44,8 @@ def test_anchored_windows_match_the_sequential_rule(spark, small_key):
 def test_cooldown_is_not_a_lag_filter(spark):
     df = spark.createDataFrame([("a", s * US, i) for i, s in enumerate((0, 1000, 1790, 1801, 2500, 3601, 3601))],
                                "k string, ts_us bigint, event_id bigint")
-    for small in (10**6, 0):
-        assert [r.event_id for r in SQ.cooldown(df, ["k"], 1800, small_key=small).orderBy("event_id").collect()] == [0, 3, 5]
+    for form in ("joins", "walk"):
+        assert [r.event_id for r in SQ.cooldown(df, ["k"], 1800, form=form).orderBy("event_id").collect()] == [0, 3, 5]
 
 
 def test_event_gaps_cross_pieces_and_merge_ties(spark):
@@ -82,16 +82,61 @@ def test_running_number_across_blocks(spark):
     assert all(got[v] == sorted(i for i in ids if i % 2 == v % 2).index(v) for v in ids)
 
 
-def test_percentiles_large_path_is_exact(spark):
+def test_percentiles_are_exact(spark):
+    import numpy as np
     rng = random.Random(3)
-    vals = [rng.lognormvariate(0, 4) for _ in range(400)] + [5.0] * 200 + [0.0] * 30 + [-rng.random() for _ in range(50)]
-    df = spark.createDataFrame([("x", v) for v in vals] + [("one", 2.5)], "g string, v double")
+    parts = {"x": [rng.lognormvariate(0, 4) for _ in range(400)] + [5.0] * 200 + [0.0] * 30 + [-rng.random() for _ in range(50)], "one": [2.5],
+             "close": [1.7e9 + rng.randrange(5000) for _ in range(3000)], "crowded": [1.0 - 1e-9 * rng.randrange(100) for _ in range(500)],
+             "far": [float("-inf"), -1e300, -1e-300, 0.0, 1e-300, 1e300]}
+    df = spark.createDataFrame([(g, v) for g, vs in parts.items() for v in vs] + [("one", None), ("one", float("nan"))], "g string, v double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.77, 0.95, 1.0]
-    a = rows(exact_percentiles(df, ["g"], ["v"], probs))
-    b = rows(exact_percentiles(df, ["g"], ["v"], probs, small_group=0))
-    assert len(a) == len(b) == 14
-    for x, y in zip(a, b):
-        assert x[:3] == y[:3] and x[3] == pytest.approx(y[3], rel=1e-12)
+    got = {(r.g, r.prob): r.value for r in exact_percentiles(df, ["g"], ["v"], probs).collect()}
+    assert len(got) == len(probs) * len(parts)
+    for g, vs in parts.items():
+        for p in probs:
+            if g != "far" or p in (0.0, 1.0, 0.25):
+                want = float(np.quantile(np.array(vs), p)) if g != "far" else sorted(vs)[0] if p == 0 else sorted(vs)[-1] if p == 1 else None
+                assert want is None or got[g, p] == pytest.approx(want, rel=1e-12)
+
+
+def test_neighbours_across_runs_of_runs(spark, monkeypatch):
+    from tidewatch.operators import edges
+    monkeypatch.setattr(edges, "FAN", 3)
+    rng = random.Random(2)
+    at = sorted(rng.sample(range(-400, 400), 90))
+    data = [(k, t, None if rng.random() < 0.3 else t * 10) for k in "ab" for t in at]
+    df = spark.createDataFrame(data, "k string, t bigint, v bigint")
+    for before in (True, False):
+        got = {(r.k, r.t): r.o for r in edges.neighbour(df, ["k"], "t", "v", "o", before).collect()}
+        for k, t, _ in data:
+            near = [v for kk, tt, v in data if kk == k and v is not None and (tt < t if before else tt > t)]
+            assert got[k, t] == ((max(near) if before else min(near)) if near else None)
+
+
+def test_address_joins_with_one_address_of_a_third_of_all_rows(spark):
+    from tidewatch.operators import joins
+    alerts = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"a{i % 40}" if i % 5 else None) for i in range(3000)], "alert_id long, src_ip string")
+    index = spark.createDataFrame([("hot", 1), ("a1", 0), ("other", 1)], "ip string, is_attack int")
+    truth = {"hot": "attack", "a1": "benign"}
+    got = joins.lookup_ip_label(alerts, index).collect()
+    assert len(got) == 3000 and all(r.ground_truth == truth.get(r.src_ip) for r in got)
+    scores = spark.createDataFrame([("hot", 0.5, 1), ("hot", 0.7, 2), ("a1", 0.1, 1)], "src_ip string, score double, seq int")
+    got = joins.attach_scores(alerts, scores).collect()
+    assert len(got) == 3000 and all(r.score == {"hot": 0.7, "a1": 0.1}.get(r.src_ip) for r in got)
+    allow = spark.createDataFrame([("hot",), ("hot",), (None,)], "src_ip string")
+    kept = joins.suppress_listed(alerts, allow).collect()
+    assert sorted(r.alert_id for r in kept) == [i for i in range(3000) if i % 3]
+    assert sum(r.suppress_reason == "whitelist" for r in joins.suppress_listed(alerts, allow, keep_reason=True).collect()) == 1000
+
+
+def test_roc_auc_of_crowded_scores_and_margins(spark):
+    from tidewatch.operators.sweeps import roc_auc
+    rng = random.Random(4)
+    data = [(rng.choice([1.0 - 1e-9 * rng.randrange(2000), rng.uniform(-8, 8)]), rng.randrange(2)) for _ in range(1500)]
+    pos, neg = [s for s, y in data if y], [s for s, y in data if not y]
+    want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
+    got = roc_auc(spark.createDataFrame(data, "score double, is_attack int")).first()
+    assert got.auc == pytest.approx(want, rel=1e-12)
 
 
 def test_flow_prefix_limit_reaches_the_scan_side(spark, sf):

@@ -8,23 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch.functions.features import log1p_cols, robust_scale
 from tidewatch.operators.quantiles import percentile_table
-from tidewatch.operators.sampling import row_cap
 from tidewatch.session import literal_table
 
 SCHEMA = "feature string, idx int, log1p boolean, median double, iqr double"
 
 
 def fit_robust_scaler(df: DataFrame, features: Sequence[str], log1p: Sequence[str] = (), benign: Column | None = None,
-                      cap: int | None = None, key: str = "row_key", unit_iqr: bool = False) -> DataFrame:
+                      unit_iqr: bool = False) -> DataFrame:
     """Exact median and interquartile range per feature, after log1p where named.
 
-    ``benign`` restricts the rows, ``cap`` takes that many of them in hash order, ``unit_iqr`` turns a zero range
-    into 1.
+    ``benign`` restricts the rows, ``unit_iqr`` turns a zero range into 1.
     """
     rows = df if benign is None else df.filter(benign)
-    rows = rows if cap is None else row_cap(rows, cap, key)
     rows = log1p_cols(rows.select(*features), log1p)
-    q = percentile_table(rows, [], features, {"q1": 0.25, "median": 0.5, "q3": 0.75}, max_rows=cap)
+    q = percentile_table(rows, [], features, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     if unit_iqr:
         iqr = F.when(iqr == 0, 1.0).otherwise(iqr)

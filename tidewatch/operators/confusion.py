@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewatch.functions.addresses import flow_id_candidates, is_valid_ip, map_ip, proto_num
 from tidewatch.functions.features import ratio
@@ -118,25 +118,30 @@ def known_ip_confusion(alerts: DataFrame, known: DataFrame) -> DataFrame:
 def engine_confusion(flows: DataFrame, alerts: DataFrame, digits: int | None = 4) -> DataFrame:
     """All engines at once: flow level for per-flow and community engines, address level for the window engines.
 
-    Matched rows are joined once for all engines; totals come from the indexes, so the label table is not repeated
-    per engine. ``alerts`` must be enriched (engine, metric_level).
+    Flow ids and addresses are one kind of key. Labels are counted once per key, alerts come down to the engines that met a
+    key (a handful), and both meet in one join; every key then counts for its engines and for the total of its level.
+    ``alerts`` must be enriched (engine, metric_level).
     """
-    index = flow_index(flows)
-    ips = ip_index(flows)
-    engines = alerts.select("engine", "metric_level").distinct()
-    flow_hit = alert_flow_ids(alerts.filter("metric_level = 'flow'"), ["engine"]).join(index, "flow_id").groupBy(
-        "engine").agg(F.sum("attack_rows").alias("tp"), F.sum("benign_rows").alias("fp"))
-    ip_hit = alerted_ips(alerts.filter("metric_level = 'ip'"), ["engine"]).join(ips, "ip").groupBy("engine").agg(
-        F.count_if(F.col("is_attack") == 1).alias("tp"), F.count_if(F.col("is_attack") == 0).alias("fp"))
-    flow_total = index.agg(F.sum("attack_rows").alias("_attack"), F.sum("benign_rows").alias("_benign")).withColumn(
-        "metric_level", F.lit("flow"))
-    ip_total = ips.agg(F.count_if(F.col("is_attack") == 1).alias("_attack"),
-                       F.count_if(F.col("is_attack") == 0).alias("_benign")).withColumn("metric_level", F.lit("ip"))
-    out = engines.join(flow_hit.unionByName(ip_hit), "engine", "left").join(
-        flow_total.unionByName(ip_total), "metric_level").na.fill(0, ["tp", "fp"])
+    bad = F.col("label") != "BENIGN"
+    keys = F.array(F.struct(F.lit("flow").alias("level"), F.when(F.col("flow_id") != "", F.col("flow_id")).alias("key")),
+                   F.struct(F.lit("ip").alias("level"), F.when(is_valid_ip("src_ip"), F.col("src_ip")).alias("key")))
+    truth = flows.select(bad.alias("_bad"), F.explode(keys).alias("_k")).select("_bad", "_k.level", "_k.key").filter("key IS NOT NULL")
+    truth = truth.groupBy("level", "key").agg(F.count_if("_bad").alias("_attack"), F.count_if(~F.col("_bad")).alias("_benign"))
+    address = F.col("level") == "ip"                     # an address counts once, as attack if any of its rows is
+    truth = truth.select("level", "key", F.when(address, (F.col("_attack") > 0).cast("bigint")).otherwise(F.col("_attack")).alias("_attack"),
+                         F.when(address, (F.col("_attack") == 0).cast("bigint")).otherwise(F.col("_benign")).alias("_benign"))
+    ids = usable_alerts(alerts.filter("metric_level = 'flow'")).select("engine", F.lit("flow").alias("level"), F.explode(
+        flow_id_candidates("src_ip", "dst_ip", "src_port", "dst_port", "proto_no")).alias("key"))
+    addresses = alerts.filter((F.col("metric_level") == "ip") & is_valid_ip("src_ip")).select("engine", F.lit("ip").alias("level"), map_ip("src_ip").alias("key"))
+    present = alerts.select("engine", F.col("metric_level").alias("level"), F.lit("").alias("key"))       # engines without a hit
+    met = ids.unionByName(addresses).unionByName(present).groupBy("level", "key").agg(F.collect_set("engine").alias("_engines"))
+    each = F.array_append(F.coalesce("_engines", F.array().cast("array<string>")), F.lit("*"))
+    sums = truth.join(met, ["level", "key"], "full").select("level", "_attack", "_benign", F.explode(each).alias("engine")).groupBy("level", "engine").agg(
+        F.coalesce(F.sum("_attack"), F.lit(0)).alias("tp"), F.coalesce(F.sum("_benign"), F.lit(0)).alias("fp"))
+    total = lambda c: F.max(F.when(F.col("engine") == "*", F.col(c))).over(W.partitionBy("level"))
+    out = sums.withColumns({"_attack": total("tp"), "_benign": total("fp")}).filter("engine <> '*'")
     zero = F.lit(0)
-    out = out.select("engine", "metric_level", "tp", "fp",
-                     F.greatest(F.col("_benign") - F.col("fp"), zero).alias("tn"),
+    out = out.select("engine", F.col("level").alias("metric_level"), "tp", "fp", F.greatest(F.col("_benign") - F.col("fp"), zero).alias("tn"),
                      F.greatest(F.col("_attack") - F.col("tp"), zero).alias("fn"))
     return rates(out, digits)
 

@@ -36,11 +36,21 @@ def lookup_label(alerts: DataFrame, index: DataFrame) -> DataFrame:
     return rows.join(found, five, "left").drop("proto_no")
 
 
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """Left join with a table that is unique per ``key``, for keys that may hold a large part of ``rows``.
+
+    The rows are counted down to their distinct keys first; only those of ``lookup`` are repeated, once per salt, and a key's
+    rows are dealt over the salts."""
+    met = rows.select(key).filter(F.col(key).isNotNull()).distinct()
+    copies = lookup.join(met, key, "left_semi").withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def lookup_ip_label(alerts: DataFrame, index: DataFrame) -> DataFrame:
     """Label by source address."""
     lab = index.select(F.col("ip").alias("src_ip"),
                        F.when(F.col("is_attack") == 1, "attack").otherwise("benign").alias("ground_truth"))
-    return alerts.join(lab, "src_ip", "left")
+    return spread_join(alerts, lab, "src_ip")
 
 
 def latest_scores(scores: DataFrame, key: str = "src_ip", seq: str = "seq") -> DataFrame:
@@ -52,7 +62,7 @@ def latest_scores(scores: DataFrame, key: str = "src_ip", seq: str = "seq") -> D
 def attach_scores(alerts: DataFrame, scores: DataFrame, key: str = "src_ip") -> DataFrame:
     """Alert ← latest window score of its source, kept only for sources that have one."""
     last = latest_scores(scores, key).drop("seq")
-    return alerts.drop("score").join(last, key, "left")
+    return spread_join(alerts.drop("score"), last, key)
 
 
 def attach_nth_log(alerts: DataFrame, log: DataFrame, groups: Sequence[str] = (), alert_id: str = "alert_id",
@@ -109,11 +119,11 @@ def label_endpoints_by_key(windows: DataFrame, victims: DataFrame, on: Sequence[
 
 def suppress_listed(alerts: DataFrame, allow: DataFrame, key: str = "src_ip", keep_reason: bool = False) -> DataFrame:
     """Drop alerts of listed sources, or keep them with ``suppress_reason`` 'whitelist'."""
-    listed = allow.select(key).distinct()
+    listed = allow.filter(F.col(key).isNotNull()).select(key).distinct().withColumn("_listed", F.lit(1))
+    marked = spread_join(alerts, listed, key)
     if not keep_reason:
-        return alerts.join(listed, key, "left_anti")
-    return alerts.join(listed.withColumn("_l", F.lit(1)), key, "left").withColumn(
-        "suppress_reason", F.when(F.col("_l") == 1, "whitelist")).drop("_l")
+        return marked.filter("_listed IS NULL").drop("_listed")
+    return marked.withColumn("suppress_reason", F.when(F.col("_listed") == 1, "whitelist")).drop("_listed")
 
 
 def slice_universe(index: DataFrame, ips: DataFrame, slice_ids: DataFrame, slice_ips: DataFrame) -> DataFrame:

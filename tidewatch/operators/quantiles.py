@@ -6,11 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidewatch.session import cut_lineage
-
-SMALL_GROUP = 1_000_000
-BROADCAST_ROWS = 100_000
-
 
 def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str = "feature",
          value: str = "value") -> DataFrame:
@@ -21,83 +16,49 @@ def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str =
         list(ids), list(columns), name, value)
 
 
-def _bucket(v: Column, per_octave: int = 256) -> Column:
-    """Order-preserving coarse bucket with constant relative width."""
-    size = F.floor((F.log2(F.abs(v)) + 1100.0) * per_octave)
-    return F.when(v == 0, F.lit(0)).otherwise((size * F.signum(v)).cast("bigint"))
-
-
-def exact_percentiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], probs: Sequence[float],
-                      small_group: int = SMALL_GROUP, max_rows: int | None = None) -> DataFrame:
-    """Percentiles with linear interpolation → rows (groups, feature, prob, value).
-
-    The built-in aggregate holds one map of distinct values per group, so it is used only after a count shows that no
-    group exceeds ``small_group`` rows. Larger groups are cut into value buckets: counts per bucket locate the wanted
-    ranks, and only the distinct values of the buckets hit are sorted. ``max_rows``, a bound the caller knows, saves
-    the count.
-    """
-    long = melt(df, groups, columns).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    keys = [*groups, "feature"]
-    # counted before the columns are turned into rows, so the check reads the group columns only
-    largest = max_rows if max_rows is not None else (df.groupBy(*groups) if groups else df.groupBy(F.lit(0).alias("_one"))).count().agg(
-        F.max("count")).first()[0] or 0
-    if largest <= small_group:
-        agg = long.groupBy(*keys).agg(F.percentile("value", F.array(*[F.lit(float(p)) for p in probs])).alias("_v"))
-        return agg.select(*keys, F.explode(F.arrays_zip(
-            F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("_v").alias("value"))).alias("_z")
-        ).select(*keys, "_z.prob", "_z.value")
-    return ranked_percentiles(long, keys, probs)
-
+#: Buckets per factor of two, as powers of two: fine ones, and how many of them make up a coarse one.
+FINE_BITS, COARSE_BITS = 20, 12
 
-def _locate(hist: DataFrame, parts: Sequence[str], bucket: str) -> DataFrame:
-    """Of counted buckets with wanted ``_rank`` rows attached, keep those a rank falls into, and the count before."""
-    run = W.partitionBy(*parts, "prob", "_rank").orderBy(bucket).rowsBetween(W.unboundedPreceding, 0)
-    hi = hist.withColumn("_hi", F.sum("_n").over(run)).withColumn("_lo", F.col("_hi") - F.col("_n"))
-    return hi.filter((F.col("_lo") <= F.col("_rank")) & (F.col("_rank") < F.col("_hi"))).withColumn(
-        "_rank", F.col("_rank") - F.col("_lo")).drop("_hi", "_lo", "_n")
 
+def _bucket(v: Column) -> Column:
+    """Order-preserving number of a bucket of constant relative width (2^-20 of a factor of two)."""
+    size = F.floor((F.log2(F.abs(v)) + 1100.0) * float(1 << FINE_BITS))
+    return F.when(v == 0, F.lit(0)).otherwise(F.when(v < 0, -size).otherwise(size)).cast("bigint")
 
-def _only(rows: DataFrame, wanted: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of the wanted buckets. The bucket list is counted; only a short one is broadcast."""
-    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, list(on))
 
+def exact_percentiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Percentiles with linear interpolation → rows (groups, feature, prob, value); null and NaN are left out.
 
-def ranked_percentiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float], cells: int = 4096) -> DataFrame:
-    """The bucketed form; ``long`` has ``keys`` and ``value``.
-
-    Buckets of constant relative width are counted first. The buckets that hold a wanted rank are split into ``cells``
-    equal parts between their smallest and largest value, counted again, and only the distinct values of the parts hit
-    are sorted. Equal values are merged before every shuffle, so copies cannot make a bucket heavy.
-    """
-    keys = list(keys)
-    rows = long.withColumn("_b", _bucket(F.col("value")))
-    hist = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"), F.min("value").alias("_min"), F.max("value").alias("_max"))
-    total = F.sum("_n").over(W.partitionBy(*keys))
-    hist = hist.withColumn("_total", total).withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    hist = hist.withColumn("_pos", F.col("prob") * (F.col("_total") - 1)).withColumn(
-        "_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
-    hist = hist.withColumn("_at", F.col("_rank"))
-    hit = cut_lineage(_locate(hist, keys, "_b").select(*keys, "_b", "_min", "_max", "prob", "_pos", "_at", "_rank"))
-
-    share = (F.col("value") - F.col("_min")) / (F.col("_max") - F.col("_min"))
-    cell = F.when(F.col("_max") > F.col("_min"), F.least(F.floor(share * cells), F.lit(cells - 1))).otherwise(0)
-    near = _only(rows, hit.select(*keys, "_b", "_min", "_max").distinct(), [*keys, "_b"]).withColumn("_c", cell)
-    parts = near.groupBy(*keys, "_b", "_c").agg(F.count("*").alias("_n"))
-    want = hit.select(*keys, "_b", "prob", "_pos", "_at", "_rank")
-    fine = cut_lineage(_locate(parts.join(want, [*keys, "_b"]), [*keys, "_b"], "_c"))
-
-    where = [*keys, "_b", "_c"]
-    values = _only(near, fine.select(*where).distinct(), where).groupBy(*where, "value").agg(F.count("*").alias("_n"))
-    found = _locate(values.join(fine, where), where, "value")
-    at = found.groupBy(*keys, "prob").agg(
-        F.min_by("value", "_at").alias("_low"), F.max_by("value", "_at").alias("_high"),
-        F.first(F.col("_pos") - F.floor("_pos")).alias("_w"))
-    return at.select(*keys, "prob", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_w")).alias("value"))
-
-
-def percentile_table(df: DataFrame, groups: Sequence[str], columns: Sequence[str], named: dict[str, float],
-                     max_rows: int | None = None) -> DataFrame:
+    Equal values are merged before anything moves. Counts per coarse and per fine bucket of values tell how many values lie
+    before each fine bucket; only the fine buckets that hold a wanted rank are looked into. Nothing is counted before the plan
+    is made, the source is read once, and no sort group holds more than the values of a fine bucket, the fine buckets of a
+    coarse one, or the coarse buckets of a group."""
+    long = melt(df, groups, columns).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    keys = [*groups, "feature"]
+    values = long.groupBy(*keys, "value").agg(F.count("*").alias("_n")).withColumn("_fine", _bucket(F.col("value"))).withColumn(
+        "_coarse", F.shiftright("_fine", COARSE_BITS))
+    fine = values.groupBy(*keys, "_coarse", "_fine").agg(F.sum("_n").alias("_n"))
+    coarse = fine.groupBy(*keys, "_coarse").agg(F.sum("_n").alias("_m"))
+    upto = W.partitionBy(*keys).orderBy("_coarse").rowsBetween(W.unboundedPreceding, 0)
+    coarse = coarse.withColumn("_before", F.sum("_m").over(upto) - F.col("_m")).withColumn("_total", F.sum("_m").over(W.partitionBy(*keys)))
+    wanted = F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos")) for p in probs])
+    touches = lambda lo, n: lambda w: (F.ceil(w["pos"]) >= lo) & (F.floor(w["pos"]) < lo + n)
+    hit = coarse.withColumn("_want", F.filter(wanted, touches(F.col("_before"), F.col("_m")))).filter(F.size("_want") > 0)
+    inside = W.partitionBy(*keys, "_coarse").orderBy("_fine").rowsBetween(W.unboundedPreceding, 0)
+    fine = fine.join(hit.select(*keys, "_coarse", F.col("_before").alias("_base"), "_want"), [*keys, "_coarse"]).withColumn(
+        "_start", F.col("_base") + F.sum("_n").over(inside) - F.col("_n"))
+    fine = fine.withColumn("_want", F.filter("_want", touches(F.col("_start"), F.col("_n")))).filter(F.size("_want") > 0)
+    at = W.partitionBy(*keys, "_fine").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    found = values.join(fine.select(*keys, "_fine", "_start", "_want"), [*keys, "_fine"]).withColumn("_lo", F.col("_start") + F.sum("_n").over(at) - F.col("_n"))
+    found = found.select(*keys, "value", "_lo", "_n", F.explode(F.filter("_want", touches(F.col("_lo"), F.col("_n")))).alias("_w"))
+    ends = found.groupBy(*keys, F.col("_w.prob").alias("prob"), F.col("_w.pos").alias("_pos")).agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
+    share = F.col("_pos") - F.floor("_pos")
+    between = F.col("_low") + (F.col("_high") - F.col("_low")) * share
+    return ends.select(*keys, "prob", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(between).alias("value"))
+
+
+def percentile_table(df: DataFrame, groups: Sequence[str], columns: Sequence[str], named: dict[str, float]) -> DataFrame:
     """Same, one column per named probability → (groups, feature, *names)."""
-    long = exact_percentiles(df, groups, columns, sorted(set(named.values())), max_rows=max_rows)
+    long = exact_percentiles(df, groups, columns, sorted(set(named.values())))
     return long.groupBy(*groups, "feature").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in named.items()])

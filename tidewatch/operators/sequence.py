@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from tidewatch.operators.edges import neighbour
 from tidewatch.session import cut_lineage, with_fields
 
 US = 1_000_000
-SMALL_KEY = 1_000_000
 
 
 def event_gaps(df: DataFrame, keys: Sequence[str], ts_us: str = "ts_us", piece_sec: int = 1) -> DataFrame:
@@ -23,7 +23,7 @@ def event_gaps(df: DataFrame, keys: Sequence[str], ts_us: str = "ts_us", piece_s
     times = df.groupBy(*keys, F.col(ts_us).alias("ts_us")).agg(F.count("*").alias("events")).withColumn(
         "_piece", F.floor(F.col("ts_us") / (piece_sec * US)))
     last = times.groupBy(*keys, "_piece").agg(F.min("ts_us").alias("ts_us"), F.max("ts_us").alias("_last"))
-    last = last.withColumn("_before", F.lag("_last").over(W.partitionBy(*keys).orderBy("_piece")))
+    last = neighbour(last, keys, "_piece", "_last", "_before")
     inside = times.withColumn("_prev", F.lag("ts_us").over(W.partitionBy(*keys, "_piece").orderBy("ts_us")))
     out = inside.join(last.select(*keys, "_piece", "ts_us", "_before"), [*keys, "_piece", "ts_us"], "left")
     prev = F.coalesce("_prev", "_before")
@@ -41,7 +41,7 @@ def _chain(times: np.ndarray, width: int) -> np.ndarray:
     return start
 
 
-def _small_keys(times: DataFrame, keys: Sequence[str], width_us: int) -> DataFrame:
+def _walk(times: DataFrame, keys: Sequence[str], width_us: int) -> DataFrame:
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts_us")
         return pdf.assign(win_start_us=_chain(pdf["ts_us"].to_numpy(), width_us))
@@ -66,15 +66,14 @@ def _next_start(times: DataFrame, keys: Sequence[str], width_us: int) -> DataFra
     both = own.unionByName(ask).withColumn("_c", _cell(width_us))
     ahead = W.partitionBy(*keys, "_c").orderBy("ts_us", "_real").rowsBetween(0, W.unboundedFollowing)
     inside = both.withColumn("nxt", F.min(F.when(F.col("_real") == 1, F.col("ts_us"))).over(ahead)).filter("_real = 0")
-    cells = both.groupBy(*keys, "_c").agg(F.min(F.when(F.col("_real") == 1, F.col("ts_us"))).alias("_first")).withColumn(
-        "_later", F.first("_first", ignorenulls=True).over(
-            W.partitionBy(*keys).orderBy("_c").rowsBetween(1, W.unboundedFollowing)))
+    cells = both.groupBy(*keys, "_c").agg(F.min(F.when(F.col("_real") == 1, F.col("ts_us"))).alias("_first"))
+    cells = neighbour(cells, keys, "_c", "_first", "_later", before=False)
     return inside.join(cells.select(*keys, "_c", "_later"), [*keys, "_c"]).select(
         *keys, (F.col("ts_us") - width_us).alias("ts_us"), F.coalesce("nxt", "_later").alias("nxt"))
 
 
-def _large_keys(times: DataFrame, keys: Sequence[str], width_us: int) -> DataFrame:
-    """Window starts of keys too large for one task, by pointer doubling over ``next start``.
+def _by_joins(times: DataFrame, keys: Sequence[str], width_us: int) -> DataFrame:
+    """Window starts by pointer doubling over ``next start``.
 
     Each round joins on (key, time), which is unique, so no task sees more of a key than its hash share. The number
     of rounds is the logarithm of the longest chain of windows.
@@ -95,48 +94,41 @@ def _large_keys(times: DataFrame, keys: Sequence[str], width_us: int) -> DataFra
     rows = times.select(*keys, "ts_us").join(starts.withColumn("_start", F.col("ts_us")), [*keys, "ts_us"], "left")
     rows = rows.withColumn("_c", _cell(width_us))
     back = W.partitionBy(*keys, "_c").orderBy("ts_us").rowsBetween(W.unboundedPreceding, 0)
-    before = rows.groupBy(*keys, "_c").agg(F.max("_start").alias("_s")).withColumn(
-        "_earlier", F.last("_s", ignorenulls=True).over(
-            W.partitionBy(*keys).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)))
+    before = neighbour(rows.groupBy(*keys, "_c").agg(F.max("_start").alias("_s")), keys, "_c", "_s", "_earlier")
     return rows.withColumn("_own", F.max("_start").over(back)).join(
         before.select(*keys, "_c", "_earlier"), [*keys, "_c"]).select(
         *keys, "ts_us", F.coalesce("_own", "_earlier").alias("win_start_us"))
 
 
-def anchored_starts(df: DataFrame, keys: Sequence[str], width_sec: float, ts_us: str = "ts_us",
-                    small_key: int = SMALL_KEY) -> DataFrame:
+FORMS = {"joins": _by_joins, "walk": _walk}
+
+
+def anchored_starts(df: DataFrame, keys: Sequence[str], width_sec: float, ts_us: str = "ts_us", form: str = "joins") -> DataFrame:
     """Window start of every distinct time of a key → (keys, ts_us, win_start_us).
 
     A window opens at the first event and closes at the first event at least ``width_sec`` later, which opens the
-    next. The rule is sequential per key. Keys up to ``small_key`` distinct times are walked in one group each;
-    larger ones, found by a count, go through joins instead.
+    next. ``form`` is ``joins`` (keys of any size, some rounds of joins) or ``walk``, which the caller may choose where each
+    key's distinct times fit one task: one group per key.
     """
     width_us = int(round(width_sec * US))
     times = df.select(*keys, F.col(ts_us).alias("ts_us")).distinct()
-    # one event per window length is the most that can matter, so the check counts merged times
-    sizes = times.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > small_key).select(*keys)
-    if sizes.isEmpty():
-        return _small_keys(times, keys, width_us)
-    big = cut_lineage(sizes)
-    small = _small_keys(times.join(big, list(keys), "left_anti"), keys, width_us)
-    return small.unionByName(_large_keys(cut_lineage(times.join(big, list(keys), "left_semi")), keys, width_us))
+    return FORMS[form](cut_lineage(times) if form == "joins" else times, keys, width_us)
 
 
-def anchored_windows(df: DataFrame, keys: Sequence[str], width_sec: float, ts_us: str = "ts_us",
-                     small_key: int = SMALL_KEY) -> DataFrame:
+def anchored_windows(df: DataFrame, keys: Sequence[str], width_sec: float, ts_us: str = "ts_us", form: str = "joins") -> DataFrame:
     """``df`` with ``win_start_us``: the anchored window each row belongs to."""
-    starts = anchored_starts(df, keys, width_sec, ts_us, small_key)
+    starts = anchored_starts(df, keys, width_sec, ts_us, form)
     return df.join(starts.withColumnRenamed("ts_us", ts_us), [*keys, ts_us])
 
 
 def cooldown(alerts: DataFrame, keys: Sequence[str], seconds: float = 1800, ts_us: str = "ts_us",
-             order: str = "event_id", small_key: int = SMALL_KEY) -> DataFrame:
+             order: str = "event_id", form: str = "joins") -> DataFrame:
     """Keep an alert only if at least ``seconds`` passed since the last *kept* alert of its key.
 
     Kept alerts are exactly the openers of anchored windows of that length; of several at one time the first by
     ``order`` is kept.
     """
-    starts = anchored_starts(alerts, keys, seconds, ts_us, small_key).filter("ts_us = win_start_us").select(
+    starts = anchored_starts(alerts, keys, seconds, ts_us, form).filter("ts_us = win_start_us").select(
         *keys, F.col("ts_us").alias(ts_us))
     opened = alerts.join(starts, [*keys, ts_us])
     first = opened.groupBy(*keys, ts_us).agg(F.min(order).alias(order))

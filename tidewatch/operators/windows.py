@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidewatch.functions.addresses import is_private_ip
 from tidewatch.functions.features import ratio
 from tidewatch.functions.packets import FIN, PSH, RST, SYN, ACK, has, is_syn, is_syn_ack
+from tidewatch.operators.edges import neighbour
 
 US = 1_000_000
 
@@ -93,7 +94,7 @@ def gap_pairs(df: DataFrame, keys: Sequence[str], ts_us: str = "ts_us", piece_us
     times = times.repartition(*keys, "_piece")
     inside = times.withColumn("_prev", F.lag("_t").over(W.partitionBy(*keys, "_piece").orderBy("_t")))
     edges = times.groupBy(*keys, "_piece").agg(F.min("_t").alias("_t"), F.max("_t").alias("_last"))
-    across = edges.withColumn("_prev", F.lag("_last").over(W.partitionBy(*keys).orderBy("_piece")))
+    across = neighbour(edges, keys, "_piece", "_last", "_prev")
     cols = [*keys, "_prev", "_t"]
     return inside.select(*cols).unionByName(across.select(*cols)).filter(F.col("_prev").isNotNull())
 

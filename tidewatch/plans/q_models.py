@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewatch.models import boosting as B, explain as E, iforest as IF, isotonic as ISO, scaler as SC, trees as TR
+from tidewatch.operators.sampling import row_cap
 from tidewatch.plans import q_common as C
 from tidewatch.plans.boost_sql import boosting_sql
 from tidewatch.plans.registry import query
@@ -33,7 +34,8 @@ H = "md5(concat_ws('|', '42', row_key))"
 --result
 SELECT feature, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM ({C.long_sql("b", "", ["dur", "sbytes"])}) GROUP BY feature""", "flows")
 def fit_robust_scaler_capped(spark, sf):
-    return SC.fit_robust_scaler(C.flows(spark, sf), ["dur", "sbytes"], benign=F.col("label") == "BENIGN", cap=10000)
+    """A scaler of a capped table: the cap is the sampling operator's, not the scaler's."""
+    return SC.fit_robust_scaler(row_cap(C.flows(spark, sf).filter("label = 'BENIGN'"), 10000), ["dur", "sbytes"])
 
 
 def _p(f, what):

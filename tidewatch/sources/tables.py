@@ -32,7 +32,7 @@ def _charset(encoding: str) -> tuple[str, bool]:
 
 def _by_header(spark: SparkSession, path: str) -> list[str | list[str]]:
     """The files of ``path`` in groups of equal header line; the path itself if all have the same."""
-    files = spark.read.text(path).inputFiles()
+    files = [unquote(f) for f in spark.read.text(path).inputFiles()]
     if len(files) < 2:
         return [path]
     def header(file: str) -> str:
@@ -44,7 +44,7 @@ def _by_header(spark: SparkSession, path: str) -> list[str | list[str]]:
     groups: dict[str, list[str]] = {}
     for file, line in sorted(zip(files, headers)):
         if line:
-            groups.setdefault(line, []).append(unquote(file))
+            groups.setdefault(line, []).append(file)
     return [path] if len(groups) < 2 else list(groups.values())
 
 
