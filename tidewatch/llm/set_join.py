@@ -233,9 +233,12 @@ def prefix_tokens(items: DataFrame, sets: Callable, levels: np.ndarray, t: Thres
 
 
 def with_heads(rows: DataFrame, size: int = 4) -> DataFrame:
-    """``rows`` (``token``, ``pos``, ``node``) with ``head``: the first tokens of the node among these rows."""
-    own = W.partitionBy("node").orderBy("pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return rows.withColumn("head", F.slice(F.collect_list("token").over(own), 1, size))
+    """``rows`` (``token``, ``pos``, ``node``) with ``head``: the first tokens of the node among these rows.
+
+    Only these are collected, so a row of a long text carries no more than a row of a short one."""
+    own = W.partitionBy("node").orderBy("pos")
+    first = F.when(F.row_number().over(own) <= size, F.col("token"))
+    return rows.withColumn("_first", first).withColumn("head", F.collect_list("_first").over(own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).drop("_first")
 
 
 def met_before(x_head: str = "x_head", y_head: str = "y_head", token: str = "token") -> Column:
