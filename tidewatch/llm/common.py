@@ -34,6 +34,8 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch while a stage is written (the default of 64 MB is held several times over by a Python worker).
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 _FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -42,7 +44,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     The shuffle files of the write are removed when it ends, not when the driver happens to collect its garbage."""
     path = new_folder(df.sparkSession, name)
-    with setting(df.sparkSession, _CLEANUP, "true"):
+    with setting(df.sparkSession, _CLEANUP, "true"), setting(df.sparkSession, _BATCH, _BATCH_BYTES):
         df.write.parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     _FOLDERS[written] = path
