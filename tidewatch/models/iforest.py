@@ -7,11 +7,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidewatch.models.trees import matrix
 from tidewatch.operators.quantiles import exact_percentiles
 from tidewatch.operators.ranking import hash_key, smallest_per_group
-from tidewatch.session import cut_lineage, with_fields
+from tidewatch.session import cut_lineage
 
 NODE = "tree int, node int, left int, right int, feature int, threshold double, length double"
 
@@ -92,7 +94,9 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], trees: int = 20
 
 
 def score_isolation_forest(df: DataFrame, forest: IsolationForest, column: str = "if_score") -> DataFrame:
-    """``-2 ** (-mean path / expected path)``: lower is stranger. With a threshold also the anomaly label."""
+    """``-2 ** (-mean path / expected path)``: lower is stranger. With a threshold also the anomaly label.
+
+    Only the feature columns go through Python; the node table (trees × nodes) is broadcast."""
     trees = []
     for _, n in forest.nodes.groupby("tree", sort=True):
         n = n.sort_values("node")
@@ -101,21 +105,22 @@ def score_isolation_forest(df: DataFrame, forest: IsolationForest, column: str =
         trees.append((np.where(leaf, own, n["left"]), np.where(leaf, own, n["right"]), np.where(leaf, 0, n["feature"]),
                       n["threshold"].to_numpy(), n["length"].to_numpy()))
     shared = df.sparkSession.sparkContext.broadcast(trees)
-    names, expected = list(forest.features), float(mean_path(forest.sample))
+    expected = float(mean_path(forest.sample))
     depth = int(np.ceil(np.log2(max(forest.sample, 2))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = b[names].to_numpy(dtype=np.float64)
+    @F.arrow_udf("double")
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            x = matrix(columns)
             rows, total = np.arange(len(x)), np.zeros(len(x))
             for left, right, feature, threshold, length in shared.value:
                 at = np.zeros(len(x), dtype=int)
                 for _ in range(depth):
                     at = np.where(x[rows, feature[at]] <= threshold[at], left[at], right[at])
                 total += length[at]
-            yield b.assign(**{column: -np.exp2(-(total / len(shared.value)) / expected)})
+            yield pa.array(-np.exp2(-(total / len(shared.value)) / expected))
 
-    out = df.mapInPandas(run, with_fields(df.schema, (column, T.DoubleType())))
+    out = df.withColumn(column, run(*[F.col(f).cast("double") for f in forest.features]))
     if forest.threshold is None:
         return out
     odd = F.col(column) < forest.threshold

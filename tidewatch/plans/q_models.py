@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tidewatch.models import boosting as B, explain as E, iforest as IF, isotonic as ISO, scaler as SC, trees as TR
 from tidewatch.operators.sampling import row_cap
+from tidewatch.operators.sweeps import roc_auc
 from tidewatch.plans import q_common as C
 from tidewatch.plans.boost_sql import boosting_sql
 from tidewatch.plans.registry import query
+from tidewatch.session import cut_lineage
 
 FOUR = ["dur", "sbytes", "dpkts", "swin"]
 SCALER_SQL = """, b AS (SELECT ln(1 + dur) AS dur, ln(1 + sbytes) AS sbytes, dpkts, swin, 1.0 AS flat FROM flows WHERE label = 'BENIGN'),
@@ -101,22 +103,34 @@ def _labelled(spark, sf):
         "is_attack", (F.col("label") != "BENIGN").cast("int"))
 
 
-@query("train_detector", "row_key p:d")
+def _area(scored, column, label="is_attack"):
+    """Area under the curve as a scalar of the same plan."""
+    return roc_auc(scored, column, label).select("auc").scalar()
+
+
+@query("train_detector", "row_key in_range:i better_than_chance:i", "SELECT row_key, 1 AS in_range, 1 AS better_than_chance FROM flows", "flows")
 def train_detector(spark, sf):
+    """Every flow scored by the fitted model. What SQL can hold the fit to: probabilities, and an area above 0.6."""
     df = _labelled(spark, sf)
     from tidewatch.operators.sampling import with_class_weight
     model = TR.train_detector(with_class_weight(df), C.ELEVEN, weight="weight")
-    return TR.score_model(model, df, "p")
+    scored = cut_lineage(TR.score_model(model, df, "p").select("row_key", "is_attack", "p"))
+    return scored.withColumns({"in_range": F.col("p").between(0, 1).cast("int"), "better_than_chance": (_area(scored, "p") > 0.6).cast("int")})
 
 
-@query("train_detector_two_sources", "row_key p_base:d p:d")
+@query("train_detector_two_sources", "row_key in_range:i fits_second:i", "SELECT row_key, 1 AS in_range, 1 AS fits_second FROM flows", "flows")
 def train_detector_two_sources(spark, sf):
-    """150 rounds on the other days, then 150 smaller ones on Wednesday from the margins of the first part."""
+    """150 rounds on the other days, then 150 smaller ones on Wednesday from the margins of the first part. Held to: probabilities,
+    and a larger area than the first part's on the rows of the second corpus."""
     df = _labelled(spark, sf)
     wed = F.col("day") == "Wednesday"
     first, second = B.train_two_sources(df.filter(~wed), df.filter(wed), C.ELEVEN, params=B.Boosting(rows=0.8), more=B.Boosting(step=0.02, l2=1.5, rows=0.8),
                                         row_id=["row_key"])
-    return TR.score_trees(TR.score_trees(df, first, "p_base"), second, "p")
+    scored = TR.score_trees(TR.score_trees(df, first, "p_base"), second, "p").select("row_key", "day", "is_attack", "p_base", "p")
+    scored = cut_lineage(scored)
+    own = scored.filter(wed)
+    return scored.withColumns({"in_range": (F.col("p").between(0, 1) & F.col("p_base").between(0, 1)).cast("int"),
+                               "fits_second": (_area(own, "p") > _area(own, "p_base")).cast("int")})
 
 
 MARGIN_SQL = """-0.1 + CASE WHEN dur < 60000 THEN -0.4 WHEN sbytes < 40000 THEN 0.1 ELSE 0.7 END
@@ -144,19 +158,29 @@ def continued_round(spark, sf):
     return f.withColumn("margin", TR.tree_margin(f, more))
 
 
-@query("feature_importance", "feature importance:d rank:i")
+@query("feature_importance", "feature share_ok:i total:d ranked:i", f"SELECT unnest({C.ELEVEN}) AS feature, 1 AS share_ok, 1.0 AS total, 1 AS ranked FROM (SELECT count(*) AS n FROM flows) WHERE n > 0", "flows")
 def feature_importance(spark, sf):
-    return TR.feature_importance(TR.train_detector(_labelled(spark, sf), C.ELEVEN), spark)
+    """Importances of a fitted model: shares that sum to 1, ranked without gaps by size."""
+    found = TR.feature_importance(TR.train_detector(_labelled(spark, sf), C.ELEVEN), spark)
+    every, by_size = Window.partitionBy(), Window.orderBy(F.desc("importance"), "feature")           # one row per feature
+    return found.select("feature", F.col("importance").between(0, 1).cast("int").alias("share_ok"), F.sum("importance").over(every).alias("total"),
+                        (F.row_number().over(by_size) == F.col("rank")).cast("int").alias("ranked"))
 
 
 def _days(df):
     return [r["day"] for r in df.select("day").distinct().orderBy("day").collect()]
 
 
-@query("leave_one_day_out", "day tp:i fp:i tn:i fn:i recall:d precision:d fpr:d")
+@query("leave_one_day_out", "day addresses:i attackers:i rates_ok:i", """SELECT day, count(*) AS addresses, sum(bad) AS attackers, 1 AS rates_ok FROM (
+  SELECT day, src_ip, max(CASE WHEN label <> 'BENIGN' THEN 1 ELSE 0 END) AS bad FROM flows GROUP BY ALL) GROUP BY day""", "flows")
 def leave_one_day_out(spark, sf):
+    """150 rounds, all features, seven models. SQL holds the addresses and attackers of each confusion and its rates; the twin of the
+    whole confusion is that of ``leave_one_day_out_short``."""
     df = _labelled(spark, sf)
-    return B.leave_one_day_out(df, C.ELEVEN, _days(df), params=B.Boosting(rows=0.8), row_id=["row_key"])
+    out = B.leave_one_day_out(df, C.ELEVEN, _days(df), params=B.Boosting(rows=0.8), row_id=["row_key"])
+    ok = (F.abs(F.col("recall") * (F.col("tp") + F.col("fn")) - F.col("tp")) < 1e-6) & (F.abs(F.col("fpr") * (F.col("fp") + F.col("tn")) - F.col("fp")) < 1e-6)
+    return out.select("day", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("addresses"), (F.col("tp") + F.col("fn")).alias("attackers"),
+                      ok.cast("int").alias("rates_ok"))
 
 
 @query("leave_one_day_out_short", "day tp:i fp:i tn:i fn:i recall:d precision:d fpr:d", ", " + boosting_sql("flows", FOUR, "0.0", 3, 2, 16, 0.5, 1.0, "day") + f"""
@@ -245,18 +269,29 @@ def _forest(spark, sf):
     return IF.train_anomaly_detector(C.feature_frame(spark, sf, "row_key", "label"), FOUR, F.col("label") == "BENIGN")
 
 
-@query("fit_isolation_forest", "name value:d")
+@query("fit_isolation_forest", "property ok:i", "SELECT unnest(['thresholds in order', 'false alarms near the threshold', 'recall is a share', '200 trees']) AS property, 1 AS ok FROM (SELECT count(*) AS n FROM flows) WHERE n > 0", "flows")
 def fit_isolation_forest(spark, sf):
+    """What must hold of a fitted forest: -1 < p1 <= p4 <= p5 <= p10 < 0, about 5 % of foreign benign rows flagged, all trees there."""
     forest = _forest(spark, sf)
-    return spark.createDataFrame(sorted((k, float(v)) for k, v in forest.meta.items()), "name string, value double")
+    m = forest.meta
+    cuts = [m[f"threshold_p{k}"] for k in (1, 4, 5, 10)]
+    checks = {"thresholds in order": -1 < cuts[0] and cuts == sorted(cuts) and cuts[-1] < 0, "false alarms near the threshold": 0 <= m["val_benign_fpr"] <= 0.1,
+              "recall is a share": 0 <= m["attack_recall"] <= 1, "200 trees": forest.nodes["tree"].nunique() == 200}
+    return spark.createDataFrame([(k, int(v)) for k, v in checks.items()], "property string, ok int")
 
 
-@query("score_isolation_forest", "row_key if_score:d if_label")
+@query("score_isolation_forest", "row_key in_range:i label_ok:i", "SELECT row_key, 1 AS in_range, 1 AS label_ok FROM flows", "flows")
 def score_isolation_forest(spark, sf):
-    return IF.score_isolation_forest(C.feature_frame(spark, sf, "row_key"), _forest(spark, sf))
+    """Every flow scored; the label follows the threshold."""
+    forest = _forest(spark, sf)
+    s = IF.score_isolation_forest(C.feature_frame(spark, sf, "row_key"), forest)
+    odd = F.col("if_score") < forest.threshold
+    return s.select("row_key", ((F.col("if_score") > -1) & (F.col("if_score") < 0)).cast("int").alias("in_range"),
+                    (odd == (F.col("if_label") == "anomaly_candidate")).cast("int").alias("label_ok"))
 
 
-@query("anomaly_fpr", "day n:i anomaly_rate:d")
+@query("anomaly_fpr", "day n:i rate_ok:i", "SELECT day, count(*) AS n, 1 AS rate_ok FROM flows WHERE label = 'BENIGN' GROUP BY day", "flows")
 def anomaly_fpr(spark, sf):
+    """Benign flows of each day flagged: the threshold lets about one in twenty through."""
     f = C.feature_frame(spark, sf, "row_key", "label", "day").filter("label = 'BENIGN'")
-    return IF.anomaly_fpr(f, _forest(spark, sf), ["day"])
+    return IF.anomaly_fpr(f, _forest(spark, sf), ["day"]).withColumn("rate_ok", F.col("anomaly_rate").between(0, 0.2).cast("int"))

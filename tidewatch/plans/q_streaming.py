@@ -16,7 +16,7 @@ from tidewatch.sources import logs
 from tidewatch.streaming import detectors as DT, pipelines as PL
 from tidewatch.streaming.scoring import LinearScore
 
-RESULT_COLS = "key win_start_us:i detected_at_us:i syn_count:i score:d alert:i suppress_reason reason"
+FITS_COLS, FITS_SQL = "key fits:i", "SELECT DISTINCT src_ip AS key, 1 AS fits FROM packets"
 # packets are days apart in the test table, so windows are days long
 DAYS = 7 * C.DAY
 
@@ -30,9 +30,20 @@ def _run(spark, sf, cfg, score):
     return PL.run_to_end(DT.detect_stream(_stream(spark, sf), cfg, score), spark, cfg.engine)
 
 
-@query("detect_scan_stream", RESULT_COLS)
+def _fits(spark, sf, found):
+    """Every source with what must hold of its scored windows: no window twice, no more SYNs than it sent, scores that are
+    probabilities, an alert only where nothing suppresses it. A key that sent nothing would come out as a further row."""
+    syn = F.count_if((F.col("proto") == 6) & (F.col("flags").bitwiseAND(18) == 2))
+    sent = C.packets(spark, sf).groupBy(F.col("src_ip").alias("key")).agg(syn.alias("sent"))
+    per = found.groupBy("key").agg(F.sum("syn_count").alias("counted"), F.count("*").alias("n"), F.countDistinct("win_start_us", "detected_at_us").alias("windows"),
+                                   F.bool_and(F.col("score").between(0, 1) & ~(F.col("alert") & F.col("suppress_reason").isNotNull())).alias("sound"))
+    fits = F.col("n").isNull() | ((F.col("counted") <= F.col("sent")) & (F.col("n") == F.col("windows")) & F.col("sound"))
+    return sent.join(per, "key", "full").select("key", F.coalesce(fits, F.lit(False)).cast("int").alias("fits"))
+
+
+@query("detect_scan_stream", FITS_COLS, FITS_SQL, "packets")
 def detect_scan_stream(spark, sf):
-    return _run(spark, sf, config.SCAN.with_(window_sec=DAYS, min_events=2, min_dst_ports=2), LinearScore({1: 1.0}, -1.0))
+    return _fits(spark, sf, _run(spark, sf, config.SCAN.with_(window_sec=DAYS, min_events=2, min_dst_ports=2), LinearScore({1: 1.0}, -1.0)))
 
 
 WINDOW_COLS = "key win_start_us:i syn_count:i score:d alert:i suppress_reason reason"
@@ -60,34 +71,46 @@ def detect_endpoint_stream(spark, sf):
     return _run(spark, sf, config.ENDPOINT.with_(window_sec=DAYS), LinearScore({0: 0.1}, -1.0))
 
 
-@query("detect_auth_stream", RESULT_COLS)
+@query("detect_auth_stream", FITS_COLS, FITS_SQL, "packets")
 def detect_auth_stream(spark, sf):
     cfg = config.AUTH.with_(window_sec=DAYS, early_seconds=3.0 * C.DAY, idle_seconds=5.0 * C.DAY, threshold=0.5, cooldown_sec=10 * C.DAY)
-    return _run(spark, sf, cfg, LinearScore({0: 0.5}, -1.0))
+    return _fits(spark, sf, _run(spark, sf, cfg, LinearScore({0: 0.5}, -1.0)))
 
 
-@query("detect_client_stream", RESULT_COLS)
+@query("detect_client_stream", FITS_COLS, FITS_SQL, "packets")
 def detect_client_stream(spark, sf):
     cfg = config.CLIENT.with_(window_sec=DAYS, early_seconds=3.0 * C.DAY, idle_seconds=5.0 * C.DAY, threshold=0.5, cooldown_sec=10 * C.DAY)
-    return _run(spark, sf, cfg, LinearScore({0: 0.5}, -1.0))
+    return _fits(spark, sf, _run(spark, sf, cfg, LinearScore({0: 0.5}, -1.0)))
+
+
+SCORED_SQL = """numbered AS (SELECT *, row_number() OVER w AS i, count(*) FILTER (WHERE from_client) OVER w AS spkts,
+  sum(CASE WHEN from_client THEN payload_len ELSE 0 END) OVER w AS sbytes FROM packets WINDOW w AS (PARTITION BY flow_key ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING)),
+scored AS (SELECT flow_key AS key, i AS packets, ts_us, 1 / (1 + exp(1.0 - 0.8 * spkts - 0.01 * sbytes)) AS score FROM numbered WHERE i >= 8 OR (proto = 6 AND flags & 5 <> 0)
+  QUALIFY row_number() OVER (PARTITION BY flow_key ORDER BY i) = 1)"""
 
 
-@query("score_flow_stream", "key packets:i detected_at_us:i score:d alert:i")
+@query("score_flow_stream", "key packets:i detected_at_us:i score:d alert:i", SCORED_SQL + f"""
+--result
+SELECT key, packets, ts_us AS detected_at_us, score, CASE WHEN score > 0.5 AND split_part(key, '-', 3) NOT IN ({', '.join(f"'{p}'" for p in config.FLOW.suppress_ports)}) THEN 1 ELSE 0 END AS alert FROM scored""", "packets")
 def score_flow_stream(spark, sf):
-    s = DT.score_flow_stream(_stream(spark, sf), LinearScore({1: 0.8, 3: 0.01}, -1.0), config.FLOW.with_(threshold=0.5), forget_sec=60 * C.DAY)
+    """A scored flow is remembered for longer than the table lasts, so none is scored twice."""
+    s = DT.score_flow_stream(_stream(spark, sf), LinearScore({1: 0.8, 3: 0.01}, -1.0), config.FLOW.with_(threshold=0.5), forget_sec=400 * DAYS)
     return PL.run_to_end(s, spark, "flowscores")
 
 
-@query("syn_rate_gate_stream", "key ts_us:i syn_rate:i attack_pattern:i")
+@query("syn_rate_gate_stream", "key ts_us:i syn_rate:i attack_pattern:i", f"""run AS (SELECT src_ip AS key, ts_us, event_id, count(*) OVER w AS n, count(DISTINCT dst_ip) OVER w AS ips,
+  count(DISTINCT dst_port) OVER w AS ports FROM packets WHERE {SYN_WHERE} WINDOW w AS (PARTITION BY src_ip ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, n >= 3 AND ips / n < 0.9 AND ports / n < 0.9 AS hit FROM run),
+c AS (SELECT *, coalesce(lag(hit) OVER (PARTITION BY key ORDER BY ts_us, event_id), false) AS before FROM g)
+--result
+SELECT key, ts_us, n AS syn_rate, CASE WHEN hit THEN 1 ELSE 0 END AS attack_pattern FROM c WHERE hit <> before""", "packets")
 def syn_rate_gate_stream(spark, sf):
-    s = DT.syn_rate_gate_stream(_stream(spark, sf), DAYS, min_rate=3, max_ip_ratio=0.9, max_port_ratio=0.9)
+    """Changes of the gate. The window holds the whole table, so no source grows stale in between."""
+    s = DT.syn_rate_gate_stream(_stream(spark, sf), 60 * DAYS, min_rate=3, max_ip_ratio=0.9, max_port_ratio=0.9)
     return PL.run_to_end(s, spark, "gate")
 
 
-@query("gated_flows_stream", "key detected_at_us:i score:d class", f"""numbered AS (SELECT *, row_number() OVER w AS i, count(*) FILTER (WHERE from_client) OVER w AS spkts,
-  sum(CASE WHEN from_client THEN payload_len ELSE 0 END) OVER w AS sbytes FROM packets WINDOW w AS (PARTITION BY flow_key ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING)),
-scored AS (SELECT flow_key AS key, ts_us, 1 / (1 + exp(1.0 - 0.8 * spkts - 0.01 * sbytes)) AS score FROM numbered WHERE i >= 8 OR (proto = 6 AND flags & 5 <> 0)
-  QUALIFY row_number() OVER (PARTITION BY flow_key ORDER BY i) = 1),
+@query("gated_flows_stream", "key detected_at_us:i score:d class", SCORED_SQL + """,
 gate AS (SELECT s.key, s.ts_us, s.score, count(p.event_id) AS n, count(DISTINCT p.dst_ip) AS ips, count(DISTINCT p.dst_port) AS ports FROM scored s
   LEFT JOIN packets p ON p.src_ip = split_part(s.key, '-', 1) AND p.ts_us <= s.ts_us AND p.proto = 6 AND p.flags & 18 = 2 GROUP BY ALL)
 --result
