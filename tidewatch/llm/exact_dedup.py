@@ -3,8 +3,9 @@
 The index holds one entry per key (64-bit hash of the normalised text) with the number of rows, so a text with any
 number of copies is one entry and no key can fill a bucket. A directory maps hash prefixes to buckets: a bucket with
 more than ``capacity`` keys is split by one more bit, and the directory doubles when a split needs a bit it does not
-have. Entries are written to the shared folder in bucket order. Keys with more than one row are chained: their texts are
-compared byte by byte (grouping on the bytes, combined before the shuffle), one link for each different text.
+have. Entries are written to the shared folder in bucket order. Keys with more than one row are chained in their bucket: their
+texts are compared byte by byte (grouping on the bytes, combined before the shuffle), one link for each different text. A row
+asks the directory for its bucket and finds its group in that bucket's chain.
 """
 
 from __future__ import annotations
@@ -58,15 +59,23 @@ def directory(keys: DataFrame, capacity: int) -> DataFrame:
     return out
 
 
-def index_files(entries: DataFrame, capacity: int) -> DataFrame:
+def index_files(entries: DataFrame, buckets: DataFrame) -> DataFrame:
     """Write ``entries`` (one row per ``key``) with ``bucket_depth`` and ``bucket`` in bucket order; owner tasks hold key ranges."""
-    buckets = stage(directory(entries.select("key"), capacity), "buckets")
+    return stage(looked_up(entries, buckets).repartitionByRange("key").sortWithinPartitions("key"), "hash-index")
+
+
+def looked_up(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` (with ``key``) and the bucket (``bucket_depth``, ``bucket``) that the directory has for their key; a key that the
+    directory does not lead anywhere is left out."""
     depths = sorted(r.depth for r in buckets.select("depth").distinct().collect()) or [0]  # at most KEY_BITS + 1 numbers
     named = F.array(*[F.struct(F.lit(d).alias("depth"), prefix_of(F.col("key"), d).alias("prefix")) for d in depths])
-    placed = (entries.withColumn("_at", F.explode(named)).select("*", "_at.depth", "_at.prefix").drop("_at")
-              .join(buckets, ["depth", "prefix"]))
-    return stage(placed.withColumnsRenamed({"depth": "bucket_depth", "prefix": "bucket"}).repartitionByRange("key").sortWithinPartitions("key"),
-                 "hash-index")
+    placed = rows.withColumn("_at", F.explode(named)).select("*", "_at.depth", "_at.prefix").drop("_at").join(buckets, ["depth", "prefix"])
+    return placed.withColumnsRenamed({"depth": "bucket_depth", "prefix": "bucket"})
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash over all columns; those that hold maps count by their JSON text."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema])
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000) -> DataFrame:
@@ -77,22 +86,25 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that repeat the smallest id one is kept: the one with the smallest ``row_hash`` (over all columns), and of rows alike
     in every column any one. Other columns are not read but for that hash. An empty table gives no rows.
     """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    row = row_hash(df)
     text = normalised(text_col)
     rows = df.select(F.col(id_col).alias("id"), row.alias("row_hash"), text.alias("norm"))
     rows = rows.withColumn("key", F.xxhash64("norm")).withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
     lean = stage(rows.drop("norm"), "hash-rows")
     entries = lean.groupBy("key").agg(F.count("*").alias("n_rows"))
+    buckets = stage(directory(entries.select("key"), capacity), "buckets")
+    index = index_files(entries, buckets)
     # a key may hold a third of all rows: its rows meet the index in SALTS parts, and each part is pre-aggregated
-    repeated = index_files(entries, capacity).filter("n_rows > 1").select(
-        "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    repeated = index.filter("n_rows > 1").select("bucket_depth", "bucket", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_hash"))
     texts = df.select(F.col(id_col).alias("id"), row.alias("row_hash"), text.alias("norm")).withColumn("key", F.xxhash64("norm"))
     texts = texts.withColumn("salt", F.pmod("row_hash", F.lit(SALTS)).cast("int"))
-    links = (texts.join(repeated.hint("shuffle_merge"), ["key", "salt"], "left_semi").groupBy("key", "norm")
-             .agg(first.alias("first"), F.count("*").alias("size"))
-             .select("key", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "first", "size"))
-    found = lean.join(links, ["key", "text_sha256"], "left")
+    # a bucket's chain of a key: one link for each different text under it
+    chains = (texts.join(repeated.hint("shuffle_merge"), ["key", "salt"]).groupBy("bucket_depth", "bucket", "key", "norm")
+              .agg(first.alias("first"), F.count("*").alias("size"))
+              .select("bucket_depth", "bucket", "key", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "first", "size"))
+    # every row looks its bucket up in the directory and its chain in that bucket
+    found = looked_up(lean, buckets).join(chains, ["bucket_depth", "bucket", "key", "text_sha256"], "left")
     same = W.partitionBy("id", "row_hash").orderBy("key")
     is_first = F.col("first").isNull() | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row_hash") == F.col("first.row_hash")))
     return (found.withColumn("_copy", F.row_number().over(same))
@@ -109,7 +121,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         F.col("doc_id").alias(rid), F.col("row_hash").alias(row), "kept")
     per_row = groups.groupBy(rid, row).agg(F.max("kept").alias("_stays"), F.count("*").alias("_n"))
     gone, twins = per_row.filter("not _stays"), per_row.filter("_stays and _n > 1")
-    marked = df.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    marked = df.withColumn(row, row_hash(df))
 
     def same(other):
         return (marked[row] == other[row]) & marked[id_col].eqNullSafe(other[rid])
