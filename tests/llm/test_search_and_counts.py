@@ -192,3 +192,58 @@ def test_bounds_hold_and_prune(monkeypatch):
 def test_a_long_text_is_counted_whole():
     text = ("Ab,cd é1 " * 600_000).encode()
     assert ball_search.count_terms(text) == Counter({b"ab": 600_000, b"cd": 600_000, "é1".encode(): 600_000})
+
+
+# --- exact dedup through its directory; pages with odd markup ------------------------------------------------------------
+
+def test_exact_dedup_needs_its_directory(spark, monkeypatch):
+    """With a directory that leads keys to other buckets, copies are no longer found."""
+    from tidewatch.llm import exact_dedup
+    rows = [(i, f"text {i % 40}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    right = exact_dedup.exact_groups(df, capacity=5).collect()
+    assert all(r.keep_id == r.doc_id % 40 and r.group_size == 3 for r in right) and len(right) == 120
+    look = exact_dedup.looked_up
+    calls = []
+
+    def astray(rows_, buckets):
+        out = look(rows_, buckets)
+        calls.append(1)
+        return out if len(calls) == 1 else out.withColumn("bucket", F.col("bucket") + 1)      # the index is right, the lookup is not
+
+    monkeypatch.setattr(exact_dedup, "looked_up", astray)
+    wrong = exact_dedup.exact_groups(df, capacity=5).collect()
+    assert sum(r.group_size == 3 and r.keep_id == r.doc_id % 40 for r in wrong) < 60
+
+
+def test_exact_dedup_with_a_map_column(spark):
+    from tidewatch.llm import exact_dedup
+    df = spark.createDataFrame([(1, "a  b", {"k": "v"}), (2, "a b", {"k": "w"}), (2, "a b", {"k": "w"}), (3, "c", None)],
+                               "doc_id long, text string, extra map<string,string>")
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect()) == [
+        (1, 1, 3, True), (2, 1, 3, False), (2, 1, 3, False), (3, 3, 1, True)]
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(df).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<article><p>Before</p><svg><g><path/><p>After the picture.</p></article>", ["Before", "After the picture."]),
+    ("<head><title>T</title><meta x><style>p {}</style><p>No body tag here.</p>", ["No body tag here."]),
+    ("<html><head><title>T</title></head><body><p>a &amp; b</p></body>", ["a & b"]),
+    ("<article>A<object><object>b</object></object> c <canvas>d</canvas></article>", ["A", "b", "c", "d"]),
+    ("<p>a<script>if (x < 1) {'</p>'}</script>b", ["a", "b"]),
+    ("<p>a<!-- <p>x</p> -->b <![CDATA[c < d]]>", ["ab c < d"]),
+    ("<p class='x>y' title=\"a > b\">one<p>two", ["one", "two"]),
+    ("<p>3 < 4 and 5 > 4", ["3 < 4 and 5 > 4"]),
+    ("<p>left <a x=\"", ["left <a x=\""]), ("", []), ("<", ["<"])])
+def test_blocks_of_odd_markup(page, want):
+    from tidewatch.llm import html_extract
+    assert [b.text for b in html_extract.blocks(page)] == want
+
+
+@pytest.mark.parametrize("piece", ['<a x="', "<![CDATA[", "<!--", "<p 'x", "<", "<a ", "<svg>", "<script>"])
+def test_a_megabyte_of_broken_markup_takes_no_time(piece):
+    import time
+    from tidewatch.llm import html_extract
+    start = time.time()
+    html_extract.blocks(piece * (1_000_000 // len(piece)))
+    assert time.time() - start < 10

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,12 +23,19 @@ from tidewatch.llm.common import stage
 #: HTML element names by their role in layout.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style noscript template title svg math iframe object canvas select datalist".split())
-OTHER_TAGS = frozenset("nav aside footer header form button dialog menu".split())
+#: Elements of a block's path, innermost ones; pages are seldom a twentieth as deep.
+DEPTH = 256
+RAW = frozenset("script style noscript template title iframe".split())
+IN_HEAD = RAW | frozenset("meta link base basefont bgsound noframes".split())
+FOREIGN = frozenset("svg math select datalist".split())
+BREAKS_OUT = frozenset("address article aside blockquote body center details div dl dd dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre "
+                       "section table tbody td th tr ul".split())
+OTHER_TAGS = frozenset("nav aside footer header form button dialog menu svg select datalist".split())
 OTHER_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb comment comments cookie cookies footer menu nav navbar newsletter notice "
-                        "pagination popup promo related reply respond share sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+                        "disqus discussion replies pagination popup promo related reply respond share sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
+_OPEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -39,65 +47,126 @@ class Block:
     linked: int        # characters inside links
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """Pieces of a page as (kind, name or text, attributes, end): ``text``, ``open``, ``close``. Comments and declarations are left out.
+
+    A tag ends at the first ``>`` outside quotes, or, if a quote is never closed, at its first ``>``. What cannot be found once is
+    not looked for again, so the time is in proportion to the page."""
+    at, n, last_end = 0, len(page), page.rfind(">")
+    missing: set[str] = set()
+
+    def find(what: str, start: int) -> int:
+        if what in missing:
+            return -1
+        i = page.find(what, start)
+        if i < 0:
+            missing.add(what)
+        return i
+
+    while at < n:
+        if page[at] != "<":
+            i = page.find("<", at)
+            i = n if i < 0 else i
+            yield "text", page[at:i], "", i
+            at = i
+            continue
+        if page.startswith("<!--", at):
+            i = find("-->", at + 4)
+            at = n if i < 0 else i + 3
+            continue
+        if page.startswith("<![CDATA[", at) and (i := find("]]>", at)) >= 0:
+            yield "text", page[at + 9:i], "", i + 3
+            at = i + 3
+            continue
+        m = _OPEN.match(page, at) if at < last_end else None
+        if m is None:
+            if at < last_end and page[at + 1:at + 2] in ("!", "?"):
+                at = page.find(">", at) + 1
+            else:
+                yield "text", "<", "", at + 1
+                at += 1
+            continue
+        i = m.end()
+        while True:
+            i = _PLAIN.match(page, i).end()
+            if i >= n or page[i] == ">":
+                break
+            i = find(page[i], i + 1) + 1
+            if not i:
+                break
+        if not i or i >= n:
+            i = page.find(">", m.end())
+        yield "close" if m[1] else "open", m[2].lower(), page[m.end():i], i + 1
+        at = i + 1
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order: character references decoded, white space made one space, empty ones left out."""
+    """Leaf blocks of a page in order: character references decoded, white space made one space, empty ones left out.
+
+    Elements of raw text run to their end tag. A head ends at its end tag or at the first tag that cannot stand in one. Other
+    elements end with their end tag or that of an element around them; drawings, formulas and lists of choices that are never
+    closed also end where a block of text begins. A page of any length is read whole."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset]] = []
-    path: tuple = ()
+    opened: Counter = Counter()                            # open elements by name
     text: list[str] = []
-    linked, links, at, n = 0, 0, 0, len(page)
+    linked, links, head, skip = 0, 0, False, 0
 
     def close():
         nonlocal linked
         one = " ".join(html.unescape("".join(text)).split())
         if one:
-            out.append(Block(one, path, linked))
+            out.append(Block(one, tuple(stack[-DEPTH:]), linked))
         text.clear()
         linked = 0
 
-    while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        end, tag, attrs = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
-        if not tag:
-            piece = m[1] if m[1] is not None else m[0]
-            if piece[0:1] != "<" or len(piece) == 1 or m[1] is not None:
-                text.append(piece)
+    def cut_back(to: int):
+        opened.subtract(tag for tag, _ in stack[to:])
+        del stack[to:]
+
+    for kind, name, attrs, at in tokens(page):
+        if at <= skip:                                     # inside an element of raw text
+            continue
+        if kind == "text":
+            if not head:
+                text.append(name)
                 if links:
-                    linked += len(piece)
+                    linked += len(name)
             continue
-        tag = tag.lower()
-        if end:
-            if tag == "a":
+        if kind == "close":
+            if name == "a":
                 links = max(0, links - 1)
-            if tag in INLINE:
+            head = head and name != "head"
+            if name in INLINE:
                 continue
             close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    path = tuple(stack)
-                    break
+            if opened[name] > 0:
+                cut_back(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+            continue
+        if name == "head":
+            close()
+            head = True
             continue
-        if tag in HIDDEN and not attrs.endswith("/"):
-            stop = re.compile(r"</%s\b[^>]*>" % re.escape(tag), re.I).search(page, at)
+        if name in RAW and not attrs.endswith("/"):
+            stop = re.compile(r"</%s\b[^>]*>" % re.escape(name), re.I).search(page, at)
             close()
-            if stop is None and tag == "head":             # a head that is never closed ends where the body opens
-                stop = re.compile(r"(?=<body\b)", re.I).search(page, at)
-            at = stop.end() if stop else n
+            skip = stop.end() if stop else len(page)
             continue
-        if tag in INLINE:
-            links += tag == "a"
+        head = head and name in IN_HEAD
+        if name in INLINE:
+            links += name == "a"
             continue
         close()
-        if tag in VOID or attrs.endswith("/"):
+        if name in VOID or attrs.endswith("/"):
             continue
-        if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-            stack.pop()
+        if name in BREAKS_OUT and any(opened[tag] > 0 for tag in FOREIGN):
+            cut_back(next(i for i, (tag, _) in enumerate(stack) if tag in FOREIGN))
+        if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
+            cut_back(len(stack) - 1)
         words = frozenset(w for a in _NAMES.finditer(attrs) for w in (["=" + (a[2] or a[3] or a[4] or "")] if a[1].lower() == "data-label" else
                                                                       _WORDS.findall((a[2] or a[3] or a[4] or "").lower())))
-        stack.append((tag, words))
-        path = tuple(stack)
+        stack.append((name, words))
+        opened[name] += 1
         links = 0
     close()
     return out
