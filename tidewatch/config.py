@@ -37,13 +37,12 @@ CLIENT_FEATURES = ("syn_count", "dst_ips", "dst_ports", "iat_cv", "port_entropy"
                    "ip_conc", "ip_ratio", "ip_entropy", "iat_q90_q10", "time_density", "port_ip_ratio",
                    "handshake_ratio", "inc_ratio", "data_density", "rst_rate", "internal_ratio",
                    "bytes_per_syn", "fin_ratio", "push_ratio", "mean_window")
+# Fixed column names that models and logs are made with; the wide forms follow from the narrow one.
 FLOW_FEATURES_11 = ("dur", "spkts", "dpkts", "sbytes", "dbytes", "smeansz", "dmeansz", "swin", "dwin",
                     "sintpkt", "dintpkt")
-FLOW_FEATURES_15 = ("dur", "spkts", "dpkts", "sbytes", "dbytes", "smeansz", "dmeansz", "sintpkt", "dintpkt",
-                    "fwd_pkt_mean", "bwd_pkt_mean", "fin_cnt", "ack_cnt", "syn_cnt", "bwd_iat")
-FLOW_FEATURES_17 = ("dur", "spkts", "dpkts", "sbytes", "dbytes", "smeansz", "dmeansz", "swin", "dwin",
-                    "sintpkt", "dintpkt", "fwd_pkt_mean", "bwd_pkt_mean", "fin_cnt", "ack_cnt", "syn_cnt",
-                    "bwd_iat")
+_WIDE = ("fwd_pkt_mean", "bwd_pkt_mean", "fin_cnt", "ack_cnt", "syn_cnt", "bwd_iat")
+FLOW_FEATURES_17 = FLOW_FEATURES_11 + _WIDE
+FLOW_FEATURES_15 = tuple(n for n in FLOW_FEATURES_17 if n not in ("swin", "dwin"))
 
 # Fixed serving values: thresholds, windows, minimum events and port lists per detector.
 FLOW = DetectorConfig("xgboost", 301, "flow", 0.90, max_packets=8, suppress_ports=(53, 137, 389))

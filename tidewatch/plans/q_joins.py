@@ -73,11 +73,11 @@ def label_dump(spark, sf):
     return J.label_dump(dump, f)
 
 
-@query("label_windows", "src_ip window_id:i total_flows:i label:i", f"""SELECT src_ip, ts_us // 1000000 // {C.WEEK} AS window_id, count(*) FILTER (WHERE proto = 6) AS total_flows,
-  max(CASE WHEN label = 'PortScan' THEN 1 ELSE 0 END) AS label FROM flows GROUP BY src_ip, window_id HAVING count(*) FILTER (WHERE proto = 6) > 0""", "flows")
+@query("label_windows", "src_ip window_id:i total_flows:i label:i", f"""SELECT src_ip, ts_us // 1000000 // {C.WEEK} AS window_id, count(*) AS total_flows,
+  max(CASE WHEN label = 'PortScan' THEN 1 ELSE 0 END) AS label FROM flows GROUP BY src_ip, window_id""", "flows")
 def label_windows(spark, sf):
     f = C.flows(spark, sf)
-    return J.label_windows(WN.flow_window_features_4(f.filter("proto = 6"), C.WEEK), f, C.WEEK)
+    return J.label_windows(WN.flow_window_features_4(f, C.WEEK), f, C.WEEK)
 
 
 ENDPOINTS_SQL = f""", ep AS (SELECT dst_ip, dst_port, ts_us // 1000000 // {C.WEEK} * {C.WEEK} AS win_start, sum(CASE WHEN s THEN 2 ELSE 1 END) AS total,
@@ -87,11 +87,12 @@ ENDPOINTS_SQL = f""", ep AS (SELECT dst_ip, dst_port, ts_us // 1000000 // {C.WEE
 
 @query("label_endpoints", "dst_ip dst_port:i win_start:i label:i", ENDPOINTS_SQL + """
 --result
-SELECT dst_ip, dst_port, win_start, CASE WHEN total > 10 AND src_ratio < 0.5 THEN 1 ELSE 0 END AS label FROM ep""", "packets")
+SELECT dst_ip, dst_port, win_start, CASE WHEN (SELECT count(*) FROM ep WHERE dst_ip IN (SELECT dst_ip FROM packets WHERE proto = 17 AND flags = 24 AND payload_len > 60)) < 1000000
+    AND total > 10 AND src_ratio < 0.5 THEN 1 WHEN dst_ip IN (SELECT dst_ip FROM packets WHERE proto = 17 AND flags = 24 AND payload_len > 60) THEN 1 ELSE 0 END AS label FROM ep""", "packets")
 def label_endpoints(spark, sf):
-    """No endpoint matches the victims here, so volume and ratio decide."""
-    victims = C.packets(spark, sf).filter("dst_ip = '203.0.113.9'")
-    return J.label_endpoints(WN.endpoint_window_features(C.packets(spark, sf), C.WEEK), victims, min_total=10, max_src_ratio=0.5)
+    """Victims are few against ``min_positive``, so volume and ratio decide beside them."""
+    victims = C.packets(spark, sf).filter("proto = 17 and flags = 24 and payload_len > 60")
+    return J.label_endpoints(WN.endpoint_window_features(C.packets(spark, sf), C.WEEK), victims, min_positive=1_000_000, min_total=10, max_src_ratio=0.5)
 
 
 @query("label_endpoints_victims", "dst_ip dst_port:i win_start:i label:i", ENDPOINTS_SQL + """

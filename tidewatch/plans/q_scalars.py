@@ -8,6 +8,7 @@ from tidewatch import fixtures
 from tidewatch.functions import addresses as A, features as X, labels as L, packets as P
 from tidewatch.operators.diagnostics import PACKET_SWEEP
 from tidewatch.session import literal_table
+from tidewatch import config
 from tidewatch.plans import q_common as C
 from tidewatch.plans.registry import query
 
@@ -123,23 +124,28 @@ def to_unified_flow(spark, sf):
     return X.to_unified_flow(table_a(spark, sf), 11, [F.col("Flow ID").alias("flow_id")])
 
 
-@query("to_unified_flow_17", "flow_id dur:d swin:d sintpkt:d fwd_pkt_mean:d bwd_pkt_mean:d fin_cnt:d ack_cnt:d syn_cnt:d bwd_iat:d",
-       """SELECT flow_id, dur / 1e6 AS dur, greatest(swin - 15000, 0) AS swin, fwd_iat / 1e3 AS sintpkt,
-  smeansz AS fwd_pkt_mean, dmeansz AS bwd_pkt_mean, fin_cnt, ack_cnt, syn_cnt, bwd_iat / 1e3 AS bwd_iat FROM flows""", "flows")
+FLOW_SQL = {"dur": "dur / 1e6", "spkts": "spkts", "dpkts": "dpkts", "sbytes": "sbytes", "dbytes": "dbytes", "smeansz": "smeansz", "dmeansz": "dmeansz",
+            "swin": "greatest(swin - 15000, 0)", "dwin": "dwin", "sintpkt": "fwd_iat / 1e3", "dintpkt": "bwd_iat / 1e3", "fwd_pkt_mean": "smeansz",
+            "bwd_pkt_mean": "dmeansz", "fin_cnt": "fin_cnt", "ack_cnt": "ack_cnt", "syn_cnt": "syn_cnt", "bwd_iat": "bwd_iat / 1e3"}
+FOREIGN_SQL = FLOW_SQL | {"swin": "0", "dwin": "0", "fwd_pkt_mean": "sbytes / greatest(spkts, 1)", "bwd_pkt_mean": "dbytes / greatest(dpkts, 1)",
+                          "fin_cnt": "0", "ack_cnt": "0", "syn_cnt": "0"}
+
+
+def _flow_query(names, sql):
+    return f"flow_id {' '.join(n + ':d' for n in names)}", f"SELECT flow_id, {', '.join(f'{sql[n]} AS {n}' for n in names)} FROM flows", "flows"
+
+
+@query("to_unified_flow_17", *_flow_query(config.FLOW_FEATURES_17, FLOW_SQL))
 def to_unified_flow_17(spark, sf):
     return X.to_unified_flow(table_a(spark, sf), 17, [F.col("Flow ID").alias("flow_id")])
 
 
-@query("to_unified_flow_15", "flow_id dur:d spkts:d dpkts:d smeansz:d dintpkt:d bwd_iat:d syn_cnt:d",
-       """SELECT flow_id, dur / 1e6 AS dur, spkts, dpkts, smeansz, bwd_iat / 1e3 AS dintpkt, bwd_iat / 1e3 AS bwd_iat,
-  syn_cnt FROM flows""", "flows")
+@query("to_unified_flow_15", *_flow_query(config.FLOW_FEATURES_15, FLOW_SQL))
 def to_unified_flow_15(spark, sf):
     return X.to_unified_flow(table_a(spark, sf), 15, [F.col("Flow ID").alias("flow_id")])
 
 
-@query("align_foreign_flow", "flow_id dur:d spkts:d sbytes:d swin:d fwd_pkt_mean:d bwd_pkt_mean:d fin_cnt:d bwd_iat:d",
-       """SELECT flow_id, dur / 1e6 AS dur, spkts, sbytes, 0 AS swin, sbytes / greatest(spkts, 1) AS fwd_pkt_mean,
-  dbytes / greatest(dpkts, 1) AS bwd_pkt_mean, 0 AS fin_cnt, bwd_iat / 1e3 AS bwd_iat FROM flows""", "flows")
+@query("align_foreign_flow", *_flow_query(config.FLOW_FEATURES_17, FOREIGN_SQL))
 def align_foreign_flow(spark, sf):
     return X.align_foreign_flow(C.feature_frame(spark, sf, "flow_id"), 17, ["flow_id"])
 
