@@ -11,7 +11,8 @@ FAST = ["classify_packet", "packet_role", "flow_id_candidates", "parse_alert_lin
         "flow_prefix", "flow_confusion", "ip_confusion", "engine_confusion", "ensemble_confusion", "threshold_sweep", "gate_sweep",
         "postfilter_simulation", "lookup_label", "attach_nth_log", "cap_per_class", "stratified_split", "robust_scale", "score_trees",
         "read_headerless_flows", "read_packet_export", "load_registry", "continued_no_round", "continued_round", "leave_one_day_out_short",
-        "calibrate_isotonic", "isotonic_blocks", "explain_trees", "encode_with_unknown", "publish_alerts"]
+        "calibrate_isotonic", "isotonic_blocks", "explain_trees", "encode_with_unknown", "publish_alerts", "auth_suppress_reason",
+        "client_suppress_reason", "late_rows", "flush_idle", "bounded_history_stream", "read_score_stream_by_line", "read_flow_table_orders"]
 
 
 @pytest.fixture(scope="module")

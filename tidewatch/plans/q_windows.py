@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.config import FLOW_FEATURES_11, FLOW_FEATURES_15
+from tidewatch.functions import labels
 from tidewatch.operators import flow_features as FF, rollups as R, sequence as S, windows as WN
 from tidewatch.plans import q_common as C
 from tidewatch.plans.registry import query
@@ -94,6 +95,28 @@ def client_window_features(spark, sf):
     return WN.client_window_features(C.packets(spark, sf), W)
 
 
+@query("auth_suppress_reason", "ip win_start:i reason", ROLES_SQL.replace("PRIVATE", "") + """
+--result
+SELECT ip, win_start, CASE WHEN least(syn_count / 4, 1.0) <= 0.3 THEN NULL WHEN dst_ips = 1 THEN 'whitelist'
+  WHEN hs / syn_count > 0.8 AND CASE WHEN hs > 0 THEN rst / hs ELSE 0 END < 0.3 AND inb / syn_count > 1000 THEN 'clean_conn' END AS reason FROM j""", "packets")
+def auth_suppress_reason(spark, sf):
+    """Reasons of the authentication detector over its windows; sources with one peer stand for listed ones."""
+    f = WN.auth_window_features(C.packets(spark, sf), W).withColumn("score", F.least(F.col("syn_count") / 4, F.lit(1.0)))
+    return f.withColumn("reason", labels.auth_suppress_reason(threshold=0.3, listed=F.col("dst_ips") == 1))
+
+
+@query("client_suppress_reason", "ip win_start:i reason", ROLES_SQL.replace("PRIVATE", "AND (src_ip LIKE '192.168.%' OR src_ip LIKE '10.%')") + """
+, s AS (SELECT *, CASE WHEN syn_count % 2 = 1 THEN 0.15 ELSE 0.5 END AS score FROM j)
+--result
+SELECT ip, win_start, CASE WHEN rst / syn_count > 5 AND syn_count >= 3 THEN 'high_rst' WHEN inp = 0 AND syn_count >= 3 AND score < 0.3 THEN 'no_incoming'
+  WHEN internal / syn_count > 0.6 AND score < 0.3 AND syn_count >= 3 THEN 'high_int_ratio' WHEN hs / syn_count < 0.1 AND score < 0.2 AND syn_count >= 3 THEN 'no_handshake'
+  WHEN hs = 0 AND inb < 10 THEN 'no_data' WHEN dst_ips = 1 THEN 'whitelist' END AS reason FROM s""", "packets")
+def client_suppress_reason(spark, sf):
+    """Reasons of the client detector over its windows, in their order, at scores on either side of its limits."""
+    f = WN.client_window_features(C.packets(spark, sf), W).withColumn("score", F.when(F.col("syn_count") % 2 == 1, 0.15).otherwise(0.5))
+    return f.withColumn("reason", labels.client_suppress_reason(threshold=0.1, listed=F.col("dst_ips") == 1))
+
+
 @query("dual_role", "event_id:i role ip peer_ip", """SELECT event_id, 'src' AS role, src_ip AS ip, dst_ip AS peer_ip FROM packets WHERE proto = 6
   UNION ALL SELECT event_id, 'dst', dst_ip, src_ip FROM packets WHERE proto = 6""", "packets")
 def dual_role(spark, sf):
