@@ -43,7 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies),
           ("decontamination", drop_contaminated), ("sentence_pieces", encode)]
 
-#: The learnt classifier and the piece walk have no SQL form. No test runs this module or compares run() with brute force yet.
+#: The learnt classifier and the piece walk have no SQL form; tests compare run() with brute force on small tables.
 ORACLE_SQL = None
 
 
