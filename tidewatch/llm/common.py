@@ -15,7 +15,13 @@ from tidewatch.session import drop_folder, new_folder
 MIX_A, MIX_B, BASE = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 
 
+#: Bytes of an Arrow batch (the default of 64 MB is held several times over by a Python worker).
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. The session's Arrow batches are made small, since texts of very different length meet in them."""
+    spark.conf.set(_BATCH, _BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,8 +40,6 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Bytes of an Arrow batch while a stage is written (the default of 64 MB is held several times over by a Python worker).
-_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 _FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
