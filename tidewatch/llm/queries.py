@@ -116,7 +116,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.removed_per_document(docs)
     return docs.select("doc_id").join(found, "doc_id", "left").select(
         "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))
+        F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines"))
 
 
 @query
@@ -196,3 +196,19 @@ gaps AS (SELECT doc_id, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY
 kept AS (SELECT doc_id, string_agg(substr(h, 2 * start + 1, 2 * (lo - start)), '' ORDER BY start) AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
 FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id) USING (doc_id)"""
+
+
+# distinct word sets; pairs share one of the rare words that a similar set must hold
+ORACLES["op6_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL),
+k AS MATERIALIZED (SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(translate(line_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS w FROM l),
+node AS MATERIALIZED (SELECT row_number() OVER () AS id, w, len(w) AS n, pl FROM (SELECT w, min((doc_id, line)) AS pl FROM k WHERE len(w) > 0 GROUP BY w)),
+word AS (SELECT id, n, unnest(w) AS t FROM node),
+freq AS (SELECT t, count(*) AS f FROM word GROUP BY t),
+head AS MATERIALIZED (SELECT id, t FROM (SELECT id, n, word.t, row_number() OVER (PARTITION BY id ORDER BY f, word.t) AS r FROM word JOIN freq USING (t)) WHERE r <= n - (9 * n + 9) // 10 + 1),
+pair AS (SELECT DISTINCT a.id AS a, b.id AS b FROM head a JOIN head b ON a.t = b.t AND a.id <> b.id),
+gone AS MATERIALIZED (SELECT DISTINCT b AS id FROM (SELECT pair.b, len(list_intersect(x.w, y.w)) AS c, x.n + y.n AS total FROM pair JOIN node x ON x.id = a JOIN node y ON y.id = b
+  WHERE x.pl < y.pl AND 10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n)) WHERE 19 * c >= 9 * total),
+r AS (SELECT k.doc_id, k.line, len(k.w) > 0 AND (gone.id IS NOT NULL OR node.pl < (k.doc_id, k.line)) AS removed FROM k LEFT JOIN node ON k.w = node.w LEFT JOIN gone ON gone.id = node.id),
+p AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed, string_agg(CASE WHEN removed THEN CAST(line AS VARCHAR) END, ',' ORDER BY line) AS removed FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed_lines FROM documents LEFT JOIN p USING (doc_id)"""
