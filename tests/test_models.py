@@ -91,6 +91,25 @@ def test_isolation_forest_finds_the_outlier(spark):
     assert again.nodes.sort_values(key).reset_index(drop=True).equals(first.nodes.sort_values(key).reset_index(drop=True))
 
 
+def test_forest_walks_give_the_lengths_of_the_node_table():
+    """Blocks walked down a full tree find the leaves of a plain walk; NaN goes right."""
+    rng, depth = np.random.default_rng(3), 5
+    x = rng.normal(size=(500, 3))
+    x[3, 1], x[4, :] = np.nan, np.nan
+    grown = [pd.DataFrame(IF._grow(rng.normal(size=(32, 3)), depth, rng), columns=["node", "left", "right", "feature", "threshold", "length"]) for _ in range(4)]
+
+    def length(n, row):
+        at = 0
+        while n.feature[at] >= 0:
+            at = n.left[at] if row[n.feature[at]] <= n.threshold[at] else n.right[at]
+        return n.length[at]
+
+    got = IF._path_lengths([IF._full_tree(n, depth) for n in grown], x, depth)
+    assert got.tolist() == [sum(length(n, row) for n in grown) for row in x]
+    alone = pd.DataFrame([(0, -1, -1, -1, 0.0, 1.5)], columns=["node", "left", "right", "feature", "threshold", "length"])
+    assert IF._path_lengths([IF._full_tree(alone, 0)], x, 0).tolist() == [1.5] * 500
+
+
 def test_mean_path_length():
     assert IF.mean_path([1, 2]).tolist() == [0.0, 1.0]
     assert float(IF.mean_path(256)) == pytest.approx(10.2447709, abs=1e-6)
