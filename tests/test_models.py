@@ -110,6 +110,13 @@ def test_forest_walks_give_the_lengths_of_the_node_table():
     assert IF._path_lengths([IF._full_tree(alone, 0)], x, 0).tolist() == [1.5] * 500
 
 
+def test_top_contributions_shuffle_keys_once(spark, sf):
+    """One short row per flow is shuffled; features are spread out and ranked where the key lies."""
+    from tidewatch.plans import q_eval
+    plan = q_eval.top_contributions(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate explode") < plan.index("Exchange")
+
+
 def test_mean_path_length():
     assert IF.mean_path([1, 2]).tolist() == [0.0, 1.0]
     assert float(IF.mean_path(256)) == pytest.approx(10.2447709, abs=1e-6)

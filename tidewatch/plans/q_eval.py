@@ -471,15 +471,18 @@ CONTRIB_SQL = """, contrib AS (SELECT row_key, 'spkts' AS feature, CAST(spkts AS
   UNION ALL SELECT row_key, 'sbytes', sbytes, (sbytes - 38000) / 50000, label FROM flows UNION ALL SELECT row_key, 'dpkts', dpkts, (3 - dpkts) * 0.1, label FROM flows)"""
 
 
-def _contributions(spark, sf):
+def _long(f):
     """A linear score split into its parts, in the long form the attribution job also writes."""
-    f = C.flows(spark, sf)
     parts = {"spkts": (F.col("spkts") - 25) * 0.02, "sbytes": (F.col("sbytes") - 38000) / 50000, "dpkts": (3 - F.col("dpkts")) * 0.1}
     return f.select("row_key", "label", F.explode(F.array(*[
         F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("raw_value"), c.cast("double").alias("contribution"))
         for n, c in parts.items()])).alias("x")).select("row_key", "label", "x.*")
 
 
+def _contributions(spark, sf):
+    return _long(C.flows(spark, sf))
+
+
 @query("shap_summary", "label feature mean_abs:d relative_pct:d rank:i", CONTRIB_SQL + """
 --result
 SELECT *, 100 * mean_abs / max(mean_abs) OVER (PARTITION BY label) AS relative_pct, row_number() OVER (PARTITION BY label ORDER BY mean_abs DESC, feature) AS rank
@@ -501,8 +504,11 @@ def shap_by_bin(spark, sf):
 SELECT row_key, feature, contribution, row_number() OVER (PARTITION BY row_key ORDER BY abs(contribution) DESC, feature) AS rank
   FROM (SELECT DISTINCT row_key, feature, contribution FROM contrib) QUALIFY rank <= 2""", "flows")
 def top_contributions(spark, sf):
+    """Every flow has each feature once, so one flow per key is one row per key and feature. Keys meet before the features are
+    spread out, as one short row each; ranking them then needs no further shuffle."""
     from tidewatch.models.explain import top_contributions as top
-    return top(_contributions(spark, sf).dropDuplicates(["row_key", "feature"]), ["row_key"], 2)
+    one = C.flows(spark, sf).select("row_key", "label", "spkts", "sbytes", "dpkts").dropDuplicates(["row_key"])
+    return top(_long(one), ["row_key"], 2)
 
 
 @query("resource_summary", "run samples:i cpu_avg:d cpu_peak:d rss_avg_mb:d rss_peak_mb:d alerts:i alerts_per_sec:d", """SELECT day AS run, count(*) AS samples, avg(score * 100) AS cpu_avg, max(score * 100) AS cpu_peak, avg(swin) / 1024 AS rss_avg_mb,
