@@ -130,3 +130,51 @@ def test_codes_are_dense_over_many_ranges(spark):
     code = {v: float(i) for i, v in enumerate(sorted(set(values)))}
     got = [(r["v"], r["code"]) for r in encode_with_unknown(train, df, "v", "code").collect()]
     assert sorted(got, key=repr) == sorted([(v, code.get(v, 500.0)) for v in [*values[:50], "unseen", None]], key=repr)
+
+
+def test_rows_of_one_file_are_dealt_over_the_cores(rows, monkeypatch):
+    """Passes read chunks that lie in several files, whatever the partitions of the input; the trees stay the same."""
+    made, monkey = [], B.Rows._write
+    monkeypatch.setattr(B, "CHUNK", 100, raising=False)
+
+    def write(self, df):
+        monkey(self, df)
+        made.append(len(self.table.inputFiles()))
+
+    monkeypatch.setattr(B.Rows, "_write", write)
+    edges = B.bin_edges(rows, ABC, 32)
+    together, = B.fit(rows.coalesce(1), ABC, params=SMALL, edges=edges, row_id=["k"])
+    assert len(made) == 2 and min(made) > 1
+    apart, = B.fit(rows, ABC, params=SMALL, edges=edges, row_id=["k"])
+    assert together.nodes.equals(apart.nodes)
+
+
+def test_sums_of_a_level_come_from_one_node_of_two():
+    """The node with less cover is added up; nodes below a leaf are not."""
+    t = B.Tree(2)
+    t.feature[:], t.cover[1:3] = [0, 1, -1], [9.0, 4.0]
+    t.cover[3:5] = [5.0, 4.0]
+    assert B._wanted(t, 1).tolist() == [False, True]
+    assert B._wanted(t, 2).tolist() == [False, True, False, False]
+    t.cut[:], t.value[:] = [3, 1, 0], [0, 0, 7.0, 5.0, 6.0, 0, 0]
+    bins = np.array([[3, 3, 4], [1, 2, 0]], np.uint8)
+    assert t.place(bins, 2).tolist() == [0, 1, 2] and t.leaf_values()[t.place(bins, 2)].tolist() == [5.0, 6.0, 7.0]
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_attribution_work_depends_on_patterns_not_rows(monkeypatch, strict):
+    """Weights are worked out per pattern of a path; also for a path longer than the tables."""
+    widths, extend = [], E._extend
+    monkeypatch.setattr(E, "_extend", lambda weights, *rest: widths.append(weights.shape[1]) or extend(weights, *rest))
+    d = 3
+    path = E.Path(2.0, np.arange(d), np.array([0.5, 0.25, 0.4]), np.array([-np.inf, 0.0, -1.0]), np.array([0.5, np.inf, 1.0]))
+    x = np.random.default_rng(4).normal(size=(5000, d)).round(1)
+    x[7, 0], x[8, 1] = np.nan, np.nan
+    got = E.contributions([path], x, strict)
+    assert max(widths) <= 2 ** d
+    monkeypatch.setattr(E, "TABLE", 2)
+    assert np.array_equal(E.contributions([path], x, strict), got)
+    # all contributions of a row add up to what its leaf gives it less the mean
+    inside = (x[:, 0] < 0.5) & (x[:, 1] >= 0) & (x[:, 2] >= -1) & (x[:, 2] < 1) if strict else (x[:, 0] <= 0.5) & (x[:, 1] > 0) & (x[:, 2] > -1) & (x[:, 2] <= 1)
+    inside[8] = not np.isnan(x[8, 0]) and (x[8, 0] < 0.5) and -1 <= x[8, 2] < 1          # NaN goes right
+    assert np.allclose(got.sum(axis=1)[:7], (inside * 2.0 - 2.0 * 0.5 * 0.25 * 0.4)[:7])

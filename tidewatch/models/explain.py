@@ -4,8 +4,8 @@ The contributions are the Shapley values of the path-dependent game: a feature o
 branches by their training share. They add up to the margin minus its expected value.
 
 A leaf's share of the game only depends on the features of its path. Its weights per coalition size are kept as a vector that
-grows with each feature of the path; a feature's contribution follows from the vector with that feature taken out again, so
-a leaf of depth d costs d² steps for a whole Arrow batch.
+grows with each feature of the path; a feature's contribution follows from the vector with that feature taken out again. Rows
+that meet the conditions of the same features of a path share all this, so it is worked out per pattern and looked up per row.
 """
 
 from __future__ import annotations
@@ -53,13 +53,19 @@ def leaf_paths(trees: list[dict[str, np.ndarray]]) -> list[Path]:
     return out
 
 
-def _follows(path: Path, x: np.ndarray, strict: bool) -> np.ndarray:
-    """Features of the path × rows: 1 where the row meets all conditions of the feature. NaN goes right at every node."""
-    v = x[:, path.features].T
-    low, high = path.low[:, None], path.high[:, None]
-    with np.errstate(invalid="ignore"):
-        met = (~(v < low) & ((v < high) | np.isposinf(high))) if strict else (~(v <= low) | np.isneginf(low)) & ((v <= high) | np.isposinf(high))
-    return met.astype(np.float64)
+def _pattern(path: Path, columns: np.ndarray, strict: bool) -> np.ndarray:
+    """Per row (of features × rows) one bit for each feature of the path: 1 where the row meets all conditions of the feature.
+    NaN goes right at every node."""
+    code = np.zeros(columns.shape[1], np.int64)
+    for k, (f, low, high) in enumerate(zip(path.features, path.low, path.high)):
+        v = columns[f]
+        met = np.ones(len(v), bool)
+        if not np.isneginf(low):
+            met &= ~(v < low) if strict else ~(v <= low)
+        if not np.isposinf(high):
+            met &= (v < high) if strict else (v <= high)
+        code |= met.astype(np.int64) << k
+    return code
 
 
 def _extend(weights: np.ndarray, share: float, follows: np.ndarray) -> np.ndarray:
@@ -88,20 +94,37 @@ def _sum_without(weights: np.ndarray, share: float, follows: np.ndarray) -> np.n
     return np.where(follows > 0, met, left_out)
 
 
+def _shares(path: Path, patterns: np.ndarray) -> np.ndarray:
+    """Features of the path × patterns: contribution of each feature to rows with these bits."""
+    d = len(path.features)
+    follows = (patterns >> np.arange(d)[:, None] & 1).astype(np.float64)
+    weights = np.ones((1, len(patterns)))
+    for k in range(d):
+        weights = _extend(weights, path.share[k], follows[k])
+    return np.stack([_sum_without(weights, path.share[k], follows[k]) * (follows[k] - path.share[k]) * path.value for k in range(d)])
+
+
+#: Paths of up to so many features get a table of all their patterns; longer ones only of those that the rows have.
+TABLE = 10
+
+
 def contributions(paths: Sequence[Path], x: np.ndarray, strict: bool) -> np.ndarray:
-    """Rows × features."""
-    phi = np.zeros_like(x)
+    """Rows × features. What a path gives a row depends on the row's pattern only, so it is worked out once per pattern."""
+    columns = np.ascontiguousarray(x.T)
+    phi = np.zeros_like(columns)
     for path in paths:
         d = len(path.features)
         if not d:
             continue
-        follows = _follows(path, x, strict)
-        weights = np.ones((1, len(x)))
-        for k in range(d):
-            weights = _extend(weights, path.share[k], follows[k])
+        code = _pattern(path, columns, strict)
+        if d <= TABLE:
+            shares = _shares(path, np.arange(1 << d))
+        else:
+            patterns, code = np.unique(code, return_inverse=True)
+            shares = _shares(path, patterns)
         for k in range(d):
-            phi[:, path.features[k]] += _sum_without(weights, path.share[k], follows[k]) * (follows[k] - path.share[k]) * path.value
-    return phi
+            phi[path.features[k]] += shares[k].take(code)
+    return phi.T
 
 
 def base_value(ens: Ensemble) -> float:
