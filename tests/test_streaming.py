@@ -171,3 +171,21 @@ def test_late_rows_come_out_beside_the_others(spark):
     assert sorted(r.event_id for r in out) == list(range(300))
     late = {r.event_id for r in out if r.late}
     assert late and all(i % 10 == 0 for i in late) and max(late) == 290
+
+
+def test_state_has_a_part_per_core(spark, tmp_path):
+    """A session that asks for many parts does not make every micro-batch load all of them; its setting stays."""
+    name, checkpoint = "spark.sql.shuffle.partitions", str(tmp_path / "cp")
+    rows = spark.range(40).select("id", (F.col("id") % 4).alias("k"))
+    rows.write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get(name)
+    spark.conf.set(name, "100")
+    try:
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).dropDuplicates(["k"])
+        got = PL.run_to_end(stream, spark, "parts", checkpoint)
+        assert spark.conf.get(name) == "100"
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(r.k for r in got.collect()) == [0, 1, 2, 3]
+    parts = [p for p in (tmp_path / "cp" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(parts) == spark.sparkContext.defaultParallelism < 100

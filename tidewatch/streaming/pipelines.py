@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from heapq import nlargest
 
@@ -133,11 +134,27 @@ def enrich_alert_stream(alerts: DataFrame, flow_idx: DataFrame, ip_idx: DataFram
     return alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@contextmanager
+def one_part_per_core(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in one part per core where the session asks for more parts than cores.
+
+    A micro-batch loads and commits every part of every stateful step, and starts Python for it, whatever rows it has, and state
+    is not subject to adaptive merging of small parts. What a part holds lies in the state store, not in memory."""
+    name = "spark.sql.shuffle.partitions"
+    asked = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(asked), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, asked)
+
+
 def run_to_end(stream: DataFrame, spark: SparkSession, name: str = "stream", checkpoint: str | None = None) -> DataFrame:
     """Drain a bounded stream into a table in the shared folder and read it back."""
     path, checkpoint = new_folder(spark, name), checkpoint or new_folder(spark, f"{name}-cp")
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(
-        "append").trigger(availableNow=True).start()
+    with one_part_per_core(spark):
+        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(
+            "append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
