@@ -203,3 +203,20 @@ def test_forests_have_the_default_size(spark, sf, monkeypatch, name):
     with pytest.raises(Asked) as e:
         getattr(Q, name)(spark, sf)
     assert e.value.args[0] == 200
+
+
+def test_detector_rows_are_dealt_over_the_cores(spark, sf, monkeypatch):
+    """A file of one row group is one task; every level of every round would run in it."""
+    class Asked(Exception):
+        pass
+
+    def fit(self, df):
+        raise Asked([len(p) for p in df.rdd.glom().collect()], df.columns)
+
+    df = C.flows(spark, sf).withColumn("is_attack", (F.col("label") != "BENIGN").cast("int"))
+    monkeypatch.setattr(TR.Pipeline, "fit", fit)
+    with pytest.raises(Asked) as e:
+        TR.train_detector(df, ["dur", "sbytes"])
+    parts, columns = e.value.args
+    assert columns == ["dur", "sbytes", "is_attack"] and sum(parts) == df.count()
+    assert len(parts) == spark.sparkContext.defaultParallelism and max(parts) <= 2 * min(parts)
