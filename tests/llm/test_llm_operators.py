@@ -5,10 +5,13 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewatch.llm import (decontaminate, exact_dedup, html_extract, jaccard_join, label_sharding, line_dedup, sentence_pieces,
-                           suffix_dedup, toxicity, url_filters)
+                           set_join, suffix_dedup, toxicity, url_filters)
+from tidewatch.llm.common import flat
 
 SCHEMA = "doc_id bigint, text string, hits string, n string, node string"
 
@@ -235,3 +238,22 @@ def test_empty_tables(docs):
     none = docs.limit(0)
     assert suffix_dedup.cut_repeats(none).count() == 0 and jaccard_join.similar_documents(none).count() == 0
     assert exact_dedup.exact_groups(none).count() == 0 and label_sharding.assign(none).count() == 0 and line_dedup.repeated_lines(none).count() == 0
+
+
+def test_sets_of_lines_and_shingles_are_those_of_each_text():
+    """Sets of a whole batch in one go, whichever way they are sorted."""
+    r = random.Random(7)
+    texts = ["", "\n", "a\n", "\n\nb a b\n", "one two three", "a b c d", None] + [
+        "".join(r.choice(["a", "b", "Cd", " ", "\n", "\t"]) for _ in range(r.randint(0, 60))) for _ in range(200)]
+    got = set_join.line_sets(*flat(pa.array(texts)))
+    lines = [(i, k, line) for i, t in enumerate(texts) for k, line in enumerate((t or "").split("\n"))]
+    assert list(zip(got.owner.tolist(), got.part.tolist())) == [(i, k) for i, k, _ in lines]
+    assert got.n.tolist() == [len(set(re.findall(r"[^\x20\x09-\x0D]+", lower(x)))) for *_, x in lines]
+    alone = [set_join.line_sets(*flat(pa.array([x]))) for *_, x in lines]
+    assert got.ids().tolist() == [int(s.ids()[0]) for s in alone]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in texts]
+    want = [len({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}) if w else 0 for w in words]
+    assert set_join.shingle_sets(*flat(pa.array(texts))).n.tolist() == want
+    assert set_join.shingle_sets(*flat(pa.array(["a b c"]))).n.tolist() == [1]         # three words in all failed before
+    key, seg = np.array([5, 4, 5, 1 << 20, 3], np.uint64), np.array([0, 0, 0, 0, 0])
+    assert key[set_join.order_within(key, seg)].tolist() == sorted(key.tolist())

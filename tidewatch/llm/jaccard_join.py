@@ -99,7 +99,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     null ``component_id``. Rows that repeat an id are rows of their own, linked by their texts. Other columns are not read.
     """
     items = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    first = first_pass(items, ["doc_id"], shingle_sets, "shingle-sets")
+    first = first_pass(items, ["doc_id"], shingle_sets, "shingle-sets", 8)
     rows = first.filter("chunk is null").select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"), "mins")
     nodes = stage(rows.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("mins").alias("mins"), F.min("doc_id").alias("low_id")), "nodes")
     near = verified(star_pairs(nodes, t), items, shingle_sets, t, "star-links")

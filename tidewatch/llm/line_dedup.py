@@ -1,7 +1,8 @@
 """Line dedup by an exact set-similarity join over the words of the lines.
 
 A line is the set of its lower-case words. Words are ordered by rarity over all lines; similar lines share a word among
-the first ``|set| - ceil(t |set|) + 1``. Length and position bound the overlap before the sorted sets are intersected.
+the first ``|set| - ceil(t |set|) + 1``. Length, position and parity bitmaps bound the overlap before the sorted sets are
+intersected.
 A line goes if an earlier line (by document id, then place) is equal in its words or similar to it.
 """
 
@@ -10,15 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewatch.llm.common import spare_name, stage
-from tidewatch.llm.set_join import Threshold, first_pass, met_before, prefix_tokens, rarity, verified, with_heads, word_sets
+from tidewatch.llm.set_join import Threshold, first_pass, line_sets, prefix_tokens, rarity, verified
 
 THRESHOLD = Threshold(9, 10)
-
-
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``line`` (from 0), ``text``: the pieces between line feeds of every text that is not null."""
-    return docs.filter(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\\n", -1)).alias("line", "text"))
+#: Longs of the parity bitmap that every line has, and minima that name its groups.
+BITS, MINS = 2, 2
 
 
 def place(doc: str = "doc_id", line: str = "line"):
@@ -28,35 +25,40 @@ def place(doc: str = "doc_id", line: str = "line"):
 
 def _ends(nodes: DataFrame, t: Threshold) -> DataFrame:
     """Each node with the earliest node of every group that shares one of its minima (``a`` earlier, ``b`` later)."""
-    own = nodes.select("node", "n", "at", F.posexplode("mins").alias("k", "low"))
-    centre = own.groupBy("k", "low").agg(F.min(F.struct("at", "node", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
+    own = nodes.select("node", "n", "at", "bits", F.posexplode("mins").alias("k", "low"))
+    centre = own.groupBy("k", "low").agg(F.min(F.struct("at", "node", "n", "bits")).alias("c"), F.count("*").alias("size")).filter("size > 1")
     pairs = own.join(centre, ["k", "low"]).filter("c.node <> node").filter(
-        F.least("n", "c.n") * t.den >= F.greatest("n", "c.n") * t.num)
+        F.least("n", "c.n") * t.den >= F.greatest("n", "c.n") * t.num).filter(t.possible("bits", "c.bits", F.col("n"), F.col("c.n"), BITS))
     return pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _earlier(tokens: DataFrame, nodes: DataFrame, resolved: DataFrame, t: Threshold) -> DataFrame:
-    """Candidate pairs (``a`` earlier, ``b`` later and not resolved yet) that share a prefix word."""
+    """Candidate pairs (``a`` earlier, ``b`` later and not resolved yet) that share a prefix word. The bitmaps of both nodes are
+    compared where they meet; the few pairs left are put in order afterwards."""
+    gone = resolved.select(F.col("b").alias("node")).distinct().withColumn("gone", F.lit(True))
     every = W.partitionBy("token")
-    shared = (tokens.withColumn("lo", F.min("node").over(every)).withColumn("hi", F.max("node").over(every))
-              .filter("lo <> hi").drop("lo", "hi"))
-    shared = shared.dropDuplicates(["token", "node"]).join(nodes.select("node", "at"), "node").join(
-        resolved.select(F.col("b").alias("node"), F.lit(True).alias("gone")).distinct(), "node", "left")
-    # a word is of use if a line that is still open stands after another one
-    wanted = shared.groupBy("token").agg(F.min("at").alias("first"), F.max(F.when(F.col("gone").isNull(), F.col("at"))).alias("last"))
-    rows = stage(with_heads(shared.join(wanted.filter("last > first").select("token"), "token", "left_semi")), "line-words")
-    x = rows.select("token", *[F.col(c).alias("x_" + c) for c in ("node", "n", "pos", "at", "head")])
-    y = rows.filter("gone is null").select("token", *[F.col(c).alias("y_" + c) for c in ("node", "n", "pos", "at", "head")])
+    # a word is of use if two lines have it and one of them is still open
+    rows = (tokens.join(gone, "node", "left").dropDuplicates(["node", "token"])
+            .withColumn("lo", F.min("node").over(every)).withColumn("hi", F.max("node").over(every))
+            .withColumn("open", F.count_if(F.col("gone").isNull()).over(every)).filter("lo <> hi and open > 0").drop("lo", "hi", "open"))
+    rows = stage(rows, "line-words")
+    x = rows.select("token", *[F.col(c).alias("x_" + c) for c in ("node", "n", "pos", "bits", "gone")])
+    y = rows.filter("gone is null").select("token", *[F.col(c).alias("y_" + c) for c in ("node", "n", "pos", "bits")])
     both = F.col("x_n") + F.col("y_n")
     # positions of the smaller set lie in its shorter index prefix
     short, at = F.least("x_n", "y_n"), F.when(F.col("x_n") < F.col("y_n"), F.col("x_pos")).when(
         F.col("x_n") > F.col("y_n"), F.col("y_pos")).otherwise(F.least("x_pos", "y_pos"))
-    pairs = (x.join(y, "token").filter("x_at < y_at and x_node <> y_node")
+    pairs = (x.join(y, "token").filter("x_node <> y_node and (x_gone or x_node < y_node)")
              .filter(short * t.den >= F.greatest("x_n", "y_n") * t.num)
              .filter(at < short - F.ceil(2 * t.num * short / F.lit(t.num + t.den)) + 1)
              .filter(F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (t.num + t.den) >= both * t.num)
-             .filter(~met_before()))
-    return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+             .filter(t.possible("x_bits", "y_bits", F.col("x_n"), F.col("y_n"), BITS)))
+    pairs = pairs.select("x_node", "x_gone", "y_node").distinct()
+    for side in ("x", "y"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side + "_node"), F.col("at").alias(side + "_at")), side + "_node")
+    first = F.col("x_at") < F.col("y_at")
+    return pairs.filter(F.col("x_at") != F.col("y_at")).filter(first | F.col("x_gone").isNull()).select(
+        F.when(first, F.col("x_node")).otherwise(F.col("y_node")).alias("a"), F.when(first, F.col("y_node")).otherwise(F.col("x_node")).alias("b"))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: Threshold = THRESHOLD) -> DataFrame:
@@ -65,13 +67,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts have no lines, an empty text has one without words. Rows that repeat an id have their lines in one count
     of places: of equal lines at one place one stays. Lines of null ids come last. Other columns are not read.
     """
-    items = lines_of(docs, id_col, text_col)
-    first = first_pass(items, ["doc_id", "line"], word_sets, "line-sets")
-    rows = first.filter("chunk is null").select("doc_id", "line", "n", "node", "mins")
-    nodes = stage(rows.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("mins").alias("mins"), F.min(place()).alias("at")), "line-nodes")
-    near = verified(stage(_ends(nodes, t), "line-ends"), items, word_sets, t, "line-links")
-    pairs = stage(_earlier(prefix_tokens(items, word_sets, rarity(first), t), nodes, near, t), "line-pairs")
-    far = verified(pairs, items, word_sets, t, "line-matches")
+    items = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    first = first_pass(items, ["doc_id"], line_sets, "line-sets", BITS, MINS, "line")
+    rows = first.filter("chunk is null").select("doc_id", "line", "n", "node", "mins", "bits")
+    nodes = stage(rows.filter("n > 0").groupBy("node").agg(
+        F.max("n").alias("n"), F.max("mins").alias("mins"), F.max("bits").alias("bits"), F.min(place()).alias("at")), "line-nodes")
+    near = verified(stage(_ends(nodes, t), "line-ends"), items, line_sets, t, "line-links", marks=False)
+    pairs = stage(_earlier(prefix_tokens(items, line_sets, rarity(first), t, BITS), nodes, near, t), "line-pairs")
+    far = verified(pairs, items, line_sets, t, "line-matches", marks=False)
     gone = stage(near.unionByName(far).select(F.col("b").alias("node")).distinct(), "later-lines").withColumn("gone", F.lit(True))
     state = stage(nodes.select("node", "at").join(gone, "node", "left"), "line-state")
     found = rows.join(state, "node", "left")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ N_MINS = 12
 SKETCH_BITS, CHUNK = 18, 1 << 12
 #: Most bits of a node filter (16 MB); beyond that it lets more rows pass, which later joins remove.
 FILTER_BITS = 27
+#: Text bytes whose sets a task holds at a time.
+SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -37,6 +40,12 @@ class Threshold:
     def similar(self, overlap: Column, a: Column, b: Column) -> Column:
         return overlap * (self.num + self.den) >= (a + b) * self.num
 
+    def possible(self, a: str, b: str, x: Column, y: Column, words: int) -> Column:
+        """Whether two parity bitmaps of ``words`` longs (``a``, ``b``) of sets of x and y allow similarity: they differ at most in
+        as many bits as there are tokens in one set only."""
+        apart = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)), F.lit(0))
+        return self.similar((x + y - apart) / 2, x, y)
+
 
 # --- sets of a batch ----------------------------------------------------------------------------------------------------
 
@@ -50,67 +59,121 @@ def _word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h, np.searchsorted(start, off)
 
 
-def word_sets(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
-    """Sorted distinct word hashes of each row."""
-    h, at = _word_hashes(data, off)
-    for lo, hi in zip(at[:-1], at[1:]):
-        yield np.unique(h[lo:hi])
+class Sets(NamedTuple):
+    """Sets of a batch end to end: set i is ``tokens[at[i]:at[i + 1]]``, sorted and distinct, of row ``owner[i]``; ``part`` is its
+    number within the row."""
+    owner: np.ndarray
+    part: np.ndarray
+    tokens: np.ndarray
+    at: np.ndarray
+
+    @property
+    def n(self) -> np.ndarray:
+        return np.diff(self.at)
+
+    def reduced(self, step: np.ufunc, values: np.ndarray) -> np.ndarray:
+        """``step`` over the values of each set; 0 for an empty one."""
+        out, filled = np.zeros(len(self.owner), np.uint64), self.n > 0
+        if filled.any():
+            out[filled] = step.reduceat(values, self.at[:-1][filled])
+        return out
+
+    def picked(self, keep: np.ndarray) -> Sets:
+        n = self.n
+        return Sets(self.owner[keep], self.part[keep], self.tokens[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])]))
+
+    def ids(self) -> np.ndarray:
+        """64-bit hash of each set; 0 for an empty one."""
+        s = self.tokens
+        h = mix(self.reduced(np.add, mix(s + np.uint64(MIX_A))) ^ self.reduced(np.bitwise_xor, mix(s ^ np.uint64(MIX_B))))
+        return np.where(self.n > 0, h, np.uint64(0))
+
+    def parities(self, words: int) -> np.ndarray:
+        """Row per set: a bitmap of 64 * ``words`` bits (a power of two), flipped at one place for each token."""
+        place = self.tokens >> np.uint64(64 - (64 * words - 1).bit_length())
+        bit = np.uint64(1) << (place & np.uint64(63))
+        return np.column_stack([self.reduced(np.bitwise_xor, np.where(place >> np.uint64(6) == w, bit, np.uint64(0))) for w in range(words)])
+
+
+def order_within(key: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    """The order by segment, then by key. One sort of short keys does, unless their cut-off bits matter."""
+    if len(seg) and int(seg.max()) < 1 << 16:
+        short = (seg.astype(np.uint64) << np.uint64(48)) | (key >> np.uint64(16))
+        order = np.argsort(short)
+        s, k = short[order], key[order]
+        if not ((s[1:] == s[:-1]) & (k[1:] < k[:-1])).any():
+            return order
+    return np.lexsort((key, seg))
+
+
+def _distinct(tokens: np.ndarray, seg: np.ndarray, owner: np.ndarray, part: np.ndarray) -> Sets:
+    order = order_within(tokens, seg)
+    tokens, seg = tokens[order], seg[order]
+    new = np.ones(len(seg), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (seg[1:] != seg[:-1])
+    return Sets(owner, part, tokens[new], np.concatenate([[0], np.cumsum(np.bincount(seg[new], minlength=len(owner)))]))
+
+
+def line_sets(data: np.ndarray, off: np.ndarray) -> Sets:
+    """Word hashes of every line (pieces between line feeds, numbered from 0) of each row."""
+    start, end = spans(SPACE, data, off)
+    h = span_hash(prefix_hash(LOWER[data]), start, end)
+    feeds = np.flatnonzero(data == 10)
+    before = np.searchsorted(feeds, off)                   # line feeds before each row
+    lines = np.diff(before) + 1
+    first = np.cumsum(lines) - lines
+    row = np.searchsorted(off, start, side="right") - 1
+    owner = np.repeat(np.arange(len(lines)), lines)
+    return _distinct(h, first[row] + np.searchsorted(feeds, start) - before[row], owner, np.arange(len(owner)) - first[owner])
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = 5) -> Iterator[np.ndarray]:
-    """Sorted distinct hashes of the word shingles of each row; a row of fewer words has one, the whole."""
+def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = 5) -> Sets:
+    """Hashes of the word shingles of each row; a row of fewer words has one, the whole."""
     h, at = _word_hashes(data, off)
     whole = np.zeros(max(0, len(h) - size + 1), np.uint64)
     for k in range(size):
-        whole += h[k:len(h) - size + 1 + k] * _WEIGHTS[k]
-    whole = mix(whole)
-    for lo, hi in zip(at[:-1], at[1:]):
-        if hi - lo >= size:
-            yield np.unique(whole[lo:hi - size + 1])
-        elif hi > lo:
-            yield mix((h[lo:hi] * _WEIGHTS[:hi - lo]).sum(dtype=np.uint64, keepdims=True) + np.uint64(hi - lo))
-        else:
-            yield np.zeros(0, np.uint64)
-
+        whole += h[k:k + len(whole)] * _WEIGHTS[k]
+    n = np.diff(at)
+    row = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(whole)) + size <= at[row[:len(whole)] + 1]
+    tokens, seg = [mix(whole[inside])], [row[:len(whole)][inside]]
+    for r in np.flatnonzero((n > 0) & (n < size)):
+        w = h[at[r]:at[r + 1]]
+        tokens.append(mix((w * _WEIGHTS[:len(w)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(w))))
+        seg.append(np.array([r]))
+    return _distinct(np.concatenate(tokens), np.concatenate(seg), np.arange(len(n)), np.zeros(len(n), np.int64))
 
-def set_id(s: np.ndarray) -> int:
-    return int(mix((mix(s + np.uint64(MIX_A)).sum(dtype=np.uint64, keepdims=True)) ^ np.bitwise_xor.reduce(mix(s ^ np.uint64(MIX_B)), keepdims=True))[0])
 
+_SEEDS = mix(np.arange(1, N_MINS + 1, dtype=np.uint64) * np.uint64(BASE))
 
-_SEEDS = mix(np.arange(1, N_MINS + 1, dtype=np.uint64) * np.uint64(BASE))[:, None]
 
-
-def first_pass(items: DataFrame, keys: list[str], sets: Callable, name: str) -> DataFrame:
-    """Written table with one row per item (``keys``, ``n``, ``node``, ``mins``) and the token counts of each task in
-    chunks (``chunk``, ``counts``; the other columns are null then)."""
+def first_pass(items: DataFrame, keys: list[str], sets: Callable, name: str, words: int, mins: int = N_MINS, part: str | None = None) -> DataFrame:
+    """Written table with one row per set (``keys``, its number ``part`` within the row, ``n``, ``node``, ``mins``, and ``bits``, a
+    parity bitmap of ``words`` longs) and the token counts of each task in chunks (``chunk``, ``counts``; the other columns are
+    null then)."""
     schema = items.select(*keys).schema
+    added = T.StructType.fromDDL((f"{part} int, " if part else "") + "n bigint, node bigint, mins array<bigint>, bits array<bigint>, chunk int, counts binary")
+    names, longs = [*keys, *added.names], pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, kinds = np.zeros(1 << SKETCH_BITS, np.int64), None
-        for batch, data, off in slices(batches, "text"):
+        for batch, data, off in slices(batches, "text", SLICE):
             kinds = [batch.column(i).type for i in range(len(keys))]
-            n, ids, mins, all_ = [], [], [], []
-            for s in sets(data, off):
-                n.append(len(s))
-                ids.append(set_id(s) if len(s) else 0)
-                mins.append(mix(s[None, :] ^ _SEEDS).min(1) if len(s) else np.zeros(N_MINS, np.uint64))
-                all_.append(s)
-            seen += np.bincount((np.concatenate(all_) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-            rows = len(n)
+            s = sets(data, off)
+            np.add.at(seen, (s.tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            rows = len(s.owner)
+            low = np.column_stack([s.reduced(np.minimum, mix(s.tokens ^ seed)) for seed in _SEEDS[:mins]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(keys))] +
-                [pa.array(n, pa.int64()), pa.array(signed(np.array(ids, np.uint64))),
-                 list_array(signed(np.concatenate(mins)), np.arange(rows + 1) * N_MINS), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                [*keys, "n", "node", "mins", "chunk", "counts"])
+                [batch.column(i).take(pa.array(s.owner)) for i in range(len(keys))] + ([pa.array(s.part.astype(np.int32))] if part else []) +
+                [pa.array(s.n.astype(np.int64)), pa.array(signed(s.ids())), list_array(signed(low).ravel(), np.arange(rows + 1) * mins),
+                 list_array(signed(s.parities(words)).ravel(), np.arange(rows + 1) * words), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if kinds is not None:
-            parts = seen.reshape(-1, CHUNK).astype(np.int64)
+            parts = seen.reshape(-1, CHUNK)
             c = len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(c, k) for k in kinds] + [pa.nulls(c, pa.int64()), pa.nulls(c, pa.int64()), pa.nulls(c, pa.list_(pa.int64())),
-                                                   pa.array(range(c), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                [*keys, "n", "node", "mins", "chunk", "counts"])
+                [pa.nulls(c, k) for k in [*kinds, *[pa.int32()] * bool(part), pa.int64(), pa.int64(), longs, longs]] +
+                [pa.array(range(c), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
-    added = T.StructType.fromDDL("n bigint, node bigint, mins array<bigint>, chunk int, counts binary")
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in [*schema.fields, *added.fields]])
     return stage(items.select(*keys, "text").mapInArrow(run, schema), name)
 
@@ -192,44 +255,45 @@ class _Seen:
     def __init__(self, most: int = 400_000):
         self.ids, self.most = set(), most
 
-    def new(self, node: int) -> bool:
-        if node in self.ids:
-            return False
-        if len(self.ids) >= self.most:
-            self.ids.clear()
-        self.ids.add(node)
-        return True
-
-
-def prefix_tokens(items: DataFrame, sets: Callable, levels: np.ndarray, t: Threshold) -> DataFrame:
-    """``token``, ``pos``, ``n``, ``node`` of the prefix of each set, rare tokens first. Nodes may come more than once."""
+    def new(self, nodes: np.ndarray) -> np.ndarray:
+        """Which of the nodes come up for the first time."""
+        first, ids = np.zeros(len(nodes), bool), self.ids
+        for i, node in enumerate(nodes.tolist()):
+            if node not in ids:
+                if len(ids) >= self.most:
+                    ids.clear()
+                ids.add(node)
+                first[i] = True
+        return first
+
+
+def prefix_tokens(items: DataFrame, sets: Callable, levels: np.ndarray, t: Threshold, words: int = 0) -> DataFrame:
+    """``token``, ``pos``, ``n``, ``node`` (and ``bits``, a parity bitmap of ``words`` longs) of the prefix of each set, rare
+    tokens first. Nodes may come more than once."""
     shipped = items.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = shipped.value.astype(np.uint64), _Seen()
-        for _, data, off in slices(batches, "text"):
-            tokens, sizes, ids, lens = [], [], [], []
-            for s in sets(data, off):
-                if not len(s) or not seen.new(node := set_id(s)):
-                    continue
-                p = t.prefix(len(s))
-                key = (level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(56)) | (s >> np.uint64(8))
-                if p < len(s):
-                    near = np.argpartition(key, p - 1)[:p]
-                    tokens.append(s[near[np.argsort(key[near], kind="stable")]])
-                else:
-                    tokens.append(s[np.argsort(key, kind="stable")])
-                sizes.append(len(s))
-                ids.append(node)
-                lens.append(p)
-            if ids:
-                lens = np.array(lens)
-                pos = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(tokens))), pa.array(pos.astype(np.int32)), pa.array(np.repeat(np.array(sizes, np.int32), lens)),
-                     pa.array(signed(np.repeat(np.array(ids, np.uint64), lens)))], ["token", "pos", "n", "node"])
-
-    return items.select("text").mapInArrow(run, "token bigint, pos int, n int, node bigint")
+        for _, data, off in slices(batches, "text", SLICE):
+            s = sets(data, off)
+            s = s.picked(s.n > 0)
+            ids = s.ids()
+            keep = seen.new(ids)
+            s, ids = s.picked(keep), ids[keep]
+            if not len(ids):
+                continue
+            seg = np.repeat(np.arange(len(ids)), s.n)
+            key = (level[(s.tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(56)) | (s.tokens >> np.uint64(8))
+            pos = np.arange(len(seg)) - s.at[seg]
+            near = pos < t.prefix(s.n)[seg]
+            tokens, seg, pos = s.tokens[order_within(key, seg)][near], seg[near], pos[near]
+            columns = {"token": pa.array(signed(tokens)), "pos": pa.array(pos.astype(np.int32)), "n": pa.array(s.n[seg].astype(np.int32)),
+                       "node": pa.array(signed(ids[seg]))}
+            if words:
+                columns["bits"] = list_array(signed(s.parities(words)[seg]).ravel(), np.arange(len(seg) + 1) * words)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return items.select("text").mapInArrow(run, "token bigint, pos int, n int, node bigint" + ", bits array<bigint>" * bool(words))
 
 
 def with_heads(rows: DataFrame, size: int = 4) -> DataFrame:
@@ -273,20 +337,19 @@ def sets_of(items: DataFrame, nodes: DataFrame, sets: Callable, name: str, whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen = shipped.value, _Seen()
-        for _, data, off in slices(batches, "text"):
-            held = [(set_id(s), s) for s in sets(data, off) if len(s)]
-            if not held:
+        for _, data, off in slices(batches, "text", SLICE):
+            s = sets(data, off)
+            ids = s.ids()
+            keep = (s.n > 0) & in_filter(ids, wanted)
+            keep[keep] = seen.new(ids[keep])
+            if not keep.any():
                 continue
-            ok = in_filter(np.array([i for i, _ in held], np.uint64), wanted)
-            held = [x for x, k in zip(held, ok) if k and seen.new(x[0])]
-            if held:
-                columns = {"node": pa.array(signed(np.array([i for i, _ in held], np.uint64))),
-                           "n": pa.array([len(s) for _, s in held], pa.int32()),
-                           "bits": pa.array([bitmap(s, whole).tobytes() for _, s in held], pa.binary())}
-                if whole:
-                    off2 = np.concatenate([[0], np.cumsum([len(s) for _, s in held])])
-                    columns["tokens"] = list_array(signed(np.concatenate([s for _, s in held])), off2)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            s, ids = s.picked(keep), ids[keep]
+            columns = {"node": pa.array(signed(ids)), "n": pa.array(s.n.astype(np.int32)),
+                       "bits": pa.array([bitmap(s.tokens[lo:hi], whole).tobytes() for lo, hi in zip(s.at[:-1], s.at[1:])], pa.binary())}
+            if whole:
+                columns["tokens"] = list_array(signed(s.tokens), s.at)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     found = items.select("text").mapInArrow(run, "node bigint, n int, bits binary" + ", tokens array<bigint>" * whole)
     return stage(found.dropDuplicates(["node"]), name)
@@ -351,10 +414,15 @@ def intersected(pairs: DataFrame, arrays: DataFrame, t: Threshold, name: str) ->
     return found
 
 
-def verified(pairs: DataFrame, items: DataFrame, sets: Callable, t: Threshold, name: str) -> DataFrame:
+def verified(pairs: DataFrame, items: DataFrame, sets: Callable, t: Threshold, name: str, marks: bool = True) -> DataFrame:
     """The ``a``, ``b`` of ``pairs`` (written; removed afterwards) that reach the threshold. Bit counts bound the overlap
-    from above before the sorted arrays are fetched and intersected."""
-    near, arrays = bounded(pairs, items, sets, t, name)
+    from above before the sorted arrays are fetched and intersected; without ``marks``, all arrays are fetched."""
+    if marks:
+        near, arrays = bounded(pairs, items, sets, t, name)
+    else:
+        ends = _ends(pairs, name + "-nodes")
+        near, arrays = pairs, sets_of(items, ends, sets, name + "-sets", whole=True)
+        drop_stage(ends)
     out = intersected(near, arrays, t, name)
     drop_stage(near, arrays)
     return out
