@@ -257,3 +257,18 @@ def test_sets_of_lines_and_shingles_are_those_of_each_text():
     assert set_join.shingle_sets(*flat(pa.array(["a b c"]))).n.tolist() == [1]         # three words in all failed before
     key, seg = np.array([5, 4, 5, 1 << 20, 3], np.uint64), np.array([0, 0, 0, 0, 0])
     assert key[set_join.order_within(key, seg)].tolist() == sorted(key.tolist())
+
+
+def test_alike_texts_that_are_not_similar_leave_no_candidates(spark):
+    """200 texts that share a third of their words but are not similar meet in all pairs; their bitmaps tell them apart."""
+    r = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs = spark.createDataFrame([(i, " ".join(f"w{r.randrange(10 ** 6)}" for _ in range(60)) + " " + passage) for i in range(200)], "doc_id bigint, text string")
+    first = set_join.first_pass(docs, ["doc_id"], set_join.shingle_sets, "t", jaccard_join.BITS)
+    nodes = first.filter("chunk is null").select("node", "n", "mins", "bits")
+    sets = set_join.shingle_sets
+    levels = np.zeros(1 << set_join.SKETCH_BITS, np.uint8)                             # no rarity: shared tokens lead the prefix
+    tokens = set_join.prefix_tokens(docs, sets, levels, jaccard_join.THRESHOLD)
+    none = spark.createDataFrame([], "node bigint, comp bigint")
+    assert tokens.count() > 200 and nodes.count() == 200
+    assert jaccard_join.tile_pairs(tokens, nodes, none, jaccard_join.THRESHOLD).count() < 20

@@ -21,6 +21,8 @@ from tidewatch.llm.set_join import (
     Threshold, bounded, components, first_pass, intersected, met_before, prefix_tokens, rarity, shingle_sets, verified, with_heads)
 
 THRESHOLD = Threshold(75, 100)
+#: Longs of the parity bitmap that every node has.
+BITS = 8
 #: Switched off, a join on (token, band) uses rows that are dealt by token already.
 _ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
@@ -29,44 +31,47 @@ def star_pairs(nodes: DataFrame, t: Threshold, centres: int = 2) -> DataFrame:
     """Written pairs (``a`` < ``b``) of each node with the centres of the groups that share one of its minima.
 
     The centres are the nodes whose minima are shared most: in a family of near copies that is the text they come from."""
-    own = stage(nodes.select("node", "n", F.posexplode("mins").alias("k", "low")), "minima")
+    own = stage(nodes.select("node", "n", "bits", F.posexplode("mins").alias("k", "low")), "minima")
     sizes = own.groupBy("k", "low").agg(F.count("*").alias("size")).filter("size > 1")
     shared = stage(own.join(sizes, ["k", "low"]), "shared-minima")
     score = shared.groupBy("node").agg(F.sum("size").alias("score"))
-    ranked = shared.join(score, "node").withColumn("place", F.struct("score", "node", "n"))
+    ranked = shared.join(score, "node").withColumn("place", F.struct("score", "node", "n", "bits"))
     best = ranked.groupBy("k", "low").agg(F.max("place").alias("one"))
     if centres > 1:                                        # the runner-up as well
         second = ranked.join(best, ["k", "low"]).filter("node <> one.node").groupBy("k", "low").agg(F.max("place").alias("one"))
         best = best.unionByName(second)
-    best = best.select("k", "low", F.col("one.node").alias("c"), F.col("one.n").alias("nc"))
+    best = best.select("k", "low", F.col("one.node").alias("c"), F.col("one.n").alias("nc"), F.col("one.bits").alias("bits_c"))
     pairs = shared.join(best, ["k", "low"]).filter(F.col("node") != F.col("c")).filter(
-        F.least("n", "nc") * t.den >= F.greatest("n", "nc") * t.num)
+        F.least("n", "nc") * t.den >= F.greatest("n", "nc") * t.num).filter(t.possible("bits", "bits_c", F.col("n"), F.col("nc"), BITS))
     pairs = stage(pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct(), "star-pairs")
     drop_stage(own, shared)
     return pairs
 
 
-def tile_pairs(tokens: DataFrame, comps: DataFrame, t: Threshold) -> DataFrame:
-    """Written candidate pairs of different components that share a prefix token, by tiles of neighbouring size bands."""
+def tile_pairs(tokens: DataFrame, nodes: DataFrame, comps: DataFrame, t: Threshold) -> DataFrame:
+    """Written candidate pairs of different components that share a prefix token, by tiles of neighbouring size bands.
+
+    The bitmaps of both nodes are compared where they meet, so a group of texts that are alike but not similar leaves few
+    of its pairs behind."""
     every = W.partitionBy("token")
     shared = (tokens.withColumn("lo", F.min("node").over(every)).withColumn("hi", F.max("node").over(every))
               .filter("lo <> hi").drop("lo", "hi"))
     shared = stage(shared.dropDuplicates(["token", "node"]), "shared-tokens")
     # one exchange by node (component and head), one by token (filter, tiles and join)
-    rows = with_heads(shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    rows = with_heads(shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))).join(nodes.select("node", "bits"), "node")
     rows = (rows.withColumn("lo", F.min("comp").over(every)).withColumn("hi", F.max("comp").over(every))
             .filter("lo <> hi").drop("lo", "hi")
             .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(t.den / t.num) + 1e-9)))
     # the smaller set (x) stands in its own band, the larger (y) in its own and the one below
-    x = rows.select("token", "band", *[F.col(c).alias("x_" + c) for c in ("node", "n", "pos", "comp", "head")])
-    y = rows.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), *[F.col(c).alias("y_" + c) for c in ("node", "n", "pos", "comp", "head")])
+    x = rows.select("token", "band", *[F.col(c).alias("x_" + c) for c in ("node", "n", "pos", "comp", "head", "bits")])
+    y = rows.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), *[F.col(c).alias("y_" + c) for c in ("node", "n", "pos", "comp", "head", "bits")])
     need = (F.col("x_n") + F.col("y_n")) * t.num
     index = F.col("x_n") - F.ceil(2 * t.num * F.col("x_n") / F.lit(t.num + t.den)) + 1
     pairs = (x.join(y.hint("merge"), ["token", "band"])
              .filter("x_comp <> y_comp and (x_n < y_n or (x_n = y_n and x_node < y_node))")
              .filter(F.col("x_n") * t.den >= F.col("y_n") * t.num).filter(F.col("x_pos") < index)
              .filter(F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (t.num + t.den) >= need)
-             .filter(~met_before()))
+             .filter(t.possible("x_bits", "y_bits", F.col("x_n"), F.col("y_n"), BITS)).filter(~met_before()))
     with setting(tokens.sparkSession, _ALL_KEYS, "false"):
         pairs = stage(pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "tile-pairs")
     drop_stage(shared)
@@ -99,11 +104,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     null ``component_id``. Rows that repeat an id are rows of their own, linked by their texts. Other columns are not read.
     """
     items = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    first = first_pass(items, ["doc_id"], shingle_sets, "shingle-sets", 8)
-    rows = first.filter("chunk is null").select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"), "mins")
-    nodes = stage(rows.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("mins").alias("mins"), F.min("doc_id").alias("low_id")), "nodes")
+    first = first_pass(items, ["doc_id"], shingle_sets, "shingle-sets", BITS)
+    rows = first.filter("chunk is null").select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"), "mins", "bits")
+    nodes = stage(rows.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("mins").alias("mins"), F.max("bits").alias("bits"), F.min("doc_id").alias("low_id")), "nodes")
     near = verified(star_pairs(nodes, t), items, shingle_sets, t, "star-links")
-    pairs = tile_pairs(prefix_tokens(items, shingle_sets, rarity(first), t), components(near), t)
+    pairs = tile_pairs(prefix_tokens(items, shingle_sets, rarity(first), t), nodes, components(near), t)
     comps = joining_links(pairs, near, items, t)
     placed = nodes.select("node", "low_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = placed.groupBy("comp").agg(F.min("low_id").alias("component_id"))
