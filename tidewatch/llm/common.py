@@ -129,9 +129,13 @@ def spans(gap: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser, element-wise."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_A)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_B)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(MIX_A)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(MIX_B)
+    y ^= y >> np.uint64(31)
+    return y
 
 
 _POWERS: dict[str, np.ndarray] = {}
@@ -152,7 +156,10 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     """H with H[i] = hash of the first i bytes modulo 2^64."""
     up, _ = _powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=out[1:])
+    x = data.astype(np.uint64)
+    x += np.uint64(1)
+    x *= up[:len(data)]
+    np.cumsum(x, out=out[1:])
     return out
 
 

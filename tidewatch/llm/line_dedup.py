@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidewatch.llm.common import spare_name, stage
-from tidewatch.llm.set_join import Threshold, first_pass, line_sets, prefix_tokens, rarity, verified
+from tidewatch.llm.common import drop_stage, spare_name, stage
+from tidewatch.llm.set_join import Threshold, first_pass, line_sets, prefix_lists, rarity, verified_lines
 
 THRESHOLD = Threshold(9, 10)
 #: Longs of the parity bitmap that every line has, and minima that name its groups.
@@ -23,42 +23,75 @@ def place(doc: str = "doc_id", line: str = "line"):
     return F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("doc_id"), F.col(line).alias("line"))
 
 
-def _ends(nodes: DataFrame, t: Threshold) -> DataFrame:
-    """Each node with the earliest node of every group that shares one of its minima (``a`` earlier, ``b`` later)."""
-    own = nodes.select("node", "n", "at", "bits", F.posexplode("mins").alias("k", "low"))
-    centre = own.groupBy("k", "low").agg(F.min(F.struct("at", "node", "n", "bits")).alias("c"), F.count("*").alias("size")).filter("size > 1")
-    pairs = own.join(centre, ["k", "low"]).filter("c.node <> node").filter(
-        F.least("n", "c.n") * t.den >= F.greatest("n", "c.n") * t.num).filter(t.possible("bits", "c.bits", F.col("n"), F.col("c.n"), BITS))
-    return pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+def _possible(x: str, y: str, t: Threshold):
+    """Whether size and bitmap of the nodes with these column prefixes allow similarity."""
+    n, m = F.col(x + "n"), F.col(y + "n")
+    return (F.least(n, m) * t.den >= F.greatest(n, m) * t.num) & t.possible_longs(
+        [F.col(f"{x}b{i}") for i in range(BITS)], [F.col(f"{y}b{i}") for i in range(BITS)], n, m)
 
 
-def _earlier(tokens: DataFrame, nodes: DataFrame, resolved: DataFrame, t: Threshold) -> DataFrame:
-    """Candidate pairs (``a`` earlier, ``b`` later and not resolved yet) that share a prefix word. The bitmaps of both nodes are
-    compared where they meet; the few pairs left are put in order afterwards."""
+def _ends(nodes: DataFrame, t: Threshold) -> DataFrame:
+    """Each node with the earliest node of every group that shares one of its minima (``a`` earlier, ``b`` later; ``raw_a``, ``raw_b``)."""
+    row = ["node", "raw", "n", *[f"b{i}" for i in range(BITS)]]
+    own = nodes.select(*row, "at", F.posexplode("mins").alias("k", "low"))
+    # rows of a group come in order and are read once: the first stands for the group
+    group = W.partitionBy("low", "k").orderBy("at", "node").rowsBetween(W.unboundedPreceding, W.currentRow)
+    pairs = own.withColumn("c", F.first(F.struct(*row)).over(group)).filter("c.node <> node").filter(_possible("", "c.", t))
+    return pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.raw").alias("raw_a"), F.col("raw").alias("raw_b")).dropDuplicates(["a", "b"])
+
+
+def _earlier(lists: DataFrame, nodes: DataFrame, resolved: DataFrame, t: Threshold) -> DataFrame:
+    """Candidate pairs (``a`` earlier, ``b`` later and not resolved yet; ``raw_a``, ``raw_b``) that share a prefix word. The bitmaps of
+    both nodes are compared where they meet; the few pairs left are put in order afterwards."""
     gone = resolved.select(F.col("b").alias("node")).distinct().withColumn("gone", F.lit(True))
-    every = W.partitionBy("token")
-    # a word is of use if two lines have it and one of them is still open
-    rows = (tokens.join(gone, "node", "left").dropDuplicates(["node", "token"])
-            .withColumn("lo", F.min("node").over(every)).withColumn("hi", F.max("node").over(every))
-            .withColumn("open", F.count_if(F.col("gone").isNull()).over(every)).filter("lo <> hi and open > 0").drop("lo", "hi", "open"))
-    rows = stage(rows, "line-words")
-    x = rows.select("token", *[F.col(c).alias("x_" + c) for c in ("node", "n", "pos", "bits", "gone")])
-    y = rows.filter("gone is null").select("token", *[F.col(c).alias("y_" + c) for c in ("node", "n", "pos", "bits")])
-    both = F.col("x_n") + F.col("y_n")
-    # positions of the smaller set lie in its shorter index prefix
-    short, at = F.least("x_n", "y_n"), F.when(F.col("x_n") < F.col("y_n"), F.col("x_pos")).when(
-        F.col("x_n") > F.col("y_n"), F.col("y_pos")).otherwise(F.least("x_pos", "y_pos"))
-    pairs = (x.join(y, "token").filter("x_node <> y_node and (x_gone or x_node < y_node)")
-             .filter(short * t.den >= F.greatest("x_n", "y_n") * t.num)
-             .filter(at < short - F.ceil(2 * t.num * short / F.lit(t.num + t.den)) + 1)
-             .filter(F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (t.num + t.den) >= both * t.num)
-             .filter(t.possible("x_bits", "y_bits", F.col("x_n"), F.col("y_n"), BITS)))
+    marked = lists.join(gone, "node", "left")
+    rows = marked.select(F.posexplode("tokens").alias("pos", "token"), "node", "n", *[f"b{i}" for i in range(BITS)], "gone")
+    # one exchange by word serves both sides of the join, whose rows come in its order; a node that came twice counts once
+    before = F.lag("node").over(W.partitionBy("token").orderBy("node"))
+    rows = rows.withColumn("before", before).filter("before is null or before <> node").drop("before")
+    # the word lies in the shorter index prefix of the smaller set
+    rows = rows.withColumn("index", F.col("pos") < F.col("n") - F.ceil(2 * t.num * F.col("n") / F.lit(t.num + t.den)) + 1)
+    x, y = (rows.select("token", *[F.col(c).alias(side + c) for c in rows.columns if c != "token"]) for side in ("x_", "y_"))
+    # y is open; of two open nodes x is the smaller set, a resolved x may be either
+    small = F.expr("x_n < y_n or (x_n = y_n and x_node < y_node)")
+    pairs = (x.filter("x_index or x_gone is not null").join(y.filter("y_gone is null").hint("merge"), "token")
+             .filter(F.when(small, F.col("x_index")).otherwise(F.col("x_gone").isNotNull() & F.col("y_index")))
+             .filter(F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (t.num + t.den) >= (F.col("x_n") + F.col("y_n")) * t.num)
+             .filter(_possible("x_", "y_", t)))
     pairs = pairs.select("x_node", "x_gone", "y_node").distinct()
-    for side in ("x", "y"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(side + "_node"), F.col("at").alias(side + "_at")), side + "_node")
+    for side in ("x_", "y_"):
+        pairs = pairs.join(nodes.select(*[F.col(c).alias(side + c) for c in ("node", "raw", "at")]), side + "node")
     first = F.col("x_at") < F.col("y_at")
-    return pairs.filter(F.col("x_at") != F.col("y_at")).filter(first | F.col("x_gone").isNull()).select(
-        F.when(first, F.col("x_node")).otherwise(F.col("y_node")).alias("a"), F.when(first, F.col("y_node")).otherwise(F.col("x_node")).alias("b"))
+    pairs = pairs.filter(F.col("x_at") != F.col("y_at")).filter(first | F.col("x_gone").isNull())
+    return pairs.select(*[F.when(first, F.col(p)).otherwise(F.col(q)).alias(c) for c, p, q in (
+        ("a", "x_node", "y_node"), ("b", "y_node", "x_node"), ("raw_a", "x_raw", "y_raw"), ("raw_b", "y_raw", "x_raw"))])
+
+
+def _lines_and_state(docs: DataFrame, id_col: str, text_col: str, t: Threshold) -> tuple[DataFrame, DataFrame]:
+    """Lines (``doc_id``, ``line``, ``n``, ``node``) and the nodes of which some line goes: ``at``, its earliest line, and ``gone``, whether
+    that one goes too."""
+    items = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    first = first_pass(items, ["doc_id"], line_sets, "line-sets", BITS, MINS, "line")
+    rows = first.filter("chunk is null").select("doc_id", "line", "n", "node", "raw", "mins", "bits")
+    nodes = rows.filter("n > 0").groupBy("node").agg(
+        F.max("n").alias("n"), F.min("raw").alias("raw"), F.max("mins").alias("mins"), F.max("bits").alias("bits"), F.min(place()).alias("at"),
+        F.count("*").alias("copies"))
+    nodes = stage(nodes.select("node", "n", "raw", "mins", "at", "copies", *[F.col("bits")[i].alias(f"b{i}") for i in range(BITS)]), "line-nodes")
+    near = verified_lines(stage(_ends(nodes, t), "line-ends"), items, t, "line-links")
+    lists = prefix_lists(items, line_sets, rarity(first), t, BITS, "line-words")
+    pairs = stage(_earlier(lists, nodes, near, t), "line-pairs")
+    drop_stage(lists)
+    far = verified_lines(pairs, items, t, "line-matches")
+    gone = stage(near.unionByName(far).select(F.col("b").alias("node")).distinct(), "later-lines").withColumn("gone", F.lit(True))
+    state = nodes.select("node", "at", "copies").join(gone, "node", "left").filter("copies > 1 or gone")
+    state = stage(state.select("node", "at", F.coalesce("gone", F.lit(False)).alias("gone")), "line-state")
+    drop_stage(nodes)
+    return rows.select("doc_id", "line", "n", "node"), state
+
+
+def _removed():
+    """Whether a line (with the state of its node) goes."""
+    return F.coalesce((F.col("n") > 0) & (F.col("gone") | (F.col("at") < place())), F.lit(False))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: Threshold = THRESHOLD) -> DataFrame:
@@ -67,27 +100,18 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts have no lines, an empty text has one without words. Rows that repeat an id have their lines in one count
     of places: of equal lines at one place one stays. Lines of null ids come last. Other columns are not read.
     """
-    items = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    first = first_pass(items, ["doc_id"], line_sets, "line-sets", BITS, MINS, "line")
-    rows = first.filter("chunk is null").select("doc_id", "line", "n", "node", "mins", "bits")
-    nodes = stage(rows.filter("n > 0").groupBy("node").agg(
-        F.max("n").alias("n"), F.max("mins").alias("mins"), F.max("bits").alias("bits"), F.min(place()).alias("at")), "line-nodes")
-    near = verified(stage(_ends(nodes, t), "line-ends"), items, line_sets, t, "line-links", marks=False)
-    pairs = stage(_earlier(prefix_tokens(items, line_sets, rarity(first), t, BITS), nodes, near, t), "line-pairs")
-    far = verified(pairs, items, line_sets, t, "line-matches", marks=False)
-    gone = stage(near.unionByName(far).select(F.col("b").alias("node")).distinct(), "later-lines").withColumn("gone", F.lit(True))
-    state = stage(nodes.select("node", "at").join(gone, "node", "left"), "line-state")
-    found = rows.join(state, "node", "left")
-    later = F.coalesce(F.col("at") < place(), F.lit(False))
-    return found.select("doc_id", "line", (F.col("n") > 0).alias("_words"), (F.coalesce("gone", F.lit(False)) | later).alias("_gone")).select(
-        "doc_id", "line", (F.col("_words") & F.col("_gone")).alias("removed"))
+    rows, state = _lines_and_state(docs, id_col, text_col, t)
+    return rows.join(state, "node", "left").select("doc_id", "line", _removed().alias("removed"))
 
 
 def removed_per_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: Threshold = THRESHOLD) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_removed``, ``removed`` (sorted line numbers) of every document that has lines."""
-    gone = F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line"))))
-    return repeated_lines(docs, id_col, text_col, t).groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), gone.alias("removed"))
+    rows, state = _lines_and_state(docs, id_col, text_col, t)
+    gone = rows.join(state, "node").filter(_removed()).groupBy(F.col("doc_id").alias("rid")).agg(
+        F.count("*").alias("n_removed"), F.sort_array(F.collect_set("line")).alias("removed"))
+    counted = rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    return counted.join(gone, F.col("doc_id").eqNullSafe(F.col("rid")), "left").select(
+        "doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: Threshold = THRESHOLD) -> DataFrame:

@@ -43,7 +43,11 @@ class Threshold:
     def possible(self, a: str, b: str, x: Column, y: Column, words: int) -> Column:
         """Whether two parity bitmaps of ``words`` longs (``a``, ``b``) of sets of x and y allow similarity: they differ at most in
         as many bits as there are tokens in one set only."""
-        apart = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)), F.lit(0))
+        return self.possible_longs([F.col(a)[i] for i in range(words)], [F.col(b)[i] for i in range(words)], x, y)
+
+    def possible_longs(self, a: list[Column], b: list[Column], x: Column, y: Column) -> Column:
+        """The same for bitmaps whose longs are columns of their own."""
+        apart = sum((F.bit_count(one.bitwiseXOR(other)) for one, other in zip(a, b)), F.lit(0))
         return self.similar((x + y - apart) / 2, x, y)
 
 
@@ -61,11 +65,12 @@ def _word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 class Sets(NamedTuple):
     """Sets of a batch end to end: set i is ``tokens[at[i]:at[i + 1]]``, sorted and distinct, of row ``owner[i]``; ``part`` is its
-    number within the row."""
+    number within the row, ``raw`` a hash of its text (lines only)."""
     owner: np.ndarray
     part: np.ndarray
     tokens: np.ndarray
     at: np.ndarray
+    raw: np.ndarray | None = None
 
     @property
     def n(self) -> np.ndarray:
@@ -80,7 +85,8 @@ class Sets(NamedTuple):
 
     def picked(self, keep: np.ndarray) -> Sets:
         n = self.n
-        return Sets(self.owner[keep], self.part[keep], self.tokens[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])]))
+        return Sets(self.owner[keep], self.part[keep], self.tokens[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])]),
+                    None if self.raw is None else self.raw[keep])
 
     def ids(self) -> np.ndarray:
         """64-bit hash of each set; 0 for an empty one."""
@@ -106,25 +112,42 @@ def order_within(key: np.ndarray, seg: np.ndarray) -> np.ndarray:
     return np.lexsort((key, seg))
 
 
-def _distinct(tokens: np.ndarray, seg: np.ndarray, owner: np.ndarray, part: np.ndarray) -> Sets:
+def _distinct(tokens: np.ndarray, seg: np.ndarray, owner: np.ndarray, part: np.ndarray, raw: np.ndarray | None = None) -> Sets:
     order = order_within(tokens, seg)
     tokens, seg = tokens[order], seg[order]
     new = np.ones(len(seg), bool)
     new[1:] = (tokens[1:] != tokens[:-1]) | (seg[1:] != seg[:-1])
-    return Sets(owner, part, tokens[new], np.concatenate([[0], np.cumsum(np.bincount(seg[new], minlength=len(owner)))]))
+    return Sets(owner, part, tokens[new], np.concatenate([[0], np.cumsum(np.bincount(seg[new], minlength=len(owner)))]), raw)
+
+
+def _lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the lines (pieces between line feeds) of all rows, and the first line of each row (n + 1 numbers)."""
+    feeds = np.flatnonzero(data == 10)
+    first = np.searchsorted(feeds, off) + np.arange(len(off))
+    start, end = np.zeros(first[-1], np.int64), np.zeros(first[-1], np.int64)
+    opens = np.zeros(first[-1] + 1, bool)
+    opens[first] = True
+    start[first[:-1]], end[first[1:] - 1] = off[:-1], off[1:]
+    start[~opens[:-1]], end[~opens[1:]] = feeds + 1, feeds
+    return start, end, first
 
 
 def line_sets(data: np.ndarray, off: np.ndarray) -> Sets:
     """Word hashes of every line (pieces between line feeds, numbered from 0) of each row."""
     start, end = spans(SPACE, data, off)
-    h = span_hash(prefix_hash(LOWER[data]), start, end)
-    feeds = np.flatnonzero(data == 10)
-    before = np.searchsorted(feeds, off)                   # line feeds before each row
-    lines = np.diff(before) + 1
-    first = np.cumsum(lines) - lines
-    row = np.searchsorted(off, start, side="right") - 1
-    owner = np.repeat(np.arange(len(lines)), lines)
-    return _distinct(h, first[row] + np.searchsorted(feeds, start) - before[row], owner, np.arange(len(owner)) - first[owner])
+    hashed = prefix_hash(LOWER[data])
+    lo, hi, first = _lines(data, off)
+    owner = np.repeat(np.arange(len(off) - 1), np.diff(first))
+    return _distinct(span_hash(hashed, start, end), np.searchsorted(hi, start, side="right"), owner, np.arange(len(owner)) - first[owner], span_hash(hashed, lo, hi))
+
+
+def wanted_lines(data: np.ndarray, off: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lines whose ``raw`` hash is in the filter ``words``, end to end, and their n + 1 offsets. No other line is cut into words."""
+    lo, hi, _ = _lines(data, off)
+    keep = in_filter(span_hash(prefix_hash(LOWER[data]), lo, hi), words)
+    lo, n = lo[keep], (hi - lo)[keep]
+    at = np.concatenate([[0], np.cumsum(n)])
+    return data[np.arange(at[-1]) + np.repeat(lo - at[:-1], n)], at
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = 5) -> Sets:
@@ -148,11 +171,11 @@ _SEEDS = mix(np.arange(1, N_MINS + 1, dtype=np.uint64) * np.uint64(BASE))
 
 
 def first_pass(items: DataFrame, keys: list[str], sets: Callable, name: str, words: int, mins: int = N_MINS, part: str | None = None) -> DataFrame:
-    """Written table with one row per set (``keys``, its number ``part`` within the row, ``n``, ``node``, ``mins``, and ``bits``, a
-    parity bitmap of ``words`` longs) and the token counts of each task in chunks (``chunk``, ``counts``; the other columns are
-    null then)."""
+    """Written table with one row per set (``keys``, its number ``part`` within the row and the hash ``raw`` of its text if there are
+    several, ``n``, ``node``, ``mins``, and ``bits``, a parity bitmap of ``words`` longs) and the token counts of each task in chunks
+    (``chunk``, ``counts``; the other columns are null then)."""
     schema = items.select(*keys).schema
-    added = T.StructType.fromDDL((f"{part} int, " if part else "") + "n bigint, node bigint, mins array<bigint>, bits array<bigint>, chunk int, counts binary")
+    added = T.StructType.fromDDL((f"{part} int, raw bigint, " if part else "") + "n bigint, node bigint, mins array<bigint>, bits array<bigint>, chunk int, counts binary")
     names, longs = [*keys, *added.names], pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +187,14 @@ def first_pass(items: DataFrame, keys: list[str], sets: Callable, name: str, wor
             rows = len(s.owner)
             low = np.column_stack([s.reduced(np.minimum, mix(s.tokens ^ seed)) for seed in _SEEDS[:mins]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i).take(pa.array(s.owner)) for i in range(len(keys))] + ([pa.array(s.part.astype(np.int32))] if part else []) +
+                [batch.column(i).take(pa.array(s.owner)) for i in range(len(keys))] + ([pa.array(s.part.astype(np.int32)), pa.array(signed(s.raw))] if part else []) +
                 [pa.array(s.n.astype(np.int64)), pa.array(signed(s.ids())), list_array(signed(low).ravel(), np.arange(rows + 1) * mins),
                  list_array(signed(s.parities(words)).ravel(), np.arange(rows + 1) * words), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if kinds is not None:
             parts = seen.reshape(-1, CHUNK)
             c = len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(c, k) for k in [*kinds, *[pa.int32()] * bool(part), pa.int64(), pa.int64(), longs, longs]] +
+                [pa.nulls(c, k) for k in [*kinds, *[pa.int32(), pa.int64()][:2 * bool(part)], pa.int64(), pa.int64(), longs, longs]] +
                 [pa.array(range(c), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in [*schema.fields, *added.fields]])
@@ -267,33 +290,49 @@ class _Seen:
         return first
 
 
-def prefix_tokens(items: DataFrame, sets: Callable, levels: np.ndarray, t: Threshold, words: int = 0) -> DataFrame:
-    """``token``, ``pos``, ``n``, ``node`` (and ``bits``, a parity bitmap of ``words`` longs) of the prefix of each set, rare
-    tokens first. Nodes may come more than once."""
+def _prefixes(batches: Iterator[pa.RecordBatch], sets: Callable, levels: np.ndarray, t: Threshold) -> Iterator[tuple[Sets, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sets (each node once, unless forgotten), their ids, and the tokens of their prefixes, rare ones first, with set and position of each."""
+    level, seen = levels.astype(np.uint64), _Seen()
+    for _, data, off in slices(batches, "text", SLICE):
+        s = sets(data, off)
+        s = s.picked(s.n > 0)
+        ids = s.ids()
+        keep = seen.new(ids)
+        s, ids = s.picked(keep), ids[keep]
+        if not len(ids):
+            continue
+        seg = np.repeat(np.arange(len(ids)), s.n)
+        key = (level[(s.tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(56)) | (s.tokens >> np.uint64(8))
+        pos = np.arange(len(seg)) - s.at[seg]
+        near = pos < t.prefix(s.n)[seg]
+        yield s, ids, s.tokens[order_within(key, seg)[near]], seg[near], pos[near]
+
+
+def prefix_tokens(items: DataFrame, sets: Callable, levels: np.ndarray, t: Threshold) -> DataFrame:
+    """``token``, ``pos``, ``n``, ``node`` of the prefix of each set, rare tokens first. Nodes may come more than once."""
     shipped = items.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, seen = shipped.value.astype(np.uint64), _Seen()
-        for _, data, off in slices(batches, "text", SLICE):
-            s = sets(data, off)
-            s = s.picked(s.n > 0)
-            ids = s.ids()
-            keep = seen.new(ids)
-            s, ids = s.picked(keep), ids[keep]
-            if not len(ids):
-                continue
-            seg = np.repeat(np.arange(len(ids)), s.n)
-            key = (level[(s.tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(56)) | (s.tokens >> np.uint64(8))
-            pos = np.arange(len(seg)) - s.at[seg]
-            near = pos < t.prefix(s.n)[seg]
-            tokens, seg, pos = s.tokens[order_within(key, seg)][near], seg[near], pos[near]
-            columns = {"token": pa.array(signed(tokens)), "pos": pa.array(pos.astype(np.int32)), "n": pa.array(s.n[seg].astype(np.int32)),
-                       "node": pa.array(signed(ids[seg]))}
-            if words:
-                columns["bits"] = list_array(signed(s.parities(words)[seg]).ravel(), np.arange(len(seg) + 1) * words)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        for s, ids, tokens, seg, pos in _prefixes(batches, sets, shipped.value, t):
+            yield pa.RecordBatch.from_arrays([pa.array(signed(tokens)), pa.array(pos.astype(np.int32)), pa.array(s.n[seg].astype(np.int32)),
+                                              pa.array(signed(ids[seg]))], ["token", "pos", "n", "node"])
+
+    return items.select("text").mapInArrow(run, "token bigint, pos int, n int, node bigint")
 
-    return items.select("text").mapInArrow(run, "token bigint, pos int, n int, node bigint" + ", bits array<bigint>" * bool(words))
+
+def prefix_lists(items: DataFrame, sets: Callable, levels: np.ndarray, t: Threshold, words: int, name: str) -> DataFrame:
+    """Written table ``node``, ``n``, ``tokens`` (the prefix of the set as one list, rare tokens first) and the longs ``b0``, ``b1``...
+    of a parity bitmap. Nodes may come more than once."""
+    shipped = items.sparkSession.sparkContext.broadcast(levels)
+    longs = [f"b{i}" for i in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, ids, tokens, seg, _ in _prefixes(batches, sets, shipped.value, t):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(ids)), pa.array(s.n.astype(np.int32)), list_array(signed(tokens), np.searchsorted(seg, np.arange(len(ids) + 1)))] +
+                [pa.array(signed(b)) for b in s.parities(words).T], ["node", "n", "tokens", *longs])
+
+    return stage(items.select("text").mapInArrow(run, "node bigint, n int, tokens array<bigint>" + "".join(f", {b} bigint" for b in longs)), name)
 
 
 def with_heads(rows: DataFrame, size: int = 4) -> DataFrame:
@@ -332,7 +371,7 @@ def differing_bits(a: bytes, b: bytes) -> int:
 
 def sets_of(items: DataFrame, nodes: DataFrame, sets: Callable, name: str, whole: bool) -> DataFrame:
     """Written table ``node``, ``n`` and ``bits`` of the given nodes, or ``tokens`` (sorted) and fine ``bits`` (``whole``);
-    the texts are scanned, not moved."""
+    the texts are scanned, not moved. The table may have a few other nodes as well."""
     shipped = items.sparkSession.sparkContext.broadcast(node_filter(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,6 +394,25 @@ def sets_of(items: DataFrame, nodes: DataFrame, sets: Callable, name: str, whole
     return stage(found.dropDuplicates(["node"]), name)
 
 
+def sets_of_lines(items: DataFrame, raws: DataFrame, name: str) -> DataFrame:
+    """Written table ``node``, ``n`` and ``tokens`` (sorted) of the lines with the given ``raw`` hashes, and of a few others."""
+    shipped = items.sparkSession.sparkContext.broadcast(node_filter(raws, "raw"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for _, data, off in slices(batches, "text", SLICE):
+            s = line_sets(*wanted_lines(data, off, shipped.value))
+            ids = s.ids()
+            keep = s.n > 0
+            keep[keep] = seen.new(ids[keep])
+            if not keep.any():
+                continue
+            s, ids = s.picked(keep), ids[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(ids)), pa.array(s.n.astype(np.int32)), list_array(signed(s.tokens), s.at)], ["node", "n", "tokens"])
+
+    return stage(items.select("text").mapInArrow(run, "node bigint, n int, tokens array<bigint>").dropDuplicates(["node"]), name)
+
+
 @F.arrow_udf(T.IntegerType())
 def _bits_apart(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([differing_bits(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
@@ -379,9 +437,9 @@ def _with_sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b")
 
 
-def _ends(pairs: DataFrame, name: str) -> DataFrame:
-    first = pairs.select(F.col("a").alias("node")).distinct()
-    return stage(first.unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct(), name)
+def _ends(pairs: DataFrame, name: str, a: str = "a", b: str = "b", end: str = "node") -> DataFrame:
+    first = pairs.select(F.col(a).alias(end)).distinct()
+    return stage(first.unionByName(pairs.select(F.col(b).alias(end)).distinct()).distinct(), name)
 
 
 def _allowed(pairs: DataFrame, marks: DataFrame, t: Threshold, name: str) -> DataFrame:
@@ -404,30 +462,39 @@ def bounded(pairs: DataFrame, items: DataFrame, sets: Callable, t: Threshold, na
     return close, arrays
 
 
+def _meeting(pairs: DataFrame, arrays: DataFrame, t: Threshold) -> DataFrame:
+    full = _with_sides(pairs, arrays, "tokens").withColumn("overlap", _overlap("va", "vb"))
+    return full.filter(t.similar(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
+
+
 def intersected(pairs: DataFrame, arrays: DataFrame, t: Threshold, name: str) -> DataFrame:
     """The ``a``, ``b`` of ``pairs`` that reach the threshold, by intersection of their sorted arrays; written."""
     ends = _ends(pairs, name + "-ends")
     moved = arrays.select("node", "n", "tokens").join(ends, "node", "left_semi")
-    full = _with_sides(pairs, moved, "tokens").withColumn("overlap", _overlap("va", "vb"))
-    found = stage(full.filter(t.similar(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b"), name)
+    found = stage(_meeting(pairs, moved, t), name)
     drop_stage(ends)
     return found
 
 
-def verified(pairs: DataFrame, items: DataFrame, sets: Callable, t: Threshold, name: str, marks: bool = True) -> DataFrame:
+def verified(pairs: DataFrame, items: DataFrame, sets: Callable, t: Threshold, name: str) -> DataFrame:
     """The ``a``, ``b`` of ``pairs`` (written; removed afterwards) that reach the threshold. Bit counts bound the overlap
-    from above before the sorted arrays are fetched and intersected; without ``marks``, all arrays are fetched."""
-    if marks:
-        near, arrays = bounded(pairs, items, sets, t, name)
-    else:
-        ends = _ends(pairs, name + "-nodes")
-        near, arrays = pairs, sets_of(items, ends, sets, name + "-sets", whole=True)
-        drop_stage(ends)
+    from above before the sorted arrays are fetched and intersected."""
+    near, arrays = bounded(pairs, items, sets, t, name)
     out = intersected(near, arrays, t, name)
     drop_stage(near, arrays)
     return out
 
 
+def verified_lines(pairs: DataFrame, items: DataFrame, t: Threshold, name: str) -> DataFrame:
+    """The ``a``, ``b`` of pairs of lines (written; removed afterwards; ``raw_a``, ``raw_b``: hashes of a text of each) that reach the
+    threshold. Only lines with these hashes are cut into words."""
+    ends = _ends(pairs, name + "-texts", "raw_a", "raw_b", "raw")
+    arrays = sets_of_lines(items, ends, name + "-sets")
+    out = stage(_meeting(pairs, arrays, t), name)
+    drop_stage(pairs, ends, arrays)
+    return out
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """Written table ``node``, ``comp`` (smallest node reachable) of the nodes of ``links`` (``a``, ``b``).
 
