@@ -1,11 +1,12 @@
 """Passes of the line dedup: what each reads and hands on, and the whole against brute force."""
 
 import random
+import re
 
 import numpy as np
 
 from tidewatch.llm import line_dedup, set_join
-from tidewatch.llm.common import signed
+from tidewatch.llm.common import SPACE, signed, spans
 
 
 def _flat(texts):
@@ -77,3 +78,49 @@ def test_pairs_of_resolved_lines_are_not_met_again(spark):
     resolved = spark.createDataFrame([(9, 2), (9, 4)], "a bigint, b bigint")
     pairs = {(r.a, r.b, r.raw_a, r.raw_b) for r in line_dedup._earlier(lists, table, resolved, line_dedup.THRESHOLD).collect()}
     assert pairs == {(3, 1, 103, 101), (2, 1, 102, 101)}
+
+
+def test_whole_sets_come_with_the_prefixes(spark, monkeypatch):
+    """The pass that cuts the prefixes hands on the sets of wanted nodes, so the texts are scanned once less."""
+    docs = spark.createDataFrame([(1, "b a c\n\nd e"), (2, "f g h"), (3, None)], "doc_id int, text string").coalesce(1)
+    s = set_join.line_sets(*_flat(["b a c\n\nd e", "f g h"]))
+    wanted = spark.createDataFrame([(int(x),) for x in signed(s.ids()[[0, 3]])], "node bigint")
+    levels, t = np.zeros(1 << set_join.SKETCH_BITS, np.uint8), line_dedup.THRESHOLD
+    lists = set_join.prefix_lists(docs.na.drop(), set_join.line_sets, levels, t, 2, "t", wanted).collect()
+    sets = {int(i): signed(s.tokens[lo:hi]).tolist() for i, lo, hi in zip(signed(s.ids()), s.at[:-1], s.at[1:]) if hi > lo}
+    keep = {r.node for r in wanted.collect()}
+    assert {r.node: r.whole for r in lists} == {i: v if i in keep else None for i, v in sets.items()}
+    scans, found = [], set_join.sets_of_lines
+    monkeypatch.setattr(set_join, "sets_of_lines", lambda *a: scans.append(a) or found(*a))
+    line_dedup.removed_per_document(docs).collect()
+    assert len(scans) == 1
+
+
+def test_rows_by_word_are_exchanged_once_and_not_windowed(spark):
+    longs = ", ".join(f"b{i} bigint" for i in range(line_dedup.BITS))
+    lists = spark.createDataFrame([(i, 10, [5, 6], *(0,) * line_dedup.BITS) for i in (1, 2, 2)], f"node bigint, n int, tokens array<bigint>, {longs}")
+    table = spark.createDataFrame([(i, 100 + i, (False, i, 0)) for i in (1, 2)], "node bigint, raw bigint, at struct<none: boolean, doc_id: int, line: int>")
+    pairs = line_dedup._earlier(lists, table, spark.createDataFrame([], "a bigint, b bigint"), line_dedup.THRESHOLD)
+    assert [(r.a, r.b) for r in pairs.collect()] == [(1, 2)]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    before = plan.split("SortMergeJoin [token")[1].split("Exchange hashpartitioning(token")[0]          # what one side does behind its exchange
+    assert "spark_partition_id" in before.lower()
+    final = plan.split("Initial Plan")[0]
+    assert any("ReusedExchange" in row and "token" in row for row in final.splitlines())
+
+
+def test_runs_and_orders_equal_plain_ones():
+    rng = random.Random(3)
+    for _ in range(300):
+        texts = ["".join(rng.choice("ab \n") for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(1, 4))]
+        data, off = _flat(texts)
+        got = [a.tolist() for a in spans(SPACE, data, off)]
+        words = [(o + m.start(), o + m.end()) for o, x in zip(off.tolist(), texts) for m in re.finditer(r"\S+", x)]
+        assert got == [[a for a, _ in words], [b for _, b in words]]
+    for top in (1, 3, 70_000, 1 << 30):
+        seg = np.sort(np.random.default_rng(top).integers(0, top, 5_000))
+        key = np.random.default_rng(7).integers(0, 1 << 63, 5_000).astype(np.uint64)
+        key[::3] = key[0] ^ np.arange(len(key[::3]), dtype=np.uint64)          # these differ in their last bits only
+        order = set_join.order_within(key, seg)
+        assert list(zip(seg[order], key[order])) == sorted(zip(seg, key))

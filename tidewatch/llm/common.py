@@ -118,13 +118,16 @@ def spans(gap: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
     """Starts and ends of the runs of bytes outside ``gap``, cut at row borders."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = ~gap[data]
-    edge = np.ones(len(data) + 1, bool)
-    np.not_equal(word[1:], word[:-1], out=edge[1:-1])
-    edge[off] = True
-    at = np.flatnonzero(edge)
-    keep = word[at[:-1]]
-    return at[:-1][keep], at[1:][keep]
+    word = np.zeros(len(data) + 2, bool)
+    np.logical_not(gap.take(data), out=word[1:-1])
+    at = np.flatnonzero(word[1:] != word[:-1])
+    start, end = at[::2], at[1::2]
+    # a row border inside a run ends one and begins another
+    cut = np.unique(off)
+    cut = cut[word[cut] & word[cut + 1]]
+    if len(cut):
+        start, end = np.insert(start, np.searchsorted(start, cut), cut), np.insert(end, np.searchsorted(end, cut), cut)
+    return start, end
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewatch.llm.common import drop_stage, spare_name, stage
-from tidewatch.llm.set_join import Threshold, first_pass, line_sets, prefix_lists, rarity, verified_lines
+from tidewatch.llm.set_join import Threshold, ends_of, first_pass, line_sets, prefix_lists, rarity, verified_lines, verified_listed
 
 THRESHOLD = Threshold(9, 10)
 #: Longs of the parity bitmap that every line has, and minima that name its groups.
@@ -31,30 +31,32 @@ def _possible(x: str, y: str, t: Threshold):
 
 
 def _ends(nodes: DataFrame, t: Threshold) -> DataFrame:
-    """Each node with the earliest node of every group that shares one of its minima (``a`` earlier, ``b`` later; ``raw_a``, ``raw_b``)."""
-    row = ["node", "raw", "n", *[f"b{i}" for i in range(BITS)]]
-    own = nodes.select(*row, "at", F.posexplode("mins").alias("k", "low"))
+    """Each node with the earliest node of every group that shares one of its minima (``a`` earlier, ``b`` later)."""
+    row = ["node", "n", *[f"b{i}" for i in range(BITS)]]
+    own = nodes.select(*row, "at", F.posexplode(F.array(*[f"m{i}" for i in range(MINS)])).alias("k", "low"))
     # rows of a group come in order and are read once: the first stands for the group
     group = W.partitionBy("low", "k").orderBy("at", "node").rowsBetween(W.unboundedPreceding, W.currentRow)
     pairs = own.withColumn("c", F.first(F.struct(*row)).over(group)).filter("c.node <> node").filter(_possible("", "c.", t))
-    return pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.raw").alias("raw_a"), F.col("raw").alias("raw_b")).dropDuplicates(["a", "b"])
+    return pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _earlier(lists: DataFrame, nodes: DataFrame, resolved: DataFrame, t: Threshold) -> DataFrame:
     """Candidate pairs (``a`` earlier, ``b`` later and not resolved yet; ``raw_a``, ``raw_b``) that share a prefix word. The bitmaps of
     both nodes are compared where they meet; the few pairs left are put in order afterwards."""
     gone = resolved.select(F.col("b").alias("node")).distinct().withColumn("gone", F.lit(True))
-    marked = lists.join(gone, "node", "left")
-    rows = marked.select(F.posexplode("tokens").alias("pos", "token"), "node", "n", *[f"b{i}" for i in range(BITS)], "gone")
-    # one exchange by word serves both sides of the join, whose rows come in its order; a node that came twice counts once
-    before = F.lag("node").over(W.partitionBy("token").orderBy("node"))
-    rows = rows.withColumn("before", before).filter("before is null or before <> node").drop("before")
+    row = ["node", "n", *[f"b{i}" for i in range(BITS)]]
+    # the rows of a node are equal and lie together after this join: one that came twice is dropped as it is read. Spark would run the
+    # part below the exchange twice if it held first(), as dropDuplicates does
+    marked = lists.join(gone.hint("merge"), "node", "left")
+    marked = marked.groupBy("node").agg(*[F.max(c).alias(c) for c in (*row[1:], "tokens", "gone")])
+    # one exchange by word serves both sides of the join, so the filters of a side stay behind it: spark_partition_id() holds them there
+    rows = marked.select(F.posexplode("tokens").alias("pos", "token"), *row, "gone").repartition("token")
     # the word lies in the shorter index prefix of the smaller set
     rows = rows.withColumn("index", F.col("pos") < F.col("n") - F.ceil(2 * t.num * F.col("n") / F.lit(t.num + t.den)) + 1)
     x, y = (rows.select("token", *[F.col(c).alias(side + c) for c in rows.columns if c != "token"]) for side in ("x_", "y_"))
     # y is open; of two open nodes x is the smaller set, a resolved x may be either
     small = F.expr("x_n < y_n or (x_n = y_n and x_node < y_node)")
-    pairs = (x.filter("x_index or x_gone is not null").join(y.filter("y_gone is null").hint("merge"), "token")
+    pairs = (x.filter("x_index or x_gone is not null or spark_partition_id() < 0").join(y.filter("y_gone is null or spark_partition_id() < 0").hint("merge"), "token")
              .filter(F.when(small, F.col("x_index")).otherwise(F.col("x_gone").isNotNull() & F.col("y_index")))
              .filter(F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (t.num + t.den) >= (F.col("x_n") + F.col("y_n")) * t.num)
              .filter(_possible("x_", "y_", t)))
@@ -72,13 +74,15 @@ def _lines_and_state(docs: DataFrame, id_col: str, text_col: str, t: Threshold)
     that one goes too."""
     items = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     first = first_pass(items, ["doc_id"], line_sets, "line-sets", BITS, MINS, "line")
-    rows = first.filter("chunk is null").select("doc_id", "line", "n", "node", "raw", "mins", "bits")
-    nodes = rows.filter("n > 0").groupBy("node").agg(
-        F.max("n").alias("n"), F.min("raw").alias("raw"), F.max("mins").alias("mins"), F.max("bits").alias("bits"), F.min(place()).alias("at"),
-        F.count("*").alias("copies"))
-    nodes = stage(nodes.select("node", "n", "raw", "mins", "at", "copies", *[F.col("bits")[i].alias(f"b{i}") for i in range(BITS)]), "line-nodes")
-    near = verified_lines(stage(_ends(nodes, t), "line-ends"), items, t, "line-links")
-    lists = prefix_lists(items, line_sets, rarity(first), t, BITS, "line-words")
+    longs = [*[f"m{i}" for i in range(MINS)], *[f"b{i}" for i in range(BITS)]]
+    rows = first.filter("chunk is null").select("doc_id", "line", "n", "node", "raw", *longs)
+    nodes = stage(rows.filter("n > 0").groupBy("node").agg(
+        F.max("n").alias("n"), F.min("raw").alias("raw"), *[F.max(c).alias(c) for c in longs], F.min(place()).alias("at"), F.count("*").alias("copies")), "line-nodes")
+    ends = stage(_ends(nodes, t), "line-ends")
+    wanted = ends_of(ends, "line-end-nodes")
+    lists = prefix_lists(items, line_sets, rarity(first), t, BITS, "line-words", wanted)
+    drop_stage(wanted)
+    near = verified_listed(ends, lists, t, "line-links")
     pairs = stage(_earlier(lists, nodes, near, t), "line-pairs")
     drop_stage(lists)
     far = verified_lines(pairs, items, t, "line-matches")

@@ -59,7 +59,7 @@ _WEIGHTS = np.array([pow(BASE, k, 1 << 64) ^ 0x5851F42D4C957F2D | 1 for k in ran
 def _word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (A-Z lowered, split at ASCII white space) and the word offsets of the rows."""
     start, end = spans(SPACE, data, off)
-    h = span_hash(prefix_hash(LOWER[data]), start, end)
+    h = span_hash(prefix_hash(LOWER.take(data)), start, end)
     return h, np.searchsorted(start, off)
 
 
@@ -102,12 +102,18 @@ class Sets(NamedTuple):
 
 
 def order_within(key: np.ndarray, seg: np.ndarray) -> np.ndarray:
-    """The order by segment, then by key. One sort of short keys does, unless their cut-off bits matter."""
-    if len(seg) and int(seg.max()) < 1 << 16:
-        short = (seg.astype(np.uint64) << np.uint64(48)) | (key >> np.uint64(16))
-        order = np.argsort(short)
-        s, k = short[order], key[order]
-        if not ((s[1:] == s[:-1]) & (k[1:] < k[:-1])).any():
+    """The order by segment, then by key. One sort of numbers that hold segment, leading bits of the key and place does, unless the
+    cut-off bits matter."""
+    seg_bits, at_bits = int(seg.max(initial=0)).bit_length(), max(0, len(seg) - 1).bit_length()
+    if len(seg) and seg_bits + at_bits <= 40:
+        short = key >> np.uint64(seg_bits + at_bits) << np.uint64(at_bits) | np.arange(len(seg), dtype=np.uint64)
+        if seg_bits:
+            short |= seg.astype(np.uint64) << np.uint64(64 - seg_bits)
+        short.sort()
+        order = (short & np.uint64((1 << at_bits) - 1)).astype(np.int64)
+        short >>= np.uint64(at_bits)
+        same = np.flatnonzero(short[1:] == short[:-1])
+        if not (key[order[same + 1]] < key[order[same]]).any():
             return order
     return np.lexsort((key, seg))
 
@@ -135,16 +141,17 @@ def _lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def line_sets(data: np.ndarray, off: np.ndarray) -> Sets:
     """Word hashes of every line (pieces between line feeds, numbered from 0) of each row."""
     start, end = spans(SPACE, data, off)
-    hashed = prefix_hash(LOWER[data])
+    hashed = prefix_hash(LOWER.take(data))
     lo, hi, first = _lines(data, off)
     owner = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    return _distinct(span_hash(hashed, start, end), np.searchsorted(hi, start, side="right"), owner, np.arange(len(owner)) - first[owner], span_hash(hashed, lo, hi))
+    seg = np.repeat(np.arange(len(hi)), np.diff(np.searchsorted(start, hi), prepend=0))
+    return _distinct(span_hash(hashed, start, end), seg, owner, np.arange(len(owner)) - first[owner], span_hash(hashed, lo, hi))
 
 
 def wanted_lines(data: np.ndarray, off: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lines whose ``raw`` hash is in the filter ``words``, end to end, and their n + 1 offsets. No other line is cut into words."""
     lo, hi, _ = _lines(data, off)
-    keep = in_filter(span_hash(prefix_hash(LOWER[data]), lo, hi), words)
+    keep = in_filter(span_hash(prefix_hash(LOWER.take(data)), lo, hi), words)
     lo, n = lo[keep], (hi - lo)[keep]
     at = np.concatenate([[0], np.cumsum(n)])
     return data[np.arange(at[-1]) + np.repeat(lo - at[:-1], n)], at
@@ -172,11 +179,19 @@ _SEEDS = mix(np.arange(1, N_MINS + 1, dtype=np.uint64) * np.uint64(BASE))
 
 def first_pass(items: DataFrame, keys: list[str], sets: Callable, name: str, words: int, mins: int = N_MINS, part: str | None = None) -> DataFrame:
     """Written table with one row per set (``keys``, its number ``part`` within the row and the hash ``raw`` of its text if there are
-    several, ``n``, ``node``, ``mins``, and ``bits``, a parity bitmap of ``words`` longs) and the token counts of each task in chunks
-    (``chunk``, ``counts``; the other columns are null then)."""
+    several, ``n``, ``node``, ``mins``, and ``bits``, a parity bitmap of ``words`` longs; for parts, which are many and short, these are
+    plain columns ``m0``, ``m1``..., ``b0``, ``b1``...) and the token counts of each task in chunks (``chunk``, ``counts``; the other
+    columns are null then)."""
     schema = items.select(*keys).schema
-    added = T.StructType.fromDDL((f"{part} int, raw bigint, " if part else "") + "n bigint, node bigint, mins array<bigint>, bits array<bigint>, chunk int, counts binary")
-    names, longs = [*keys, *added.names], pa.list_(pa.int64())
+    longs = [f"{c} bigint" for c in (*[f"m{i}" for i in range(mins)], *[f"b{i}" for i in range(words)])] if part else ["mins array<bigint>", "bits array<bigint>"]
+    added = T.StructType.fromDDL(", ".join([*[f"{part} int", "raw bigint"][:2 * bool(part)], "n bigint", "node bigint", *longs, "chunk int", "counts binary"]))
+    names, kind = [*keys, *added.names], pa.int64() if part else pa.list_(pa.int64())
+
+    def columns(values: np.ndarray) -> list[pa.Array]:
+        rows, width = values.shape
+        if part:
+            return [pa.array(signed(v)) for v in values.T]
+        return [list_array(signed(values).ravel(), np.arange(rows + 1) * width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, kinds = np.zeros(1 << SKETCH_BITS, np.int64), None
@@ -188,13 +203,12 @@ def first_pass(items: DataFrame, keys: list[str], sets: Callable, name: str, wor
             low = np.column_stack([s.reduced(np.minimum, mix(s.tokens ^ seed)) for seed in _SEEDS[:mins]])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i).take(pa.array(s.owner)) for i in range(len(keys))] + ([pa.array(s.part.astype(np.int32)), pa.array(signed(s.raw))] if part else []) +
-                [pa.array(s.n.astype(np.int64)), pa.array(signed(s.ids())), list_array(signed(low).ravel(), np.arange(rows + 1) * mins),
-                 list_array(signed(s.parities(words)).ravel(), np.arange(rows + 1) * words), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+                [pa.array(s.n.astype(np.int64)), pa.array(signed(s.ids())), *columns(low), *columns(s.parities(words)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if kinds is not None:
             parts = seen.reshape(-1, CHUNK)
             c = len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(c, k) for k in [*kinds, *[pa.int32(), pa.int64()][:2 * bool(part)], pa.int64(), pa.int64(), longs, longs]] +
+                [pa.nulls(c, k) for k in [*kinds, *[pa.int32(), pa.int64()][:2 * bool(part)], pa.int64(), pa.int64(), *[kind] * len(longs)]] +
                 [pa.array(range(c), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in [*schema.fields, *added.fields]])
@@ -295,9 +309,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], sets: Callable, levels: np.ndar
     level, seen = levels.astype(np.uint64), _Seen()
     for _, data, off in slices(batches, "text", SLICE):
         s = sets(data, off)
-        s = s.picked(s.n > 0)
-        ids = s.ids()
-        keep = seen.new(ids)
+        ids, keep = s.ids(), s.n > 0
+        keep[keep] = seen.new(ids[keep])
         s, ids = s.picked(keep), ids[keep]
         if not len(ids):
             continue
@@ -320,19 +333,27 @@ def prefix_tokens(items: DataFrame, sets: Callable, levels: np.ndarray, t: Thres
     return items.select("text").mapInArrow(run, "token bigint, pos int, n int, node bigint")
 
 
-def prefix_lists(items: DataFrame, sets: Callable, levels: np.ndarray, t: Threshold, words: int, name: str) -> DataFrame:
+def prefix_lists(items: DataFrame, sets: Callable, levels: np.ndarray, t: Threshold, words: int, name: str, wanted: DataFrame | None = None) -> DataFrame:
     """Written table ``node``, ``n``, ``tokens`` (the prefix of the set as one list, rare tokens first) and the longs ``b0``, ``b1``...
-    of a parity bitmap. Nodes may come more than once."""
-    shipped = items.sparkSession.sparkContext.broadcast(levels)
+    of a parity bitmap. Nodes may come more than once. With ``wanted`` also ``whole``: all tokens (sorted) of the nodes of that
+    table and of a few others; null for the rest."""
+    context = items.sparkSession.sparkContext
+    shipped, picked = context.broadcast(levels), context.broadcast(None if wanted is None else node_filter(wanted))
     longs = [f"b{i}" for i in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, ids, tokens, seg, _ in _prefixes(batches, sets, shipped.value, t):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(ids)), pa.array(s.n.astype(np.int32)), list_array(signed(tokens), np.searchsorted(seg, np.arange(len(ids) + 1)))] +
-                [pa.array(signed(b)) for b in s.parities(words).T], ["node", "n", "tokens", *longs])
+            columns = {"node": pa.array(signed(ids)), "n": pa.array(s.n.astype(np.int32)),
+                       "tokens": list_array(signed(tokens), np.searchsorted(seg, np.arange(len(ids) + 1)))}
+            columns |= {name: pa.array(signed(b)) for name, b in zip(longs, s.parities(words).T)}
+            if picked.value is not None:
+                keep = in_filter(ids, picked.value)
+                at = np.concatenate([[0], np.cumsum(np.where(keep, s.n, 0))])
+                columns["whole"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(signed(s.picked(keep).tokens)), mask=pa.array(~keep))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return stage(items.select("text").mapInArrow(run, "node bigint, n int, tokens array<bigint>" + "".join(f", {b} bigint" for b in longs)), name)
+    schema = "node bigint, n int, tokens array<bigint>" + "".join(f", {b} bigint" for b in longs) + ", whole array<bigint>" * (wanted is not None)
+    return stage(items.select("text").mapInArrow(run, schema), name)
 
 
 def with_heads(rows: DataFrame, size: int = 4) -> DataFrame:
@@ -437,7 +458,7 @@ def _with_sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b")
 
 
-def _ends(pairs: DataFrame, name: str, a: str = "a", b: str = "b", end: str = "node") -> DataFrame:
+def ends_of(pairs: DataFrame, name: str, a: str = "a", b: str = "b", end: str = "node") -> DataFrame:
     first = pairs.select(F.col(a).alias(end)).distinct()
     return stage(first.unionByName(pairs.select(F.col(b).alias(end)).distinct()).distinct(), name)
 
@@ -451,11 +472,11 @@ def _allowed(pairs: DataFrame, marks: DataFrame, t: Threshold, name: str) -> Dat
 def bounded(pairs: DataFrame, items: DataFrame, sets: Callable, t: Threshold, name: str) -> tuple[DataFrame, DataFrame]:
     """The ``a``, ``b`` of ``pairs`` (written; removed afterwards) whose bit counts allow the threshold, and the sorted
     arrays of their ends. Both are written. Short bitmaps judge all pairs, eight times longer ones those that are left."""
-    ends = _ends(pairs, name + "-nodes")
+    ends = ends_of(pairs, name + "-nodes")
     marks = sets_of(items, ends, sets, name + "-bits", whole=False)
     near = _allowed(pairs, marks, t, name + "-bounded")
     drop_stage(ends, marks, pairs)
-    ends = _ends(near, name + "-close")
+    ends = ends_of(near, name + "-close")
     arrays = sets_of(items, ends, sets, name + "-sets", whole=True)
     close = _allowed(near, arrays, t, name + "-closer")
     drop_stage(ends, near)
@@ -469,7 +490,7 @@ def _meeting(pairs: DataFrame, arrays: DataFrame, t: Threshold) -> DataFrame:
 
 def intersected(pairs: DataFrame, arrays: DataFrame, t: Threshold, name: str) -> DataFrame:
     """The ``a``, ``b`` of ``pairs`` that reach the threshold, by intersection of their sorted arrays; written."""
-    ends = _ends(pairs, name + "-ends")
+    ends = ends_of(pairs, name + "-ends")
     moved = arrays.select("node", "n", "tokens").join(ends, "node", "left_semi")
     found = stage(_meeting(pairs, moved, t), name)
     drop_stage(ends)
@@ -488,13 +509,22 @@ def verified(pairs: DataFrame, items: DataFrame, sets: Callable, t: Threshold, n
 def verified_lines(pairs: DataFrame, items: DataFrame, t: Threshold, name: str) -> DataFrame:
     """The ``a``, ``b`` of pairs of lines (written; removed afterwards; ``raw_a``, ``raw_b``: hashes of a text of each) that reach the
     threshold. Only lines with these hashes are cut into words."""
-    ends = _ends(pairs, name + "-texts", "raw_a", "raw_b", "raw")
+    ends = ends_of(pairs, name + "-texts", "raw_a", "raw_b", "raw")
     arrays = sets_of_lines(items, ends, name + "-sets")
     out = stage(_meeting(pairs, arrays, t), name)
     drop_stage(pairs, ends, arrays)
     return out
 
 
+def verified_listed(pairs: DataFrame, lists: DataFrame, t: Threshold, name: str) -> DataFrame:
+    """The ``a``, ``b`` of pairs of nodes (written; removed afterwards) that reach the threshold; ``lists`` has their sets as ``whole``."""
+    found = lists.filter("whole is not null").select("node", "n", F.col("whole").alias("tokens"))
+    arrays = stage(found.dropDuplicates(["node"]), name + "-sets")
+    out = stage(_meeting(pairs, arrays, t), name)
+    drop_stage(pairs, arrays)
+    return out
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """Written table ``node``, ``comp`` (smallest node reachable) of the nodes of ``links`` (``a``, ``b``).
 
