@@ -178,3 +178,53 @@ def test_attribution_work_depends_on_patterns_not_rows(monkeypatch, strict):
     inside = (x[:, 0] < 0.5) & (x[:, 1] >= 0) & (x[:, 2] >= -1) & (x[:, 2] < 1) if strict else (x[:, 0] <= 0.5) & (x[:, 1] > 0) & (x[:, 2] > -1) & (x[:, 2] <= 1)
     inside[8] = not np.isnan(x[8, 0]) and (x[8, 0] < 0.5) and -1 <= x[8, 2] < 1          # NaN goes right
     assert np.allclose(got.sum(axis=1)[:7], (inside * 2.0 - 2.0 * 0.5 * 0.25 * 0.4)[:7])
+
+
+def test_source_is_read_once_and_stages_grow_apart(rows, monkeypatch):
+    """Edges and bins come from one reading of the input; margins are written at growing distances."""
+    read, made, monkey = rows.sparkSession.sparkContext.accumulator(0), [], B.Rows._write
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(B.Rows, "_write", lambda self, df: (monkey(self, df), made.append(1)))
+    ens, = B.fit(rows.mapInArrow(seen, rows.schema), ABC, params=B.Boosting(rounds=13, depth=2), row_id=["k"])
+    assert read.value == 3000 and len(made) == 3 and ens.nodes["tree"].nunique() == 13
+
+
+@pytest.mark.parametrize("fetch", [1 << 20, 0])
+def test_edges_are_the_interpolated_quantiles(spark, monkeypatch, fetch):
+    """Cells narrowed to the last bit or fetched, with ties, both zeros, infinities, NaN, null and values alike in their leading bits."""
+    from tidewatch.operators.quantiles import exact_percentiles
+    monkeypatch.setattr(B, "FETCH", fetch, raising=False)
+    monkeypatch.setattr(B, "CHUNK", 700, raising=False)
+    assert B._value(B._key(np.array([-0.0, -np.inf, 5e-324, -1.5]))).tolist() == [0.0, -np.inf, 5e-324, -1.5]
+    x = np.random.default_rng(1).normal(size=4000)
+    pdf = pd.DataFrame({"a": x, "b": np.where(x > 0, 0.0, -0.0), "c": 1.7e9 + x * 1e-4, "d": np.where(x > 1, np.nan, x.round(1)), "e": np.nan,
+                        "f": np.where(x > 1.5, np.inf, np.where(x < -2, -np.inf, -1e300 * x))})
+    df = spark.createDataFrame(pdf).withColumn("d", F.when(F.col("a") < 0.7, F.col("d"))).repartition(3)
+    found = exact_percentiles(df, [], list("abcdef"), [i / 16 for i in range(1, 16)]).collect()
+    want = [np.unique([r["value"] for r in found if r["feature"] == f]) for f in "abcdef"]
+    got = B.bin_edges(df, list("abcdef"), 16)
+    assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(got, want)) and [len(e) for e in got][1:5:3] == [1, 0]
+
+
+def test_joint_counts_equal_those_of_each_feature():
+    """Sums of neighbouring features counted together, with trees that margins do not have yet."""
+    assert B._joined([64, 64, 8, 8, 64, 300]) == [[0, 1], [2, 3, 4], [5]]
+    rng, sizes = np.random.default_rng(2), [64, 64, 8, 8, 64, 300]
+    bins = np.stack([rng.integers(0, n, 500) for n in sizes]).astype(np.uint16)
+    c = B.Chunk(bins, rng.integers(0, 2, 500).astype(float), np.ones(1), np.arange(500), rng.integers(-1, 2, 500), np.zeros(1, bool), rng.normal(size=(2, 500)))
+    before, t = B.Tree(2), B.Tree(2)
+    before.feature[0], before.cut[0], before.value[1:3] = 1, 20, [0.3, -0.2]
+    t.feature[0], t.cut[0], t.cover[1:3] = 0, 30, [9.0, 4.0]
+    got = B._chunk_sums(iter([c]), [[before], []], [None, t], 1, 0, [0, 2, 4, 5], sizes, B.Boosting())
+    own = (bins[0] > 30) & (c.fold != 1)
+    g, h = B.gradients(c.margin[1, own], c.y[own], np.ones(1))
+    for i, f in enumerate([0, 2, 4, 5]):
+        assert all((got[0, i, :, k] == np.bincount(bins[f, own], x, 300)).all() for k, x in enumerate((g, h)))
+    root = B._chunk_sums(iter([c]), [[before], []], [B.Tree(2), None], 0, 0, [1], sizes, B.Boosting())
+    g, h = B.gradients(c.margin[0] + np.where(bins[1] > 20, -0.2, 0.3), c.y, c.fold != 0)
+    assert (root[0, 0, :, 0] == np.bincount(bins[1], g, 300)).all()
