@@ -220,3 +220,20 @@ def test_detector_rows_are_dealt_over_the_cores(spark, sf, monkeypatch):
     parts, columns = e.value.args
     assert columns == ["dur", "sbytes", "is_attack"] and sum(parts) == df.count()
     assert len(parts) == spark.sparkContext.defaultParallelism and max(parts) <= 2 * min(parts)
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_walks_visit_the_features_of_a_block_at_a_time(monkeypatch, strict):
+    """Rows walk down uneven trees in blocks, also trees of a single leaf; NaN goes right and leaves stay where they are."""
+    rows = [(0, 0, 1, 2, 0, 0.5, 0.0, 9.0), (0, 1, -1, -1, -1, 0.0, 1.0, 4.0), (0, 2, 5, 6, 1, 0.0, 0.0, 5.0), (0, 5, -1, -1, -1, 0.0, 2.0, 3.0), (0, 6, 13, 14, 0, 1.0, 0.0, 2.0),
+            (0, 13, -1, -1, -1, 0.0, 4.0, 1.0), (0, 14, -1, -1, -1, 0.0, 8.0, 1.0), (1, 0, -1, -1, -1, 0.0, 0.25, 9.0)]
+    ens = TR.Ensemble(("u", "v"), pd.DataFrame(rows, columns=[c.split()[0] for c in TR.NODE.split(", ")]), 0.0, 1.0, strict)
+    monkeypatch.setattr(TR, "WALK", 7, raising=False)
+    widths, leaf_of = [], TR.leaf_of
+    monkeypatch.setattr(TR, "leaf_of", lambda t, x, strict: widths.append(x.shape) or leaf_of(t, x, strict))
+    x = np.random.default_rng(4).normal(size=(40, 2)).round(1)
+    x[:3], x[3] = [[0.5, 0.0], [1.0, 0.1], [np.nan, np.nan]], [0.2, np.nan]
+    goes = lambda v, cut: v < cut if strict else v <= cut
+    want = [1.0 if goes(u, 0.5) else 2.0 if goes(v, 0.0) else 4.0 if goes(u, 1.0) else 8.0 for u, v in x]
+    assert TR.margins(TR.pack(ens), 0.5, x, strict).tolist() == [0.75 + v for v in want]
+    assert {w[0] for w in widths} == {2} and max(w[1] for w in widths) == 7
