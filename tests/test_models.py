@@ -237,3 +237,34 @@ def test_walks_visit_the_features_of_a_block_at_a_time(monkeypatch, strict):
     want = [1.0 if goes(u, 0.5) else 2.0 if goes(v, 0.0) else 4.0 if goes(u, 1.0) else 8.0 for u, v in x]
     assert TR.margins(TR.pack(ens), 0.5, x, strict).tolist() == [0.75 + v for v in want]
     assert {w[0] for w in widths} == {2} and max(w[1] for w in widths) == 7
+
+
+@pytest.mark.parametrize("weight", [None, "weight"])
+def test_histogram_fit_grows_the_trees_of_sparks_own_fit(spark, weight):
+    """With few values per feature both have the same candidates: same scores, same importances, and a model that can be saved."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 9, size=(3000, 3)).astype(float)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] / 4) > rng.normal(9, 2, size=3000)).astype(int)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).assign(y=y, weight=rng.choice([0.5, 1.0, 3.0], 3000), k=np.arange(3000)))
+    ours = TR.train_detector(df, ["a", "b", "c"], "y", weight, depth=3, rounds=5, subsample=1.0)
+    assert ours.stages[-1].getNumTrees == 5 and ours.stages[-1].treeWeights == [1.0] + 4 * [0.1]
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    own = GBTClassifier(featuresCol="features", labelCol="y", maxDepth=3, maxIter=5, stepSize=0.1, seed=42, **({"weightCol": weight} if weight else {})).fit(rows)
+    p = lambda d: np.array([r.probability[1] for r in d.orderBy("k").collect()])
+    assert np.abs(p(own.transform(rows)) - p(ours.stages[-1].transform(rows))).max() < 1e-4
+    assert np.abs(own.featureImportances.toArray() - ours.stages[-1].featureImportances.toArray()).max() < 1e-4
+    assert TR.from_gbt(ours).nodes["tree"].nunique() == 5
+    with pytest.raises(Exception, match="labels of a boosted"):
+        TR.train_detector(df.withColumn("y", F.col("y") + 1), ["a", "b", "c"], "y", rounds=1)
+
+
+def test_detector_passes_are_those_of_histogram_boosting(data, monkeypatch):
+    """The fit goes through the chunks of ``boosting``; options it has not are Spark's own."""
+    made, write = [], B.Rows._write
+    monkeypatch.setattr(B.Rows, "_write", lambda self, df: (write(self, df), made.append(1)))
+    model = TR.train_detector(data, ["a", "b", "c"], "y", depth=2, rounds=2)
+    assert len(made) == 1 and TR.feature_importance(model, data.sparkSession).agg(F.sum("importance")).first()[0] == pytest.approx(1)
+    TR.train_detector(data.withColumn("v", F.col("a") > 1), ["a", "b", "c"], "y", depth=2, rounds=2, valid="v")
+    assert len(made) == 1
