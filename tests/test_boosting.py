@@ -228,3 +228,16 @@ def test_joint_counts_equal_those_of_each_feature():
     root = B._chunk_sums(iter([c]), [[before], []], [B.Tree(2), None], 0, 0, [1], sizes, B.Boosting())
     g, h = B.gradients(c.margin[0] + np.where(bins[1] > 20, -0.2, 0.3), c.y, c.fold != 0)
     assert (root[0, 0, :, 0] == np.bincount(bins[1], g, 300)).all()
+
+
+def test_table_rows_are_short_and_blocks_are_long():
+    """Written rows hold few bytes whatever the size of the blocks that passes work on; both have the same values."""
+    rng = np.random.default_rng(7)
+    n = 10_000
+    c = B.Chunk(rng.integers(0, 64, (3, n)).astype(np.uint8), rng.integers(0, 2, n).astype(np.int8), np.array([2.5]), np.arange(n), np.full(1, -1, np.int8),
+                np.zeros(1, bool), rng.normal(size=(2, n)))
+    table = [dict(zip([*B.FIXED, "margin"], row)) for row in c.rows()]
+    assert [len(r["valid"]) for r in table] == [4096, 4096, n - 8192] and max(sum(map(len, r.values())) for r in table) < 1 << 20
+    back, = B._blocks(iter(table), 3, 2, np.uint8)
+    for name in (*B.FIXED, "margin"):
+        assert np.array_equal(getattr(back, name), getattr(c, name)) and getattr(back, name).nbytes <= getattr(c, name).nbytes
