@@ -234,7 +234,7 @@ def test_table_rows_are_short_and_blocks_are_long():
     """Written rows hold few bytes whatever the size of the blocks that passes work on; both have the same values."""
     rng = np.random.default_rng(7)
     n = 10_000
-    c = B.Chunk(rng.integers(0, 64, (3, n)).astype(np.uint8), rng.integers(0, 2, n).astype(np.int8), np.array([2.5]), np.arange(n), np.full(1, -1, np.int8),
+    c = B.Chunk(rng.integers(0, 64, (3, n)).astype(np.uint8), rng.integers(0, 2, n).astype(np.int8), np.array([2.5]), np.arange(n), np.full(1, -1, np.int32),
                 np.zeros(1, bool), rng.normal(size=(2, n)))
     table = [dict(zip([*B.FIXED, "margin"], row)) for row in c.rows()]
     assert [len(r["valid"]) for r in table] == [4096, 4096, n - 8192] and max(sum(map(len, r.values())) for r in table) < 1 << 20

@@ -189,3 +189,41 @@ def test_state_has_a_part_per_core(spark, tmp_path):
     assert sorted(r.k for r in got.collect()) == [0, 1, 2, 3]
     parts = [p for p in (tmp_path / "cp" / "state" / "0").iterdir() if p.name.isdigit()]
     assert len(parts) == spark.sparkContext.defaultParallelism < 100
+
+
+def test_a_key_of_datagrams_costs_few_state_calls(monkeypatch):
+    """Maps and lists that the row says are empty are neither read nor cleared; a key with SYNs clears all that it has."""
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.value = name, None
+
+        def __getattr__(self, call):
+            def run(*x):
+                calls.append((self.name, call))
+                if call == "update":
+                    self.value = x[0]
+                if call == "clear":
+                    self.value = None
+                return {"exists": self.value is not None, "get": iter(()) if self.name == "times" else self.value, "getValue": None}.get(call)
+            return run
+
+    class Handle:
+        getValueState = getMapState = getListState = lambda self, name, *kind: State(name)
+        registerTimer = lambda self, ms: calls.append(("timer", "register"))
+
+    import pandas as pd
+    from types import SimpleNamespace
+    packet = dict(ts_us=5_000_000, event_id=1, src_ip="10.0.0.1", dst_ip="10.0.0.2", src_port=1, dst_port=53, proto=17, flags=0)
+    due = SimpleNamespace(getExpiryTimeInMs=lambda: 10**9)
+    for proto, flags, want in ((17, 0, {("profile", "clear")}), (6, 2, {(n, "clear") for n in ("profile", "ports", "ips", "sports", "times")})):
+        proc = DT.ProfileProcessor(config.ENDPOINT.with_(window_sec=60), LinearScore({0: 0.1}))
+        proc.init(Handle())
+        calls.clear()
+        list(proc.handleInputRows(("10.0.0.2:53",), iter([pd.DataFrame([{**packet, "proto": proto, "flags": flags}])]), None))
+        if proto == 17:
+            assert calls == [("profile", "get"), ("profile", "update"), ("timer", "register")]
+        calls.clear()
+        list(proc.handleExpiredTimer(("10.0.0.2:53",), None, due))
+        assert {c for c in calls if c[1] == "clear"} == want and len(calls) == 1 + len(want)

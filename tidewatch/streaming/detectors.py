@@ -60,10 +60,14 @@ class ProfileProcessor(StatefulProcessor):
         self.times = handle.getListState("times", "ts bigint")
 
     def _load(self, key: str) -> tuple[Profile | None, Profile]:
-        """The profile of the key, or None, and the profile that new windows are opened in: both use the same stores."""
-        row = self.state.get() if self.state.exists() else None
-        stores = {n: MapStore(s, row is None) for n, s in self.maps.items()}
-        p = Profile(**stores, times=ListStore(self.times, row is None))
+        """The profile of the key, or None, and the profile that new windows are opened in: both use the same stores.
+
+        Every call of a state is a round trip, so what the row tells is not asked again: maps without a value and, where no SYN
+        was met, the list of times are known to be empty."""
+        row = self.state.get()
+        known = dict(zip(SCALARS, row)) if row else {}
+        stores = {name: MapStore(s, not (row and row[len(SCALARS) + i * len(_TOTALS)])) for i, (name, s) in enumerate(self.maps.items())}
+        p = Profile(**stores, times=ListStore(self.times, not known.get("syn")))
         p["key"] = key
         self.policy = policy_for(self.cfg, self.score, lambda: p)
         if row is None:
